@@ -168,3 +168,38 @@ explanations AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+# ------------------------------------------------------ file fixtures
+def write_reports_json(spark: SparkSession, sf_dir: str) -> list[str]:
+    """``reports`` as annotated JSON lines in two folders (English / other
+    languages). Each report carries a decoy classification entry first; the
+    last entry marked 'Classification' holds its true global label."""
+    from ..config import GLOBAL_LABELS
+    from ..session import scratch_path
+    r = reports(spark, sf_dir)
+    glob = F.element_at(F.array(*[F.lit(t) for t, _ in GLOBAL_LABELS]), F.col("label") + 1)
+    entries = F.array(
+        F.struct(F.lit("Classification").alias("label"),
+                 F.array(F.lit(" Global_unknown"), F.lit(" Lesion_size")).alias("classes")),
+        F.struct(F.lit("Comment").alias("label"), F.array(F.lit("Global remark")).alias("classes")),
+        F.struct(F.lit("Classification").alias("label"),
+                 F.array(F.lit(" Lesion_stable"), glob).alias("classes")))
+    out = r.select("report_id", "content", F.struct(entries.alias("classificationResult")).alias("annotation"))
+    base = scratch_path(spark, "reports-json")
+    paths = []
+    for name, cond in (("chunk_en", r.lang == "en"), ("chunk_other", ~(r.lang == "en"))):
+        p = f"{base}/{name}"
+        out.where(cond).write.mode("overwrite").json(p)
+        paths.append(p)
+    return paths
+
+
+def write_sessions_csv(spark: SparkSession, sf_dir: str) -> str:
+    """``(report, ipp)`` as CSV with a header; report texts hold newlines."""
+    from ..session import scratch_path
+    r = reports(spark, sf_dir)
+    p = scratch_path(spark, "sessions-csv")
+    (r.select(F.col("content").alias("report"), F.col("ipp").cast("string").alias("ipp"))
+      .write.option("header", True).option("quote", '"').option("escape", '"').csv(p))
+    return p

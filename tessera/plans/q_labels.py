@@ -1 +1,124 @@
-"""Queries (filled in below)."""
+"""Queries for sources, sinks and label / validation operators (S*, P*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..config import RF_MAX_FEATURES, TFIDF_NGRAMS, TFIDF_PVS
+from ..operators import labels as L
+from ..sources import readers as R
+from ..sources import sinks as K
+from ..session import scratch_path
+from . import fixtures as FX
+from .catalog import register
+
+W = FX.with_ctes
+
+
+def _read_fixture_reports(spark, sf_dir):
+    return R.read_reports(spark, FX.write_reports_json(spark, sf_dir))
+
+
+@register("s1_read_reports", W(FX.SQL_REPORTS) +
+          "SELECT report_id, md5(content) AS content_md5 FROM reports")
+def s1_read_reports(spark, sf_dir):
+    df = _read_fixture_reports(spark, sf_dir)
+    return df.select("report_id", F.md5("content").alias("content_md5"))
+
+
+@register("s2_read_sessions", W(FX.SQL_REPORTS) +
+          "SELECT md5(content) AS report_md5, CAST(ipp AS VARCHAR) AS ipp FROM reports")
+def s2_read_sessions(spark, sf_dir):
+    s = R.read_sessions(spark, FX.write_sessions_csv(spark, sf_dir))
+    return s.select(F.md5("report").alias("report_md5"), "ipp")
+
+
+@register("s4_s5_run_results_round_trip", W(FX.SQL_PRED) +
+          "SELECT realization, report_id, y_true, votes FROM pred WHERE embedding = 'tf_idf'")
+def s4_s5_run_results_round_trip(spark, sf_dir):
+    root = scratch_path(spark, "run-results")
+    K.write_run_results(FX.pred(spark, sf_dir).withColumn("run_date", F.lit("Jun_19_2021")), root)
+    back = R.read_curves(spark, root, "tf_idf", "Jun_19_2021")
+    return back.select("realization", "report_id", "y_true", "votes")
+
+
+@register("p1_null_counts",
+          "SELECT count_if(doc_id IS NULL) AS n_null_doc_id, count_if(text IS NULL) AS n_null_text, "
+          "count_if(lang IS NULL) AS n_null_lang, count_if(source IS NULL) AS n_null_source FROM documents")
+def p1_null_counts(spark, sf_dir):
+    d = FX.table(spark, sf_dir, "documents")
+    return L.null_counts(d, ["doc_id", "text", "lang", "source"])
+
+
+@register("p2_project_reports", W(FX.SQL_REPORTS) +
+          "SELECT report_id, md5(content) AS content_md5 FROM reports")
+def p2_project_reports(spark, sf_dir):
+    df = L.require_no_nulls(_read_fixture_reports(spark, sf_dir))
+    return df.select("report_id", F.md5("content").alias("content_md5"))
+
+
+@register("p3_classification_entry", W(FX.SQL_REPORTS) +
+          "SELECT report_id, md5(' Lesion_stable|' || ([' Global_stable', ' Global_response', "
+          "' Global_progression', ' Global_unknown'])[label + 1]) AS classes_md5 FROM reports")
+def p3_classification_entry(spark, sf_dir):
+    df = _read_fixture_reports(spark, sf_dir)
+    e = L.classification_entry(df)
+    return df.select("report_id", F.md5(F.array_join(e["classes"], "|")).alias("classes_md5"))
+
+
+@register("p4_global_label", W(FX.SQL_REPORTS) + "SELECT report_id, label FROM reports")
+def p4_global_label(spark, sf_dir):
+    return L.extract_labels(_read_fixture_reports(spark, sf_dir)).select("report_id", "label")
+
+
+@register("p5_drop_unknown", W(FX.SQL_REPORTS) + "SELECT report_id, label FROM reports WHERE label <> 3")
+def p5_drop_unknown(spark, sf_dir):
+    return L.known_labels(L.extract_labels(_read_fixture_reports(spark, sf_dir))).select("report_id", "label")
+
+
+@register("p6_binary_label", W(FX.SQL_REPORTS) +
+          "SELECT report_id, CAST(CASE WHEN label = 2 THEN 1 ELSE label END AS INT) AS y "
+          "FROM reports WHERE label <> 3")
+def p6_binary_label(spark, sf_dir):
+    df = L.known_labels(L.extract_labels(_read_fixture_reports(spark, sf_dir)))
+    return df.select("report_id", L.binary_label(F.col("label")).alias("y"))
+
+
+_KEY_SQL = ("'ngram' || CAST(n_gram AS VARCHAR) || '_pvs' || coalesce(CAST(pvs AS VARCHAR), 'None') "
+            "|| '_mf' || CAST(mf AS VARCHAR)")
+
+
+@register("p8_combo_key", W(FX.SQL_VAL_SCORES) +
+          f"SELECT realization, outer_fold, inner_fold, seq, {_KEY_SQL} AS combo_key FROM val_scores")
+def p8_combo_key(spark, sf_dir):
+    v = FX.val_scores(spark, sf_dir)
+    return v.select("realization", "outer_fold", "inner_fold", "seq",
+                    L.tfidf_combo_key(F.col("n_gram"), F.col("pvs"), F.col("mf")).alias("combo_key"))
+
+
+@register("p9_parse_combo_key", W(FX.SQL_VAL_SCORES) +
+          "SELECT realization, outer_fold, inner_fold, seq, n_gram, pvs, mf FROM val_scores")
+def p9_parse_combo_key(spark, sf_dir):
+    k = p8_combo_key(spark, sf_dir)
+    return k.select("realization", "outer_fold", "inner_fold", "seq", *L.parse_tfidf_key(F.col("combo_key")))
+
+
+def tfidf_grid(spark):
+    rows = [(n, p, m) for n in TFIDF_NGRAMS for p in TFIDF_PVS for m in RF_MAX_FEATURES]
+    return spark.createDataFrame(rows, "n_gram int, pvs double, mf double")
+
+
+@register("p10_off_grid_keys", "SELECT CAST(0 AS BIGINT) AS n_off_grid")
+def p10_off_grid_keys(spark, sf_dir):
+    parsed = p9_parse_combo_key(spark, sf_dir)
+    off = L.off_grid(parsed, tfidf_grid(spark), ["n_gram", "pvs", "mf"])
+    return off.agg(F.count(F.lit(1)).alias("n_off_grid"))
+
+
+@register("p11_no_skill_equal", W(FX.SQL_PRED) + """
+SELECT count(DISTINCT round(ns, 12)) AS n_distinct FROM (
+  SELECT embedding, avg(p) AS ns FROM (
+    SELECT embedding, realization, avg(y_true) AS p FROM pred GROUP BY ALL) GROUP BY embedding)""")
+def p11_no_skill_equal(spark, sf_dir):
+    from ..operators.curves import no_skill
+    return L.distinct_no_skill(no_skill(FX.pred(spark, sf_dir)))
