@@ -80,6 +80,12 @@ def round_half_up(x, decimals: int = 0) -> Column:
     return F.floor(_col(x).cast("double") * F.lit(m) + F.lit(0.5)).cast("double") / F.lit(m)
 
 
+def _gram_at(w: Column, n: int):
+    """Lambda (1-based start -> n-gram) with n bound; a one-argument function,
+    since a second parameter would be read as the element index."""
+    return lambda i: F.array_join(F.slice(w, i, n), " ")
+
+
 def ngrams(words, n_max: int, n_min: int = 1) -> Column:
     """All word n-grams for n in n_min..n_max, joined by a blank, grouped by n."""
     w = _col(words)
@@ -88,7 +94,19 @@ def ngrams(words, n_max: int, n_min: int = 1) -> Column:
         if n == 1:
             parts.append(w)
             continue
-        grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1),
-                            lambda i, n=n: F.array_join(F.slice(w, i, n), " "))
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), _gram_at(w, n))
         parts.append(F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def explode_rows(df, array_col, alias: str, *keep, pos: str | None = None):
+    """One row per array element. ``explode_outer`` + a null filter instead of
+    ``explode``: for ``explode`` the optimizer infers ``size(array) > 0`` and
+    pushes it below the projection, which re-evaluates the whole array
+    expression (tokenizer, n-grams) a second time, inside lambdas per element."""
+    from pyspark.sql import functions as F
+    if pos is None:
+        out = df.select(*keep, F.explode_outer(array_col).alias(alias))
+    else:
+        out = df.select(*keep, F.posexplode_outer(array_col).alias(pos, alias))
+    return out.where(F.col(alias).isNotNull())

@@ -40,7 +40,7 @@ def proper_noun_lexicon(docs: DataFrame, text_col: str = "content",
         x.alias("tok"), F.when(i > 0, F.element_at(t, i)).alias("prev")))
     mid = F.filter(pairs, lambda p: p["prev"].isNotNull() & ~p["prev"].rlike(r"[.!?]")
                    & p["tok"].rlike(r"^\p{L}+$"))
-    occ = toks.select(F.explode(mid).alias("p")).select(
+    occ = T.explode_rows(toks, mid, "p").select(
         F.lower("p.tok").alias("form"), _capitalised(F.col("p.tok")).cast("long").alias("cap"))
     agg = occ.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.sum("cap").alias("n_cap"))
     return (agg.where((F.col("n") >= cfg.lexicon_min_count)
@@ -69,7 +69,7 @@ def drop_proper_nouns_join(df: DataFrame, id_col: str, tokens_col: str,
 
     Adds ``tokens_col`` back with the names removed; reports left with no
     token keep an empty list (left join on the report key)."""
-    exploded = df.select(id_col, F.posexplode(tokens_col).alias("pos", "tok"))
+    exploded = T.explode_rows(df, F.col(tokens_col), "tok", id_col, pos="pos")
     cand = exploded.withColumn(
         "form", F.when(~_bypass(F.col("tok"), keep_words), F.lower("tok")))
     kept = cand.join(lexicon, "form", "left_anti")

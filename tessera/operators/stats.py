@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CLASS_NAMES_2, CLASS_NAMES_4
+from ..functions.text import explode_rows
 
 BOX_PROBS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -52,7 +53,7 @@ def vocabulary_size(cleaned: DataFrame, approx: bool = False) -> DataFrame:
     long = cleaned.select(F.explode(F.array(
         F.struct(F.lit("original").alias("series"), F.col("orig_tokens").alias("t")),
         F.struct(F.lit("preprocessed").alias("series"), F.col("tokens").alias("t")))).alias("s"))
-    toks = long.select(F.col("s.series").alias("series"), F.explode("s.t").alias("token"))
+    toks = explode_rows(long, F.col("s.t"), "token", F.col("s.series").alias("series"))
     agg = F.approx_count_distinct("token") if approx else F.count_distinct("token")
     return toks.groupBy("series").agg(agg.cast("long").alias("vocabulary_size"))
 
@@ -60,7 +61,7 @@ def vocabulary_size(cleaned: DataFrame, approx: bool = False) -> DataFrame:
 def top_tokens(cleaned: DataFrame, k: int = 10, tokens_col: str = "tokens") -> DataFrame:
     """C4: the k most frequent tokens (ties by token). A partial aggregate per
     task, then a top-k without a global sort."""
-    counts = (cleaned.select(F.explode(tokens_col).alias("token"))
+    counts = (explode_rows(cleaned, F.col(tokens_col), "token")
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     return counts.orderBy(F.col("n").desc(), F.col("token")).limit(k)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import RF_MAX_FEATURES, TFIDF_NGRAMS, TFIDF_PVS
 from ..functions.hashing import hex_int, seed_key
-from ..functions.text import TOKEN_PATTERN
+from ..functions.text import TOKEN_PATTERN, explode_rows
 
 N_PRED_REALIZATIONS = 10
 EMBEDDINGS = ("tf_idf", "d2v")
@@ -99,7 +99,7 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_PATTERN), 0),
                                       lambda w: w.rlike(r"^[\p{L}\p{N}]+$")))
-    x = d.select(F.col("doc_id").alias("report_id"), F.explode(words).alias("word"))
+    x = explode_rows(d, words, "word", F.col("doc_id").alias("report_id"))
     x = x.withColumn("weight", (_h(F.col("report_id"), F.col("word")) - 32768) / F.lit(65536))
     w = Window.partitionBy("report_id").orderBy(F.abs("weight").desc(), "word")
     return (x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 6))
