@@ -53,9 +53,9 @@ def stratified_fold(df: DataFrame, k: int, key_parts: Sequence, label_col: str =
     return out.drop("_h", "_b", "_o")
 
 
-def with_realizations(df: DataFrame, n: int, col: str = "realization") -> DataFrame:
+def with_realizations(df: DataFrame, n: int, col: str = "realization", first_seed: int = 0) -> DataFrame:
     """one copy of every row per realization seed (explode, no join)."""
-    return df.withColumn(col, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return df.withColumn(col, F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + n - 1))))
 
 
 def patient_purity(df: DataFrame, group_cols: Sequence[str], fold_col: str, patient_col: str = "ipp",
@@ -68,10 +68,11 @@ def patient_purity(df: DataFrame, group_cols: Sequence[str], fold_col: str, pati
 
 
 def outer_folds(reports: DataFrame, realizations: int, k: int, label_col: str = "label",
-                id_col: str = "report_id", patient_col: str = "ipp") -> DataFrame:
+                id_col: str = "report_id", patient_col: str = "ipp", first_seed: int = 0) -> DataFrame:
     """F1 + F2 + F6: (realization, report_id, label, ipp, test_fold, pure).
-    Row r is tested in fold f iff test_fold = f and pure; otherwise it trains."""
-    x = with_realizations(reports.select(id_col, label_col, patient_col), realizations)
+    Row r is tested in fold f iff test_fold = f and pure; otherwise it trains.
+    Realization i uses seed ``first_seed + i``."""
+    x = with_realizations(reports.select(id_col, label_col, patient_col), realizations, first_seed=first_seed)
     x = stratified_fold(x, k, [F.col("realization")], label_col, id_col, ["realization"], "test_fold")
     return patient_purity(x, ["realization"], "test_fold", patient_col, "pure")
 
