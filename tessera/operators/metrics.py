@@ -90,9 +90,11 @@ def summarize(per_realization: DataFrame, keys: Sequence[str] = ("embedding",),
 
 def report_lines(summary: DataFrame, keys: Sequence[str] = ("embedding",),
                  metrics: Sequence[str] = METRICS) -> DataFrame:
-    """``mean ± std`` to two decimals, one row per (keys, metric)."""
+    """``mean ± std`` to two decimals, one row per (keys, metric). Values
+    are first rounded to 9 decimals so float summation order cannot move a
+    value across a rounding boundary."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric"),
-                              F.concat(F.format_number(F.col(f"{m}_mean"), 2), F.lit(" ± "),
-                                       F.format_number(F.col(f"{m}_std"), 2)).alias("text"))
+                              F.concat(F.format_number(F.round(f"{m}_mean", 9), 2), F.lit(" ± "),
+                                       F.format_number(F.round(f"{m}_std", 9), 2)).alias("text"))
                      for m in metrics])
     return summary.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")

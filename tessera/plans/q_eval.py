@@ -205,7 +205,7 @@ def g13_compare_embeddings(spark, sf_dir):
 
 @register("g14_report_lines", _g8_sql(
     "SELECT embedding, metric, text FROM (" + " UNION ALL ".join(
-        f"SELECT embedding, '{m}' AS metric, printf('%.2f', {m}_mean) || ' ± ' || printf('%.2f', {m}_std) AS text "
+        f"SELECT embedding, '{m}' AS metric, printf('%.2f', round({m}_mean, 9)) || ' ± ' || printf('%.2f', round({m}_std, 9)) AS text "
         "FROM summary" for m in MT.METRICS) + ")"))
 def g14_report_lines(spark, sf_dir):
     return MT.report_lines(g8_metric_summary(spark, sf_dir))
