@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from . import (q_text, q_labels, q_splits, q_features, q_eval,  # noqa: F401
-                   q_explain, q_models)
+                   q_explain, q_models, q_embed)

@@ -70,7 +70,7 @@ def _fit_split(docs: DataFrame, vocab: DataFrame, split_id: str, n_gram: int, tr
     ap = vec.transform(d.join(apply, "report_id")).select("report_id", "y", "features")
     out = []
     for mf in mfs:
-        model = RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins).fit(tr)
+        model = RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins), tr)
         out.append((mf, RF.predict(model, ap).select("report_id", "y", "y_pred", "score")))
     return out
 
@@ -192,7 +192,7 @@ def lime_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig
                            "report_id")
             te = docs.join(oroles.where((F.col("split_id") == sid) & (F.col("role") == "test")).select("report_id"),
                            "report_id")
-            model = RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins).fit(vec.transform(tr))
+            model = RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins), vec.transform(tr))
             pred = RF.predict(model, vec.transform(te)).select("report_id", "y", "y_pred", "score", "tokens")
             pred = pred.withColumn("outcome", X.outcome(F.col("y"), F.col("y_pred")))
             # X3 -> X4: perturb, re-vectorize, score with the same forest
@@ -218,3 +218,81 @@ def lime_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig
     return {"predictions": numbered, "explanations": expls,
             "common_words": X.common_words(expls),
             "metrics": MT.binary_metrics(preds, ["embedding", "realization"])}
+
+
+# ------------------------------------------------------- paragraph-vector run
+def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(), epochs: int | None = None,
+            infer_epochs: int | None = None, unit: str = "token", embedding: str = "d2v") -> RunResult:
+    """M12 with paragraph vectors: per (split, type, size) one model trained on
+    the split's training rows (tag = class label), vectors inferred for its
+    training and held-out rows, one forest per max_features value.
+
+    ``unit='char'`` trains on the characters of the cleaned text, which is
+    what handing a string where a word list is expected amounts to."""
+    from pyspark.ml.functions import array_to_vector
+
+    from ..operators import doc2vec as DV
+    cleaned, folds, _ = prepare(reports, cfg)
+    inner = cut_lineage(SP.inner_folds(folds, cfg.outer_folds, cfg.inner_folds))
+    words = F.col("tokens") if unit == "token" else F.split(F.col("clean_text"), "")
+    docs = cut_lineage(SP.binary_task(cleaned).select("report_id", "y", words.alias("words")))
+    grid = [(s, t, v, m) for s, (t, v, m) in enumerate(
+        (t, v, m) for t in cfg.d2v_types for v in cfg.d2v_sizes for m in cfg.max_features)]
+    ep = cfg.d2v_epochs if epochs is None else epochs
+    iep = cfg.d2v_infer_epochs if infer_epochs is None else infer_epochs
+
+    def fit_split(train_ids, apply_ids, d2v_type, size, mfs, seed):
+        tr = docs.join(train_ids, "report_id")
+        ap = docs.join(apply_ids, "report_id")
+        model = DV.train(spark, tr.withColumnRenamed("y", "tag"),
+                         DV.D2VParams(dm=d2v_type, size=size, epochs=ep, infer_epochs=iep, seed=seed))
+        feats = lambda d: DV.infer(spark, model, d).join(d.select("report_id", "y"), "report_id") \
+            .withColumn("features", array_to_vector("vector"))
+        ftr, fap = feats(tr), feats(ap)
+        return [(mf, RF.predict(RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins), ftr), fap)
+                 .select("report_id", "y", "y_pred", "score")) for mf in mfs]
+
+    roles = cut_lineage(SP.binary_task(SP.inner_roles(inner, cfg.inner_folds))
+                        .select("realization", "outer_fold", "val_fold", "report_id", "role"))
+    folds_list = roles.select("realization", "outer_fold", "val_fold").distinct().collect()
+    vgrid = sorted({(t, v) for _, t, v, _ in grid})
+
+    def task(f, t, v):
+        def run():
+            sel = roles.where((F.col("realization") == f["realization"]) & (F.col("outer_fold") == f["outer_fold"])
+                              & (F.col("val_fold") == f["val_fold"]))
+            res = []
+            for mf, p in fit_split(sel.where(F.col("role") == "train").select("report_id"),
+                                   sel.where(F.col("role") == "val").select("report_id"), t, v,
+                                   cfg.max_features, f["realization"]):
+                m = MT.binary_metrics(p.withColumnRenamed("y", "y_true"), []).first()
+                seq = next(g for g, tt, vv, mm in grid if tt == t and vv == v and mm == mf)
+                res.append((f["realization"], f["outer_fold"], f["val_fold"], seq, t, v, float(mf),
+                            float(m["f1"]) if m else 0.0))
+            return res
+        return run
+    rows = [r for rs in RF.run_parallel([task(f, t, v) for f in folds_list for t, v in vgrid],
+                                        cfg.concurrent_fits) for r in rs]
+    val_scores = spark.createDataFrame(
+        rows, "realization int, outer_fold int, inner_fold int, seq int, d2v_type int, size int, mf double, f1 double")
+    params = ["d2v_type", "size", "mf"]
+    best_inner = TU.best_per_inner_fold(val_scores, ["realization", "outer_fold", "inner_fold"], params)
+    best_outer = cut_lineage(TU.best_per_outer_fold(best_inner, ["realization", "outer_fold"], "inner_fold", params))
+    oroles = cut_lineage(SP.binary_task(SP.outer_roles(folds, cfg.outer_folds))
+                         .select("realization", "outer_fold", "report_id", "role"))
+
+    def otask(b):
+        def run():
+            sel = oroles.where((F.col("realization") == b["realization"]) & (F.col("outer_fold") == b["outer_fold"]))
+            [(_, p)] = fit_split(sel.where(F.col("role") == "train").select("report_id"),
+                                 sel.where(F.col("role") == "test").select("report_id"),
+                                 b["d2v_type"], b["size"], [b["mf"]], b["realization"])
+            return p.select(F.lit(b["realization"]).alias("realization"), F.lit(b["outer_fold"]).alias("outer_fold"),
+                            "report_id", F.col("y").alias("y_true"), "y_pred", "score")
+        return run
+    preds = RF.run_parallel([otask(b) for b in best_outer.collect()], cfg.concurrent_fits)
+    pooled = preds[0]
+    for p in preds[1:]:
+        pooled = pooled.unionByName(p)
+    pooled = cut_lineage(pooled.select(F.lit(embedding).alias("embedding"), "*"))
+    return _finish(pooled, val_scores, best_outer, params)
