@@ -101,7 +101,10 @@ class RunConfig:
     min_df: int = MIN_DF
     max_df: float = MAX_DF
     binary: bool = True
-    # Largest vocabulary handed to the forest (feature histograms grow with it).
+    # Optional explicit vocabulary cap per split (None: only the pvs rule).
     max_vocab: int | None = None
+    # Largest split vocabulary assembled into a vectorizer model; a bigger one
+    # raises (choose pvs or max_vocab) instead of being cut silently.
+    max_model_terms: int = 2_000_000
     concurrent_fits: int = 4
     clean: CleanConfig = field(default_factory=CleanConfig)

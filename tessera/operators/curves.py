@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import CURVE_GRID
+from ..functions.ranking import running_sums
+
+# Score buckets per unit of score for the two-level running sums.
+SCORE_BUCKETS = 4096
 
 
 def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score",
@@ -26,11 +30,24 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score",
     s = df.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(F.col(y_true).cast("long")).alias("p"),
         F.sum((1 - F.col(y_true)).cast("long")).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    g = Window.partitionBy(*keys)
-    return (s.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
-             .withColumn("n_pos", F.sum("p").over(g)).withColumn("n_neg", F.sum("n").over(g)))
+    # running totals in descending score order, in two levels (score buckets)
+    bucket = F.floor(F.col("score").cast("double") * F.lit(SCORE_BUCKETS)).cast("long")
+    c = running_sums(s.withColumn("_one", F.lit(1)), keys, [F.col("score").desc()], bucket,
+                     ["p", "n", "_one"], bucket_desc=True)
+    # tp/fp so far, and k = 1-based position of the score, highest first
+    c = c.withColumnRenamed("p_cum", "tp").withColumnRenamed("n_cum", "fp") \
+         .withColumnRenamed("_one_cum", "k").drop("_one")
+    totals = s.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    return c.join(totals, keys)
+
+
+def _neighbours(df: DataFrame, keys, pos: str, cols) -> DataFrame:
+    """Previous/next row values by equi-joins on position +-1 (no window)."""
+    keys = list(keys)
+    base = df.select(*keys, pos, *cols)
+    nxt = base.select(*keys, (F.col(pos) - 1).alias(pos), *[F.col(c).alias(f"{c}_next") for c in cols])
+    prv = base.select(*keys, (F.col(pos) + 1).alias(pos), *[F.col(c).alias(f"{c}_prev") for c in cols])
+    return df.join(nxt, keys + [pos], "left").join(prv, keys + [pos], "left")
 
 
 def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", y_true: str = "y_true",
@@ -40,19 +57,19 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", y_true:
     usual ROC routine does."""
     keys = list(keys)
     c = score_counts(df, keys, score, y_true)
-    o = Window.partitionBy(*keys).orderBy(F.col("score").desc())
-    c = c.withColumn("k", F.row_number().over(o))
     if drop_intermediate:
-        for col in ("fp", "tp"):
-            c = c.withColumn(f"_d{col}", F.lead(col).over(o) - 2 * F.col(col) + F.lag(col).over(o))
-        c = c.where(F.col("_dtp").isNull() | (F.col("_dfp") != 0) | (F.col("_dtp") != 0))
+        c = _neighbours(c, keys, "k", ["fp", "tp"])
+        d2 = lambda v: F.col(f"{v}_next") - 2 * F.col(v) + F.col(f"{v}_prev")
+        c = c.where(F.col("tp_next").isNull() | F.col("tp_prev").isNull() | (d2("fp") != 0) | (d2("tp") != 0))
     pts = c.select(*keys, "k", "fp", "tp", "n_pos", "n_neg")
     start = (pts.groupBy(*keys).agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
-                .select(*keys, F.lit(0).alias("k"), F.lit(0).cast("long").alias("fp"),
+                .select(*keys, F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("fp"),
                         F.lit(0).cast("long").alias("tp"), "n_pos", "n_neg"))
     allp = pts.unionByName(start)
-    seq = F.row_number().over(Window.partitionBy(*keys).orderBy("k")) - 1
-    return allp.select(*keys, seq.alias("seq"),
+    # renumber the kept points 0.. in order (k is already increasing)
+    allp = running_sums(allp.withColumn("_one", F.lit(1)), keys, [F.col("k")],
+                        F.floor(F.col("k") / F.lit(SCORE_BUCKETS)), ["_one"])
+    return allp.select(*keys, (F.col("_one_cum") - 1).cast("int").alias("seq"),
                        F.try_divide(F.col("fp").cast("double"), F.col("n_neg")).alias("fpr"),
                        F.try_divide(F.col("tp").cast("double"), F.col("n_pos")).alias("tpr"))
 
@@ -61,9 +78,8 @@ def roc_auc(df: DataFrame, keys: Sequence[str], score: str = "score", y_true: st
     """Trapezoid area under the ROC curve, integer sums, one division."""
     keys = list(keys)
     c = score_counts(df, keys, score, y_true)
-    o = Window.partitionBy(*keys).orderBy(F.col("score").desc())
-    c = c.withColumn("tp0", F.coalesce(F.lag("tp").over(o), F.lit(0))) \
-         .withColumn("fp0", F.coalesce(F.lag("fp").over(o), F.lit(0)))
+    # the previous point is the running total before this score: no lag
+    c = c.withColumn("tp0", F.col("tp") - F.col("p")).withColumn("fp0", F.col("fp") - F.col("n"))
     area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")))
     return c.groupBy(*keys).agg(
         F.try_divide(area.cast("double"), (F.max("n_pos") * F.max("n_neg") * 2).cast("double")).alias("auc"))
@@ -75,27 +91,25 @@ def pr_points(df: DataFrame, keys: Sequence[str], score: str = "score", y_true:
     the (0, 1) anchor, then one point per distinct score, highest first."""
     keys = list(keys)
     c = score_counts(df, keys, score, y_true)
-    o = Window.partitionBy(*keys).orderBy(F.col("score").desc())
-    c = c.withColumn("k", F.row_number().over(o))
     if stop_at_full_recall:
-        first_full = F.min(F.when(F.col("tp") == F.col("n_pos"), F.col("k"))).over(Window.partitionBy(*keys))
-        c = c.where(F.col("k") <= first_full)
+        ff = c.groupBy(*keys).agg(F.min(F.when(F.col("tp") == F.col("n_pos"), F.col("k"))).alias("_ff"))
+        c = c.join(ff, keys).where(F.col("k") <= F.col("_ff")).drop("_ff")
     pts = c.select(*keys, "k", F.try_divide(F.col("tp").cast("double"), F.col("n_pos")).alias("recall"),
                    F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")),
                               F.lit(0.0)).alias("precision"))
-    anchor = pts.select(*keys).distinct().select(*keys, F.lit(0).alias("k"), F.lit(0.0).alias("recall"),
+    anchor = pts.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("recall"),
                                                  F.lit(1.0).alias("precision"))
-    return pts.unionByName(anchor).withColumnRenamed("k", "seq")
+    return pts.unionByName(anchor).withColumn("k", F.col("k").cast("int")).withColumnRenamed("k", "seq")
 
 
 def pr_auc(df: DataFrame, keys: Sequence[str], score: str = "score", y_true: str = "y_true") -> DataFrame:
     """Trapezoid area under the PR curve from the (0, 1) anchor."""
     keys = list(keys)
     c = score_counts(df, keys, score, y_true)
-    o = Window.partitionBy(*keys).orderBy(F.col("score").desc())
+    tp0, fp0 = F.col("tp") - F.col("p"), F.col("fp") - F.col("n")
     prec = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))
-    c = c.withColumn("prec", prec).withColumn("tp0", F.coalesce(F.lag("tp").over(o), F.lit(0))) \
-         .withColumn("prec0", F.coalesce(F.lag("prec").over(o), F.lit(1.0)))
+    c = c.withColumn("prec", prec).withColumn("tp0", tp0) \
+         .withColumn("prec0", F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(tp0.cast("double") / (tp0 + fp0)))
     area = F.sum((F.col("tp") - F.col("tp0")) * (F.col("prec") + F.col("prec0")))
     return c.groupBy(*keys).agg(F.try_divide(area, (F.max("n_pos") * 2).cast("double")).alias("aupr"))
 
@@ -114,10 +128,12 @@ def interpolate(points: DataFrame, keys: Sequence[str], x: str, y: str, seq: str
     before the first point, each rising segment [x_j, x_j+1), from the last
     point on - and each piece emits only the grid indices it covers (no join)."""
     keys = list(keys)
-    o = Window.partitionBy(*keys).orderBy("_seq")
-    s = (points.select(*keys, F.col(seq).alias("_seq"), F.col(x).alias("x0"), F.col(y).alias("y0"))
-         .withColumn("x1", F.lead("x0").over(o)).withColumn("y1", F.lead("y0").over(o))
-         .withColumn("is_first", F.row_number().over(o) == 1))
+    s = points.select(*keys, F.col(seq).alias("_seq"), F.col(x).alias("x0"), F.col(y).alias("y0"))
+    # segment ends by an equi-join on seq + 1; first point = smallest seq
+    nxt = s.select(*keys, (F.col("_seq") - 1).alias("_seq"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    first = s.groupBy(*keys).agg(F.min("_seq").alias("_s0"))
+    s = s.join(nxt, keys + ["_seq"], "left").join(first, keys) \
+         .withColumn("is_first", F.col("_seq") == F.col("_s0")).drop("_s0")
     last = CURVE_GRID - 1
     x0, x1 = F.col("x0"), F.col("x1")
     near = lambda v, d: F.least(F.greatest(F.floor(v * last).cast("int") + d, F.lit(0)), F.lit(last))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.ranking import running_number
 
 
 def round_half_up_int(x: float) -> int:
@@ -85,8 +86,8 @@ def cap_vocabulary(pruned: DataFrame, k: Column | int | None) -> DataFrame:
     j = x.join(hist.select("split_id", "ctf", "_above", "_mode"), ["split_id", "ctf"])
     keep = j.where(F.col("_mode") == 0)
     tie = j.where(F.col("_mode") == 1)
-    tie = tie.withColumn("_r", F.row_number().over(Window.partitionBy("split_id", "ctf").orderBy("term"))) \
-             .where(F.col("_above") + F.col("_r") <= F.col("_k")).drop("_r")
+    tie = running_number(tie, ["split_id", "ctf"], ["term"], F.substring("term", 1, 2), "_r") \
+        .where(F.col("_above") + F.col("_r") <= F.col("_k")).drop("_r")
     return keep.unionByName(tie).drop("_k", "_above", "_mode")
 
 

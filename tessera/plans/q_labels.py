@@ -122,3 +122,42 @@ SELECT count(DISTINCT round(ns, 12)) AS n_distinct FROM (
 def p11_no_skill_equal(spark, sf_dir):
     from ..operators.curves import no_skill
     return L.distinct_no_skill(no_skill(FX.pred(spark, sf_dir)))
+
+
+@register("s3_vectors_tsv")
+def s3_vectors_tsv(spark, sf_dir):
+    """Vectors of the labelled reports as tab-separated lines, one folder per
+    test fold, read back: (outer_fold, n_lines, n_values)."""
+    from ..operators import features as FE
+    from ..operators import splits as SP
+    from .q_features import TOP_K, labelled_docs
+    docs = labelled_docs(spark, sf_dir)
+    members = docs.select(F.lit(0).alias("split_id"), "report_id")
+    v = FE.vocabulary(FE.doc_terms(docs, "text", 2), members, k=TOP_K)
+    vec = FE.vectorizer_model([(r["term"], r["idf"]) for r in v.select("term", "idf").collect()])
+    rep = SP.with_realizations(FX.reports(spark, sf_dir).select("report_id", "label"), 1)
+    folds = SP.stratified_fold(rep, 5, [F.col("realization")], group_cols=["realization"], out_col="outer_fold")
+    x = vec.transform(FE.with_terms(docs, "text", 2)).join(folds.select("report_id", "label", "outer_fold"),
+                                                           "report_id")
+    out = scratch_path(spark, "vectors-tsv")
+    K.write_vectors_tsv(x, out)
+    back = spark.read.text(f"{out}/vectors")
+    return back.groupBy("outer_fold").agg(F.count(F.lit(1)).alias("n_lines"),
+                                          F.sum(F.size(F.split("value", "\t"))).alias("n_values"))
+
+
+@register("s6_explanations_sink", FX.with_ctes(FX.SQL_PRED, FX.SQL_EXPLANATIONS) + """
+SELECT CASE WHEN p.y_true = 1 AND p.votes * 2 > 51 THEN 'TP' WHEN p.y_true = 0 AND p.votes * 2 > 51 THEN 'FP'
+            WHEN p.y_true = 0 THEN 'TN' ELSE 'FN' END AS outcome, 'tf_idf' AS embedding,
+       e.report_id, e.word, e.weight, CAST(e.rank AS INT) AS rank
+FROM explanations e JOIN pred p ON p.report_id = e.report_id AND p.embedding = 'tf_idf' AND p.realization = 0""")
+def s6_explanations_sink(spark, sf_dir):
+    """Explanations written in folders by outcome and embedding, read back."""
+    from ..operators.explain import outcome
+    p = FX.pred(spark, sf_dir).where((F.col("embedding") == "tf_idf") & (F.col("realization") == 0))
+    o = p.select("report_id", outcome(F.col("y_true"), F.when(F.col("votes") * 2 > 51, 1).otherwise(0)).alias("outcome"))
+    e = FX.explanations(spark, sf_dir).join(o, "report_id").withColumn("embedding", F.lit("tf_idf"))
+    root = scratch_path(spark, "explanations")
+    K.write_explanations(e, root)
+    back = spark.read.parquet(root)
+    return back.select("outcome", "embedding", "report_id", "word", "weight", F.col("rank").cast("int"))

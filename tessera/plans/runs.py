@@ -50,10 +50,15 @@ def _cap(vocab_size: int, pvs_col):
     return F.coalesce(k, F.lit(NO_CAP))
 
 
+def _with_max_vocab(k, cfg: RunConfig):
+    return k if cfg.max_vocab is None else F.least(k, F.lit(int(cfg.max_vocab)))
+
+
 def split_vocabularies(doc_terms: DataFrame, members: DataFrame, vocab_size: int, cfg: RunConfig) -> DataFrame:
     """E3-E5 for many splits in one job. ``members``: (split_id, report_id, n_gram, pvs)."""
     stats, n_docs = FE.term_stats(doc_terms, members)
-    caps = members.select("split_id", "pvs").distinct().withColumn("_kk", _cap(vocab_size, F.col("pvs")))
+    caps = members.select("split_id", "pvs").distinct().withColumn(
+        "_kk", _with_max_vocab(_cap(vocab_size, F.col("pvs")), cfg))
     pruned = FE.prune_df(stats, n_docs, cfg.min_df, cfg.max_df).join(caps.select("split_id", "_kk"), "split_id")
     v = FE.cap_vocabulary(pruned, F.col("_kk")).drop("_kk")
     return v.withColumn("idf", FE.idf_column(F.col("n_docs"), F.col("df"))).select("split_id", "term", "idf")
@@ -63,7 +68,11 @@ def _fit_split(docs: DataFrame, vocab: DataFrame, split_id: str, n_gram: int, tr
                apply: DataFrame, mfs, cfg: RunConfig, seed: int):
     """One split: its vectorizer (collected vocabulary = the model) and one
     forest per max_features value. Returns [(mf, predictions DataFrame)]."""
-    rows = [(r["term"], r["idf"]) for r in vocab.where(F.col("split_id") == split_id).select("term", "idf").collect()]
+    sv = vocab.where(F.col("split_id") == split_id).select("term", "idf")
+    n_terms = sv.count()
+    if n_terms > cfg.max_model_terms:
+        raise ValueError(f"split {split_id}: {n_terms} terms exceed max_model_terms; set pvs or max_vocab")
+    rows = [(r["term"], r["idf"]) for r in sv.collect()]
     d = docs.withColumn("terms", F.filter("terms", lambda t: F.size(F.split(t, " ")) <= n_gram))
     vec = FE.vectorizer_model(rows)
     tr = vec.transform(d.join(train, "report_id")).select("report_id", "y", "features")

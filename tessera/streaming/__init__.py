@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference runs one-shot batch scripts only (no watermarks, windows over
+event time, state or late data), so there is no streaming operator to rebuild.
+The cleaning projection (``operators.clean.clean_reports`` with
+``remove_proper_nouns=False`` or a lexicon passed in) is narrow and applies to
+a streaming DataFrame unchanged.
+"""
