@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.ranking import running_number
+from ..session import cut_lineage
 
 
 def round_half_up_int(x: float) -> int:
@@ -57,6 +58,39 @@ def term_stats(terms: DataFrame, members: DataFrame, n_max_col: Column | None =
     return stats, n_docs
 
 
+def heldout_term_stats(terms: DataFrame, universe: DataFrame, parent_cols, n_folds: int,
+                       id_col: str = "report_id") -> tuple[DataFrame, DataFrame]:
+    """E3 for k-fold splits: per (parent, fold) the statistics of the
+    training documents = the parent's totals minus the documents held out in
+    that fold. Held-out sets partition a parent's documents, so one
+    aggregation over (parent, fold, term) serves all k splits, instead of
+    joining every document-term row to each of the k-1 splits it trains in.
+    The statistics do not depend on n-gram length or cap: those filters apply
+    afterwards, on the small per-term table.
+
+    ``universe``: (parent..., report_id, fold) with fold = the held-out fold,
+    or -1 for documents that train in every fold of the parent.
+    Returns (parent..., fold, term, n, df, ctf) and (parent..., fold, n_docs)."""
+    pc = list(parent_cols)
+    g = terms.join(universe.select(*pc, id_col, "fold"), id_col)
+    part = g.groupBy(*pc, "fold", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"),
+                                             F.first("n").alias("n"))
+    total = part.groupBy(*pc, "term").agg(F.sum("df").alias("df_all"), F.sum("ctf").alias("ctf_all"),
+                                          F.first("n").alias("n"))
+    per = total.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    held = part.where(F.col("fold") >= 0).select(*pc, "fold", "term", F.col("df").alias("_hd"),
+                                                 F.col("ctf").alias("_hc"))
+    stats = per.join(held, pc + ["fold", "term"], "left").select(
+        *pc, "fold", "term", "n", (F.col("df_all") - F.coalesce("_hd", F.lit(0))).alias("df"),
+        (F.col("ctf_all") - F.coalesce("_hc", F.lit(0))).alias("ctf")).where(F.col("df") > 0)
+    sizes = universe.groupBy(*pc, "fold").agg(F.count(F.lit(1)).alias("_c"))
+    tot = sizes.groupBy(*pc).agg(F.sum("_c").alias("_all"))
+    per_fold = tot.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    n_docs = per_fold.join(sizes.where(F.col("fold") >= 0), pc + ["fold"], "left").select(
+        *pc, "fold", (F.col("_all") - F.coalesce("_c", F.lit(0))).alias("n_docs"))
+    return stats, n_docs
+
+
 def prune_df(stats: DataFrame, n_docs: DataFrame, min_df: int = 2, max_df: float = 0.9) -> DataFrame:
     """Keep terms with df >= min_df and df <= max_df * n_docs (max_df as a
     share when float, a count when int). ``n_docs`` is one row per split."""
@@ -75,7 +109,9 @@ def cap_vocabulary(pruned: DataFrame, k: Column | int | None) -> DataFrame:
     if k is None:
         return pruned
     kc = k if isinstance(k, Column) else F.lit(int(k))
-    x = pruned.withColumn("_k", kc)
+    # the cut reads its input three times (histogram, kept rows, tied rows):
+    # materialise it once in the shared checkpoint folder
+    x = cut_lineage(pruned.withColumn("_k", kc))
     hist = x.groupBy("split_id", "ctf").agg(F.count(F.lit(1)).alias("_c"), F.first("_k").alias("_k"))
     w = Window.partitionBy("split_id").orderBy(F.col("ctf").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

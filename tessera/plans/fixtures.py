@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import RF_MAX_FEATURES, TFIDF_NGRAMS, TFIDF_PVS
 from ..functions.hashing import hex_int, seed_key
 from ..functions.text import TOKEN_PATTERN, explode_rows
+from ..session import spread
 
 N_PRED_REALIZATIONS = 10
 EMBEDDINGS = ("tf_idf", "d2v")
@@ -35,8 +36,9 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = d.join(lab, d.doc_id == lab.l_doc_id, "left")
     label = (F.when(F.col("l_doc_id").isNull(), 3).when(F.col("toxic") == 1, 2)
              .when(F.col("quality") == 0, 1).otherwise(0))
-    return j.select(F.col("doc_id").alias("report_id"), F.col("text").alias("content"), "lang",
-                    F.expr("doc_id div 2").alias("ipp"), label.cast("int").alias("label"))
+    out = j.select(F.col("doc_id").alias("report_id"), F.col("text").alias("content"), "lang",
+                   F.expr("doc_id div 2").alias("ipp"), label.cast("int").alias("label"))
+    return spread(out, "report_id")
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +101,7 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_PATTERN), 0),
                                       lambda w: w.rlike(r"^[\p{L}\p{N}]+$")))
-    x = explode_rows(d, words, "word", F.col("doc_id").alias("report_id"))
+    x = explode_rows(spread(d, "doc_id"), words, "word", F.col("doc_id").alias("report_id"))
     x = x.withColumn("weight", (_h(F.col("report_id"), F.col("word")) - 32768) / F.lit(65536))
     w = Window.partitionBy("report_id").orderBy(F.abs("weight").desc(), "word")
     return (x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 6))

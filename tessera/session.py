@@ -66,3 +66,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never a local one): survives executor loss."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when it has fewer partitions than the
+    cluster has cores (e.g. a text table stored as one row group), so the
+    per-report text work runs in parallel. Large inputs already scan in many
+    partitions and are left alone: no extra shuffle at scale."""
+    sc = df.sparkSession.sparkContext
+    n = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key) if key else df.repartition(n)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 CLASSIFICATION_ENTRY = T.StructType([
     T.StructField("label", T.StringType()),
     T.StructField("classes", T.ArrayType(T.StringType())),
@@ -57,7 +59,7 @@ def read_reports(spark: SparkSession, paths: Sequence[str] | str,
           .option("pathGlobFilter", "*.json").json(paths))
     if "report_id" not in df.columns:
         df = df.withColumn("report_id", F.monotonically_increasing_id())
-    return df
+    return spread(df, "report_id")
 
 
 def ingest_reports(spark: SparkSession, paths, out_path: str,
