@@ -22,14 +22,33 @@ from ..functions.ranking import running_sums
 SCORE_BUCKETS = 4096
 
 
+# Largest number of distinct scores per curve ordered by a plain window (one
+# task per curve); above it the two-level path (score buckets) is used.
+CURVE_WINDOW_MAX = 1_000_000
+
+
+def _curve_sizes_small(s: DataFrame, keys) -> bool:
+    """One small aggregate: do all curves fit the per-curve window bound?"""
+    m = s.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (m or 0) <= CURVE_WINDOW_MAX
+
+
 def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score",
                  y_true: str = "y_true") -> DataFrame:
     """Positives/negatives per (curve, distinct score), with running totals
-    in descending score order and curve totals."""
+    tp/fp in descending score order, the 1-based position k of the score and
+    the curve totals n_pos/n_neg."""
     keys = list(keys)
     s = df.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(F.col(y_true).cast("long")).alias("p"),
         F.sum((1 - F.col(y_true)).cast("long")).alias("n"))
+    if _curve_sizes_small(s, keys):
+        o = Window.partitionBy(*keys).orderBy(F.col("score").desc())
+        w = o.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        g = Window.partitionBy(*keys)
+        return (s.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
+                 .withColumn("k", F.row_number().over(o).cast("long"))
+                 .withColumn("n_pos", F.sum("p").over(g)).withColumn("n_neg", F.sum("n").over(g)))
     # running totals in descending score order, in two levels (score buckets)
     bucket = F.floor(F.col("score").cast("double") * F.lit(SCORE_BUCKETS)).cast("long")
     c = running_sums(s.withColumn("_one", F.lit(1)), keys, [F.col("score").desc()], bucket,
@@ -41,9 +60,15 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score",
     return c.join(totals, keys)
 
 
-def _neighbours(df: DataFrame, keys, pos: str, cols) -> DataFrame:
-    """Previous/next row values by equi-joins on position +-1 (no window)."""
+def _neighbours(df: DataFrame, keys, pos: str, cols, small: bool = False) -> DataFrame:
+    """Previous/next row values: lag/lead for small curves, else equi-joins
+    on position +-1 (no window over a whole curve)."""
     keys = list(keys)
+    if small:
+        o = Window.partitionBy(*keys).orderBy(pos)
+        for c in cols:
+            df = df.withColumn(f"{c}_next", F.lead(c).over(o)).withColumn(f"{c}_prev", F.lag(c).over(o))
+        return df
     base = df.select(*keys, pos, *cols)
     nxt = base.select(*keys, (F.col(pos) - 1).alias(pos), *[F.col(c).alias(f"{c}_next") for c in cols])
     prv = base.select(*keys, (F.col(pos) + 1).alias(pos), *[F.col(c).alias(f"{c}_prev") for c in cols])
@@ -57,8 +82,9 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", y_true:
     usual ROC routine does."""
     keys = list(keys)
     c = score_counts(df, keys, score, y_true)
+    small = _curve_sizes_small(c, keys)
     if drop_intermediate:
-        c = _neighbours(c, keys, "k", ["fp", "tp"])
+        c = _neighbours(c, keys, "k", ["fp", "tp"], small)
         d2 = lambda v: F.col(f"{v}_next") - 2 * F.col(v) + F.col(f"{v}_prev")
         c = c.where(F.col("tp_next").isNull() | F.col("tp_prev").isNull() | (d2("fp") != 0) | (d2("tp") != 0))
     pts = c.select(*keys, "k", "fp", "tp", "n_pos", "n_neg")
@@ -67,8 +93,11 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", y_true:
                         F.lit(0).cast("long").alias("tp"), "n_pos", "n_neg"))
     allp = pts.unionByName(start)
     # renumber the kept points 0.. in order (k is already increasing)
-    allp = running_sums(allp.withColumn("_one", F.lit(1)), keys, [F.col("k")],
-                        F.floor(F.col("k") / F.lit(SCORE_BUCKETS)), ["_one"])
+    if small:
+        allp = allp.withColumn("_one_cum", F.row_number().over(Window.partitionBy(*keys).orderBy("k")))
+    else:
+        allp = running_sums(allp.withColumn("_one", F.lit(1)), keys, [F.col("k")],
+                            F.floor(F.col("k") / F.lit(SCORE_BUCKETS)), ["_one"])
     return allp.select(*keys, (F.col("_one_cum") - 1).cast("int").alias("seq"),
                        F.try_divide(F.col("fp").cast("double"), F.col("n_neg")).alias("fpr"),
                        F.try_divide(F.col("tp").cast("double"), F.col("n_pos")).alias("tpr"))

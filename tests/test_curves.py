@@ -50,3 +50,21 @@ def test_zero_denominators(spark):
     m = {r.g: r for r in MT.binary_metrics(df, ["g"]).collect()}
     assert m[0].precision == 0.0 and m[0].recall == 0.0 and m[0].f1 == 0.0 and m[0].npv == 1.0
     assert m[1].specificity is None and m[1].recall == 0.0
+
+
+def test_two_level_path_matches_window_path(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(r, float(rng.integers(0, 30)) / 30.0, int(rng.random() < 0.4)) for r in range(3) for _ in range(120)]
+    df = spark.createDataFrame([("e",) + x for x in rows], "embedding string, realization int, score double, y_true int")
+    keys = ["embedding", "realization"]
+
+    def run():
+        return (CV.roc_points(df, keys).toPandas().sort_values(["realization", "seq"]).reset_index(drop=True),
+                CV.pr_auc(df, keys).toPandas().sort_values("realization").reset_index(drop=True),
+                CV.roc_band(CV.roc_points(df, keys)).toPandas().sort_values("i").reset_index(drop=True))
+    small = run()
+    monkeypatch.setattr(CV, "CURVE_WINDOW_MAX", 0)
+    big = run()
+    for a, b in zip(small, big):
+        assert a.shape == b.shape
+        assert np.allclose(a.select_dtypes("number").to_numpy(), b.select_dtypes("number").to_numpy())
