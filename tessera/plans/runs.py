@@ -64,6 +64,29 @@ def split_vocabularies(doc_terms: DataFrame, members: DataFrame, vocab_size: int
     return v.withColumn("idf", FE.idf_column(F.col("n_docs"), F.col("df"))).select("split_id", "term", "idf")
 
 
+def heldout_vocabularies(doc_terms: DataFrame, universe: DataFrame, parent_cols, n_folds: int,
+                         combos: DataFrame, vocab_size: int, cfg: RunConfig, split_cols) -> DataFrame:
+    """E3-E5 for all k-fold splits of many parents at once, by complement
+    (``features.heldout_term_stats``): one aggregation over the document-term
+    table, then per split (a ``combos`` row: parent, fold, n_gram, pvs) the
+    n-gram filter, df pruning and cap on the small per-term table."""
+    pc = list(parent_cols)
+    stats, n_docs = FE.heldout_term_stats(doc_terms, universe, pc, n_folds)
+    sid = _key(*split_cols)
+    x = stats.join(combos, pc + ["fold"]).where(F.col("n") <= F.col("n_gram")).withColumn("split_id", sid)
+    nd = n_docs.join(combos, pc + ["fold"]).withColumn("split_id", sid).select("split_id", "n_docs")
+    caps = combos.withColumn("split_id", sid).select(
+        "split_id", _with_max_vocab(_cap(vocab_size, F.col("pvs")), cfg).alias("_kk"))
+    pruned = FE.prune_df(x.select("split_id", "term", "df", "ctf"), nd, cfg.min_df, cfg.max_df) \
+        .join(F.broadcast(caps), "split_id")
+    v = FE.cap_vocabulary(pruned, F.col("_kk")).drop("_kk")
+    return v.withColumn("idf", FE.idf_column(F.col("n_docs"), F.col("df"))).select("split_id", "term", "idf")
+
+
+def _held_fold(fold_col: str, pure_col: str):
+    return F.when(F.col(pure_col), F.col(fold_col)).otherwise(F.lit(-1)).alias("fold")
+
+
 def _fit_split(docs: DataFrame, vocab: DataFrame, split_id: str, n_gram: int, train: DataFrame,
                apply: DataFrame, mfs, cfg: RunConfig, seed: int):
     """One split: its vectorizer (collected vocabulary = the model) and one
@@ -114,7 +137,11 @@ def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfi
     roles = roles.withColumn("split_id", _key("realization", "outer_fold", "val_fold", "n_gram", "pvs"))
     roles = cut_lineage(roles.select("split_id", "realization", "outer_fold", "val_fold", "n_gram", "pvs",
                                      "report_id", "role"))
-    vocab = cut_lineage(split_vocabularies(dterms, roles.where(F.col("role") == "train"), vsize, cfg))
+    universe = SP.binary_task(inner).select("realization", "outer_fold", "report_id",
+                                            _held_fold("inner_fold", "inner_pure"))
+    combos = roles.select("realization", "outer_fold", F.col("val_fold").alias("fold"), "n_gram", "pvs").distinct()
+    vocab = cut_lineage(heldout_vocabularies(dterms, universe, ["realization", "outer_fold"], cfg.inner_folds,
+                                             combos, vsize, cfg, ["realization", "outer_fold", "fold", "n_gram", "pvs"]))
     splits = roles.select("split_id", "realization", "outer_fold", "val_fold", "n_gram", "pvs").distinct().collect()
 
     def task(s):
@@ -145,7 +172,10 @@ def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfi
     oroles = oroles.withColumn("split_id", _key("realization", "outer_fold", "n_gram", "pvs"))
     oroles = cut_lineage(oroles.select("split_id", "realization", "outer_fold", "n_gram", "pvs", "mf",
                                        "report_id", "role"))
-    ovocab = cut_lineage(split_vocabularies(dterms, oroles.where(F.col("role") == "train"), vsize, cfg))
+    ouniverse = SP.binary_task(folds).select("realization", "report_id", _held_fold("test_fold", "pure"))
+    ocombos = best_outer.select("realization", F.col("outer_fold").alias("fold"), "n_gram", "pvs")
+    ovocab = cut_lineage(heldout_vocabularies(dterms, ouniverse, ["realization"], cfg.outer_folds, ocombos, vsize,
+                                              cfg, ["realization", "fold", "n_gram", "pvs"]))
     osplits = oroles.select("split_id", "realization", "outer_fold", "n_gram", "mf").distinct().collect()
 
     def otask(s):
@@ -190,7 +220,12 @@ def lime_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig
     oroles = oroles.withColumn("n_gram", F.lit(n_gram)).withColumn("pvs", F.lit(pvs).cast("double")) \
                    .withColumn("split_id", F.col("outer_fold").cast("string"))
     oroles = cut_lineage(oroles.select("split_id", "outer_fold", "n_gram", "pvs", "report_id", "role"))
-    vocab = cut_lineage(split_vocabularies(dterms, oroles.where(F.col("role") == "train"), vsize, cfg))
+    universe = SP.binary_task(folds).select("realization", "report_id", _held_fold("test_fold", "pure"))
+    combos = SP.binary_task(folds).select("realization").distinct().withColumn(
+        "fold", F.explode(F.sequence(F.lit(0), F.lit(cfg.outer_folds - 1)))) \
+        .withColumn("n_gram", F.lit(n_gram)).withColumn("pvs", F.lit(pvs).cast("double"))
+    vocab = cut_lineage(heldout_vocabularies(dterms, universe, ["realization"], cfg.outer_folds, combos, vsize,
+                                             cfg, ["fold"]))
 
     def task(fold):
         def run():
