@@ -110,6 +110,13 @@ def t7_t8_sections(spark, sf_dir):
     return c.select("report_id", "has_indication", "has_description", *_digest(F.col("tokens")))
 
 
+@register("t9_join_tokens", W(FX.SQL_REPORTS) +
+          f"SELECT report_id, md5(array_to_string({ST.tokenize('lower(content)')}, ' ')) AS text_md5 FROM reports")
+def t9_join_tokens(spark, sf_dir):
+    r = FX.reports(spark, sf_dir)
+    return r.select("report_id", F.md5(T.join_tokens(T.tokenize(F.lower("content")))).alias("text_md5"))
+
+
 @register("t10_clean_reports", W(FX.SQL_REPORTS, *ST.clean_ctes()) +
           f"SELECT report_id, label, {_sql_digest('tokens')}, md5(array_to_string(tokens, ' ')) AS text_md5 "
           "FROM cleaned")
