@@ -20,8 +20,11 @@ def write_vectors_tsv(df: DataFrame, out_dir: str, vector_col: str = "features",
 
 def write_run_results(df: DataFrame, root: str,
                       partition_cols=("embedding", "run_date", "realization")) -> None:
-    """Predictions / curve points partitioned so S5 prunes folders."""
-    (df.repartition(*partition_cols).write.mode("append")
+    """Predictions / curve points partitioned so S5 prunes folders.
+    Each task sorts its rows by the folder keys and writes its own files: no
+    shuffle, and a folder value holding a third of the rows is still written
+    by many tasks, not one."""
+    (df.sortWithinPartitions(*partition_cols).write.mode("append")
        .partitionBy(*partition_cols).parquet(root))
 
 
