@@ -40,3 +40,17 @@ def running_number(df: DataFrame, group: Sequence[str], order: Sequence, bucket:
     x = df.withColumn("_one", F.lit(1))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     return running_sums(x, group, order_cols, bucket, ["_one"]).withColumnRenamed("_one_cum", out_col).drop("_one")
+
+
+def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
+                    spread_key: Column, buckets: int = 64, out_col: str = "pos") -> DataFrame:
+    """The first k rows per group in ``order`` (1-based ``out_col``), in two
+    rounds: top k inside each (group, hash bucket of ``spread_key``), then top
+    k over the at most buckets x k survivors. Exact: a row in the group's top
+    k is in its bucket's top k."""
+    g = list(group)
+    x = df.withColumn("_sb", F.pmod(F.xxhash64(spread_key), F.lit(buckets)))
+    first = x.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_sb").orderBy(*order))) \
+             .where(F.col("_r") <= k).drop("_r", "_sb")
+    return first.withColumn(out_col, F.row_number().over(Window.partitionBy(*g).orderBy(*order))) \
+                .where(F.col(out_col) <= k)
