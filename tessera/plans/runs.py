@@ -92,7 +92,7 @@ def _fit_split(docs: DataFrame, vocab: DataFrame, split_id: str, n_gram: int, tr
     """One split: its vectorizer (collected vocabulary = the model) and one
     forest per max_features value. Returns [(mf, predictions DataFrame)]."""
     sv = vocab.where(F.col("split_id") == split_id).select("term", "idf")
-    n_terms = sv.count()
+    n_terms = sv.count()          # checked before the vocabulary (the model) reaches the driver
     if n_terms > cfg.max_model_terms:
         raise ValueError(f"split {split_id}: {n_terms} terms exceed max_model_terms; set pvs or max_vocab")
     rows = [(r["term"], r["idf"]) for r in sv.collect()]
@@ -100,11 +100,17 @@ def _fit_split(docs: DataFrame, vocab: DataFrame, split_id: str, n_gram: int, tr
     vec = FE.vectorizer_model(rows)
     tr = vec.transform(d.join(train, "report_id")).select("report_id", "y", "features")
     ap = vec.transform(d.join(apply, "report_id")).select("report_id", "y", "features")
-    out = []
-    for mf in mfs:
-        model = RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins), tr)
-        out.append((mf, RF.predict(model, ap).select("report_id", "y", "y_pred", "score")))
-    return out
+    models = RF.fit_many([RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins) for mf in mfs], tr)
+    return [(mf, RF.predict(m, ap).select("report_id", "y", "y_pred", "score")) for mf, m in zip(mfs, models)]
+
+
+def _f1_by_mf(fits) -> dict:
+    """Validation F1 of every fit of one split in a single aggregate job."""
+    u = None
+    for mf, p in fits:
+        x = p.select(F.lit(float(mf)).alias("mf"), F.col("y").alias("y_true"), "y_pred")
+        u = x if u is None else u.unionByName(x)
+    return {float(r["mf"]): float(r["f1"]) for r in MT.binary_metrics(u, ["mf"]).collect()}
 
 
 @dataclass
@@ -148,13 +154,14 @@ def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfi
         def run():
             tr = roles.where((F.col("split_id") == s["split_id"]) & (F.col("role") == "train")).select("report_id")
             va = roles.where((F.col("split_id") == s["split_id"]) & (F.col("role") == "val")).select("report_id")
+            fits = _fit_split(docs, vocab, s["split_id"], s["n_gram"], tr, va, cfg.max_features, cfg,
+                              seed=s["realization"])
+            f1 = _f1_by_mf(fits)
             res = []
-            for mf, p in _fit_split(docs, vocab, s["split_id"], s["n_gram"], tr, va, cfg.max_features, cfg,
-                                    seed=s["realization"]):
-                m = MT.binary_metrics(p.withColumnRenamed("y", "y_true"), []).first()
+            for mf, _ in fits:
                 seq = next(g for g, n, pv, mm in grid if n == s["n_gram"] and pv == s["pvs"] and mm == mf)
                 res.append((s["realization"], s["outer_fold"], s["val_fold"], seq, s["n_gram"], s["pvs"],
-                            float(mf), float(m["f1"]) if m else 0.0))
+                            float(mf), f1.get(float(mf), 0.0)))
             return res
         return run
     rows = [r for rs in RF.run_parallel([task(s) for s in splits], cfg.concurrent_fits) for r in rs]
@@ -293,8 +300,8 @@ def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(
         feats = lambda d: DV.infer(spark, model, d).join(d.select("report_id", "y"), "report_id") \
             .withColumn("features", array_to_vector("vector"))
         ftr, fap = feats(tr), feats(ap)
-        return [(mf, RF.predict(RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins), ftr), fap)
-                 .select("report_id", "y", "y_pred", "score")) for mf in mfs]
+        models = RF.fit_many([RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins) for mf in mfs], ftr)
+        return [(mf, RF.predict(m, fap).select("report_id", "y", "y_pred", "score")) for mf, m in zip(mfs, models)]
 
     roles = cut_lineage(SP.binary_task(SP.inner_roles(inner, cfg.inner_folds))
                         .select("realization", "outer_fold", "val_fold", "report_id", "role"))
@@ -305,14 +312,15 @@ def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(
         def run():
             sel = roles.where((F.col("realization") == f["realization"]) & (F.col("outer_fold") == f["outer_fold"])
                               & (F.col("val_fold") == f["val_fold"]))
+            fits = fit_split(sel.where(F.col("role") == "train").select("report_id"),
+                             sel.where(F.col("role") == "val").select("report_id"), t, v,
+                             cfg.max_features, f["realization"])
+            f1 = _f1_by_mf(fits)
             res = []
-            for mf, p in fit_split(sel.where(F.col("role") == "train").select("report_id"),
-                                   sel.where(F.col("role") == "val").select("report_id"), t, v,
-                                   cfg.max_features, f["realization"]):
-                m = MT.binary_metrics(p.withColumnRenamed("y", "y_true"), []).first()
+            for mf, _ in fits:
                 seq = next(g for g, tt, vv, mm in grid if tt == t and vv == v and mm == mf)
                 res.append((f["realization"], f["outer_fold"], f["val_fold"], seq, t, v, float(mf),
-                            float(m["f1"]) if m else 0.0))
+                            f1.get(float(mf), 0.0)))
             return res
         return run
     rows = [r for rs in RF.run_parallel([task(f, t, v) for f in folds_list for t, v in vgrid],
