@@ -38,8 +38,8 @@ def proper_noun_lexicon(docs: DataFrame, text_col: str = "content",
     t = F.col("_t")
     pairs = F.transform(t, lambda x, i: F.struct(
         x.alias("tok"), F.when(i > 0, F.element_at(t, i)).alias("prev")))
-    mid = F.filter(pairs, lambda p: p["prev"].isNotNull() & ~p["prev"].rlike(r"[.!?]")
-                   & p["tok"].rlike(r"^\p{L}+$"))
+    ends = lambda s: s.contains(".") | s.contains("!") | s.contains("?")
+    mid = F.filter(pairs, lambda p: p["prev"].isNotNull() & ~ends(p["prev"]) & p["tok"].rlike(r"^\p{L}+$"))
     occ = T.explode_rows(toks, mid, "p").select(
         F.lower("p.tok").alias("form"), _capitalised(F.col("p.tok")).cast("long").alias("cap"))
     agg = occ.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.sum("cap").alias("n_cap"))
