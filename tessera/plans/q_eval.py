@@ -57,9 +57,9 @@ SQL_AUC = SQL_COUNTS + (
     "FROM (SELECT *, tp / (tp + fp) AS prec FROM c) WINDOW o AS (PARTITION BY embedding, realization ORDER BY score DESC)) "
     "GROUP BY ALL)")
 
-SQL_BIN = ("bc AS (SELECT embedding, realization, count_if(y_true = 1 AND y_pred = 1) AS tp, "
-           "count_if(y_true = 0 AND y_pred = 1) AS fp, count_if(y_true = 0 AND y_pred = 0) AS tn, "
-           "count_if(y_true = 1 AND y_pred = 0) AS fn FROM scored GROUP BY ALL)",
+SQL_BIN = ("bc AS (SELECT embedding, realization, CAST(count_if(y_true = 1 AND y_pred = 1) AS BIGINT) AS tp, "
+           "CAST(count_if(y_true = 0 AND y_pred = 1) AS BIGINT) AS fp, CAST(count_if(y_true = 0 AND y_pred = 0) AS BIGINT) AS tn, "
+           "CAST(count_if(y_true = 1 AND y_pred = 0) AS BIGINT) AS fn FROM scored GROUP BY ALL)",
            "bm AS (SELECT embedding, realization, tp, fp, tn, fn, (tp + tn) / (tp + tn + fp + fn) AS accuracy, "
            "coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, tn / nullif(tn + fp, 0) AS specificity, "
            "coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, tn / nullif(tn + fn, 0) AS npv, "
@@ -114,7 +114,7 @@ def _multi(spark, sf_dir):
 @register("g3_weighted_metrics", W(FX.SQL_REPORTS, f"""m AS (SELECT report_id, label AS y_true,
   CAST((label + CASE WHEN {FX.H(FX._key("'m'", 'report_id'))} % 5 = 0 THEN 1
                      WHEN {FX.H(FX._key("'m'", 'report_id'))} % 7 = 0 THEN 2 ELSE 0 END) % 4 AS INT) AS y_pred FROM reports)""",
-    "t AS (SELECT y_true AS cls, count(*) AS support, count_if(y_true = y_pred) AS tp FROM m GROUP BY 1)",
+    "t AS (SELECT y_true AS cls, count(*) AS support, CAST(count_if(y_true = y_pred) AS BIGINT) AS tp FROM m GROUP BY 1)",
     "p AS (SELECT y_pred AS cls, count(*) AS predicted FROM m GROUP BY 1)",
     "j AS (SELECT t.*, coalesce(p.predicted, 0) AS predicted FROM t LEFT JOIN p USING (cls))") + """
 SELECT sum(tp) / sum(support) AS accuracy, sum(tp) / sum(support) AS recall, NULL::DOUBLE AS specificity,

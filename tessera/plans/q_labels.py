@@ -43,8 +43,8 @@ def s4_s5_run_results_round_trip(spark, sf_dir):
 
 
 @register("p1_null_counts",
-          "SELECT count_if(doc_id IS NULL) AS n_null_doc_id, count_if(text IS NULL) AS n_null_text, "
-          "count_if(lang IS NULL) AS n_null_lang, count_if(source IS NULL) AS n_null_source FROM documents")
+          "SELECT CAST(count_if(doc_id IS NULL) AS BIGINT) AS n_null_doc_id, CAST(count_if(text IS NULL) AS BIGINT) AS n_null_text, "
+          "CAST(count_if(lang IS NULL) AS BIGINT) AS n_null_lang, CAST(count_if(source IS NULL) AS BIGINT) AS n_null_source FROM documents")
 def p1_null_counts(spark, sf_dir):
     d = FX.table(spark, sf_dir, "documents")
     return L.null_counts(d, ["doc_id", "text", "lang", "source"])

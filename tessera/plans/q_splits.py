@@ -105,9 +105,9 @@ def f7_split_table(spark, sf_dir):
 
 
 @register("f8_row_stacking", W(*fold_ctes()) + """
-SELECT realization, outer_fold, count_if(test_fold <> outer_fold) AS n_train_base,
-       count_if(test_fold = outer_fold AND NOT pure) AS n_moved,
-       count_if(role = 'train') AS n_train, count_if(role = 'test') AS n_test
+SELECT realization, outer_fold, CAST(count_if(test_fold <> outer_fold) AS BIGINT) AS n_train_base,
+       CAST(count_if(test_fold = outer_fold AND NOT pure) AS BIGINT) AS n_moved,
+       CAST(count_if(role = 'train') AS BIGINT) AS n_train, CAST(count_if(role = 'test') AS BIGINT) AS n_test
 FROM ro GROUP BY ALL""")
 def f8_row_stacking(spark, sf_dir):
     ro = SP.outer_roles(outer(spark, sf_dir), K)
