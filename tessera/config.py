@@ -106,5 +106,9 @@ class RunConfig:
     # Largest split vocabulary assembled into a vectorizer model; a bigger one
     # raises (choose pvs or max_vocab) instead of being cut silently.
     max_model_terms: int = 2_000_000
+    # Vocabulary size V behind the pvs cap: "corpus" = distinct cleaned tokens
+    # of the whole corpus (the reference's rule, test rows included); "train" =
+    # distinct unigrams of the split's own training rows.
+    vocab_scope: str = "corpus"
     concurrent_fits: int = 4
     clean: CleanConfig = field(default_factory=CleanConfig)

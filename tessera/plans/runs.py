@@ -75,8 +75,15 @@ def heldout_vocabularies(doc_terms: DataFrame, universe: DataFrame, parent_cols,
     sid = _key(*split_cols)
     x = stats.join(combos, pc + ["fold"]).where(F.col("n") <= F.col("n_gram")).withColumn("split_id", sid)
     nd = n_docs.join(combos, pc + ["fold"]).withColumn("split_id", sid).select("split_id", "n_docs")
-    caps = combos.withColumn("split_id", sid).select(
-        "split_id", _with_max_vocab(_cap(vocab_size, F.col("pvs")), cfg).alias("_kk"))
+    if cfg.vocab_scope == "train":
+        v_split = x.where(F.col("n") == 1).groupBy("split_id").agg(F.count(F.lit(1)).alias("_v"))
+        caps = combos.withColumn("split_id", sid).join(v_split, "split_id", "left").select(
+            "split_id", _with_max_vocab(F.coalesce(
+                round_half_up(F.col("_v").cast("double") * F.col("pvs"), 0).cast("long"), F.lit(NO_CAP)),
+                cfg).alias("_kk"))
+    else:
+        caps = combos.withColumn("split_id", sid).select(
+            "split_id", _with_max_vocab(_cap(vocab_size, F.col("pvs")), cfg).alias("_kk"))
     pruned = FE.prune_df(x.select("split_id", "term", "df", "ctf"), nd, cfg.min_df, cfg.max_df) \
         .join(F.broadcast(caps), "split_id")
     v = FE.cap_vocabulary(pruned, F.col("_kk")).drop("_kk")

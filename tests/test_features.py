@@ -34,3 +34,23 @@ def test_heldout_vocabularies_equal_direct(spark):
     b = held.select("split_id", "term", F.round("idf", 9).alias("idf"))
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_train_vocab_scope_caps_by_split_unigrams(spark):
+    from dataclasses import replace
+    cfg = replace(RunConfig(realizations=1, outer_folds=3), vocab_scope="train")
+    rep = FX.reports(spark, SF_CHECK)
+    folds = SP.outer_folds(rep, 1, 3)
+    docs = SP.binary_task(rep).select("report_id", F.col("content").alias("clean_text"))
+    dterms = FE.doc_terms(docs, "clean_text", 1)
+    universe = SP.binary_task(folds).select("realization", "report_id", RN._held_fold("test_fold", "pure"))
+    combos = spark.createDataFrame([(0, f, 1, 0.5) for f in range(3)], "realization int, fold int, n_gram int, pvs double")
+    v = RN.heldout_vocabularies(dterms, universe, ["realization"], 3, combos, 10 ** 9, cfg, ["realization", "fold"])
+    stats, n_docs = FE.heldout_term_stats(dterms, universe, ["realization"], 3)
+    uni = {r["fold"]: r["c"] for r in stats.groupBy("fold").agg(F.count(F.lit(1)).alias("c")).collect()}
+    pr = FE.prune_df(stats.withColumnRenamed("fold", "split_id"),
+                     n_docs.withColumnRenamed("fold", "split_id").drop("realization"))
+    pruned = {r["split_id"]: r["c"] for r in pr.groupBy("split_id").agg(F.count(F.lit(1)).alias("c")).collect()}
+    got = {int(r["split_id"].split("/")[1]): r["c"] for r in v.groupBy("split_id").agg(F.count(F.lit(1)).alias("c")).collect()}
+    for f in range(3):
+        assert got[f] == min(int(uni[f] * 0.5 + 0.5), pruned[f])
