@@ -131,47 +131,57 @@ class RunResult:
     summary: DataFrame           # G8
 
 
+def py_key(*vals) -> str:
+    """Driver-side twin of ``_key`` (same text as Spark's string cast)."""
+    return "/".join("None" if v is None else str(v) for v in vals)
+
+
+def _members(table: DataFrame, where, fold_col: str, pure_col: str, fold: int, held: bool) -> DataFrame:
+    """Report ids of one split straight from a compact fold table: held out
+    iff the row drew that fold and its patient is pure; training otherwise.
+    No per-split membership table is ever materialised."""
+    h = (F.col(fold_col) == F.lit(fold)) & F.col(pure_col)
+    return table.where(where & (h if held else ~h)).select("report_id")
+
+
 def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(),
               embedding: str = "tf_idf") -> RunResult:
     """Repeated nested cross-validation, TF-IDF + random forest."""
     cleaned, folds, vsize = prepare(reports, cfg)
-    inner = cut_lineage(SP.inner_folds(folds, cfg.outer_folds, cfg.inner_folds))
+    inner = cut_lineage(SP.binary_task(SP.inner_folds(folds, cfg.outer_folds, cfg.inner_folds))
+                        .select("realization", "outer_fold", "report_id", "inner_fold", "inner_pure"))
+    fb = cut_lineage(SP.binary_task(folds).select("realization", "report_id", "test_fold", "pure"))
     docs = SP.binary_task(cleaned).select("report_id", "y", "clean_text")
     docs = cut_lineage(FE.with_terms(docs, "clean_text", max(cfg.ngrams)).select("report_id", "y", "terms"))
     dterms = cut_lineage(FE.doc_terms(SP.binary_task(cleaned), "clean_text", max(cfg.ngrams)))
     grid = [(s, n, p, m) for s, (n, p, m) in enumerate(
         (n, p, m) for n in cfg.ngrams for p in cfg.pvs for m in cfg.max_features)]
     vgrid = sorted({(n, p) for _, n, p, _ in grid}, key=lambda t: (t[0], t[1] is None, t[1] or 0))
-    vg = F.array(*[F.struct(F.lit(n).alias("n_gram"), F.lit(p).cast("double").alias("pvs")) for n, p in vgrid])
 
     # --- inner level: every (fold, n_gram, pvs) vocabulary in one job
-    roles = SP.binary_task(SP.inner_roles(inner, cfg.inner_folds))
-    roles = roles.withColumn("v", F.explode(vg)).select("*", "v.*").drop("v")
-    roles = roles.withColumn("split_id", _key("realization", "outer_fold", "val_fold", "n_gram", "pvs"))
-    roles = cut_lineage(roles.select("split_id", "realization", "outer_fold", "val_fold", "n_gram", "pvs",
-                                     "report_id", "role"))
-    universe = SP.binary_task(inner).select("realization", "outer_fold", "report_id",
-                                            _held_fold("inner_fold", "inner_pure"))
-    combos = roles.select("realization", "outer_fold", F.col("val_fold").alias("fold"), "n_gram", "pvs").distinct()
+    parents = [(r["realization"], r["outer_fold"]) for r in
+               inner.select("realization", "outer_fold").distinct().collect()]
+    splits = [(r, o, v, n, p) for r, o in sorted(parents) for v in range(cfg.inner_folds) for n, p in vgrid]
+    combos = spark.createDataFrame(splits, "realization int, outer_fold int, fold int, n_gram int, pvs double")
+    universe = inner.select("realization", "outer_fold", "report_id", _held_fold("inner_fold", "inner_pure"))
     vocab = cut_lineage(heldout_vocabularies(dterms, universe, ["realization", "outer_fold"], cfg.inner_folds,
                                              combos, vsize, cfg, ["realization", "outer_fold", "fold", "n_gram", "pvs"]))
-    splits = roles.select("split_id", "realization", "outer_fold", "val_fold", "n_gram", "pvs").distinct().collect()
 
-    def task(s):
+    def task(sp):
+        r, o, v, n, p = sp
         def run():
-            tr = roles.where((F.col("split_id") == s["split_id"]) & (F.col("role") == "train")).select("report_id")
-            va = roles.where((F.col("split_id") == s["split_id"]) & (F.col("role") == "val")).select("report_id")
-            fits = _fit_split(docs, vocab, s["split_id"], s["n_gram"], tr, va, cfg.max_features, cfg,
-                              seed=s["realization"])
+            where = (F.col("realization") == r) & (F.col("outer_fold") == o)
+            tr = _members(inner, where, "inner_fold", "inner_pure", v, held=False)
+            va = _members(inner, where, "inner_fold", "inner_pure", v, held=True)
+            fits = _fit_split(docs, vocab, py_key(r, o, v, n, p), n, tr, va, cfg.max_features, cfg, seed=r)
             f1 = _f1_by_mf(fits)
             res = []
             for mf, _ in fits:
-                seq = next(g for g, n, pv, mm in grid if n == s["n_gram"] and pv == s["pvs"] and mm == mf)
-                res.append((s["realization"], s["outer_fold"], s["val_fold"], seq, s["n_gram"], s["pvs"],
-                            float(mf), f1.get(float(mf), 0.0)))
+                seq = next(g for g, nn, pv, mm in grid if nn == n and pv == p and mm == mf)
+                res.append((r, o, v, seq, n, p, float(mf), f1.get(float(mf), 0.0)))
             return res
         return run
-    rows = [r for rs in RF.run_parallel([task(s) for s in splits], cfg.concurrent_fits) for r in rs]
+    rows = [x for rs in RF.run_parallel([task(sp) for sp in splits], cfg.concurrent_fits) for x in rs]
     val_scores = spark.createDataFrame(
         rows, "realization int, outer_fold int, inner_fold int, seq int, n_gram int, pvs double, mf double, f1 double")
     params = ["n_gram", "pvs", "mf"]
@@ -180,28 +190,24 @@ def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfi
     best_outer = cut_lineage(best_outer)
 
     # --- outer level: refit with the chosen combo, predict the test fold
-    oroles = SP.binary_task(SP.outer_roles(folds, cfg.outer_folds))
-    oroles = oroles.join(best_outer.select("realization", "outer_fold", "n_gram", "pvs", "mf"),
-                         ["realization", "outer_fold"])
-    oroles = oroles.withColumn("split_id", _key("realization", "outer_fold", "n_gram", "pvs"))
-    oroles = cut_lineage(oroles.select("split_id", "realization", "outer_fold", "n_gram", "pvs", "mf",
-                                       "report_id", "role"))
-    ouniverse = SP.binary_task(folds).select("realization", "report_id", _held_fold("test_fold", "pure"))
+    ouniverse = fb.select("realization", "report_id", _held_fold("test_fold", "pure"))
     ocombos = best_outer.select("realization", F.col("outer_fold").alias("fold"), "n_gram", "pvs")
     ovocab = cut_lineage(heldout_vocabularies(dterms, ouniverse, ["realization"], cfg.outer_folds, ocombos, vsize,
                                               cfg, ["realization", "fold", "n_gram", "pvs"]))
-    osplits = oroles.select("split_id", "realization", "outer_fold", "n_gram", "mf").distinct().collect()
+    chosen = best_outer.select("realization", "outer_fold", "n_gram", "pvs", "mf").collect()
 
-    def otask(s):
+    def otask(b):
+        r, o = b["realization"], b["outer_fold"]
         def run():
-            tr = oroles.where((F.col("split_id") == s["split_id"]) & (F.col("role") == "train")).select("report_id")
-            te = oroles.where((F.col("split_id") == s["split_id"]) & (F.col("role") == "test")).select("report_id")
-            [(_, p)] = _fit_split(docs, ovocab, s["split_id"], s["n_gram"], tr, te, [s["mf"]], cfg,
-                                  seed=s["realization"])
-            return p.select(F.lit(s["realization"]).alias("realization"), F.lit(s["outer_fold"]).alias("outer_fold"),
+            where = F.col("realization") == r
+            tr = _members(fb, where, "test_fold", "pure", o, held=False)
+            te = _members(fb, where, "test_fold", "pure", o, held=True)
+            [(_, p)] = _fit_split(docs, ovocab, py_key(r, o, b["n_gram"], b["pvs"]), b["n_gram"], tr, te,
+                                  [b["mf"]], cfg, seed=r)
+            return p.select(F.lit(r).alias("realization"), F.lit(o).alias("outer_fold"),
                             "report_id", F.col("y").alias("y_true"), "y_pred", "score")
         return run
-    preds = RF.run_parallel([otask(s) for s in osplits], cfg.concurrent_fits)
+    preds = RF.run_parallel([otask(b) for b in chosen], cfg.concurrent_fits)
     pooled = preds[0]
     for p in preds[1:]:
         pooled = pooled.unionByName(p)
@@ -230,11 +236,8 @@ def lime_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig
     docs = cut_lineage(FE.with_terms(SP.binary_task(cleaned).select("report_id", "y", "clean_text", "tokens"),
                                      "clean_text", n_gram))
     dterms = cut_lineage(FE.doc_terms(SP.binary_task(cleaned), "clean_text", n_gram))
-    oroles = SP.binary_task(SP.outer_roles(folds, cfg.outer_folds))
-    oroles = oroles.withColumn("n_gram", F.lit(n_gram)).withColumn("pvs", F.lit(pvs).cast("double")) \
-                   .withColumn("split_id", F.col("outer_fold").cast("string"))
-    oroles = cut_lineage(oroles.select("split_id", "outer_fold", "n_gram", "pvs", "report_id", "role"))
-    universe = SP.binary_task(folds).select("realization", "report_id", _held_fold("test_fold", "pure"))
+    fb = cut_lineage(SP.binary_task(folds).select("realization", "report_id", "test_fold", "pure"))
+    universe = fb.select("realization", "report_id", _held_fold("test_fold", "pure"))
     combos = SP.binary_task(folds).select("realization").distinct().withColumn(
         "fold", F.explode(F.sequence(F.lit(0), F.lit(cfg.outer_folds - 1)))) \
         .withColumn("n_gram", F.lit(n_gram)).withColumn("pvs", F.lit(pvs).cast("double"))
@@ -246,10 +249,8 @@ def lime_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig
             sid = str(fold)
             rows = [(r["term"], r["idf"]) for r in vocab.where(F.col("split_id") == sid).select("term", "idf").collect()]
             vec = FE.vectorizer_model(rows)
-            tr = docs.join(oroles.where((F.col("split_id") == sid) & (F.col("role") == "train")).select("report_id"),
-                           "report_id")
-            te = docs.join(oroles.where((F.col("split_id") == sid) & (F.col("role") == "test")).select("report_id"),
-                           "report_id")
+            tr = docs.join(_members(fb, F.lit(True), "test_fold", "pure", fold, held=False), "report_id")
+            te = docs.join(_members(fb, F.lit(True), "test_fold", "pure", fold, held=True), "report_id")
             model = RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins), vec.transform(tr))
             pred = RF.predict(model, vec.transform(te)).select("report_id", "y", "y_pred", "score", "tokens")
             pred = pred.withColumn("outcome", X.outcome(F.col("y"), F.col("y_pred")))
@@ -310,17 +311,19 @@ def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(
         models = RF.fit_many([RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins) for mf in mfs], ftr)
         return [(mf, RF.predict(m, fap).select("report_id", "y", "y_pred", "score")) for mf, m in zip(mfs, models)]
 
-    roles = cut_lineage(SP.binary_task(SP.inner_roles(inner, cfg.inner_folds))
-                        .select("realization", "outer_fold", "val_fold", "report_id", "role"))
-    folds_list = roles.select("realization", "outer_fold", "val_fold").distinct().collect()
+    ib = cut_lineage(SP.binary_task(inner).select("realization", "outer_fold", "report_id", "inner_fold",
+                                                  "inner_pure"))
+    parents = sorted((r["realization"], r["outer_fold"]) for r in
+                     ib.select("realization", "outer_fold").distinct().collect())
+    folds_list = [{"realization": r, "outer_fold": o, "val_fold": v} for r, o in parents
+                  for v in range(cfg.inner_folds)]
     vgrid = sorted({(t, v) for _, t, v, _ in grid})
 
     def task(f, t, v):
         def run():
-            sel = roles.where((F.col("realization") == f["realization"]) & (F.col("outer_fold") == f["outer_fold"])
-                              & (F.col("val_fold") == f["val_fold"]))
-            fits = fit_split(sel.where(F.col("role") == "train").select("report_id"),
-                             sel.where(F.col("role") == "val").select("report_id"), t, v,
+            where = (F.col("realization") == f["realization"]) & (F.col("outer_fold") == f["outer_fold"])
+            fits = fit_split(_members(ib, where, "inner_fold", "inner_pure", f["val_fold"], held=False),
+                             _members(ib, where, "inner_fold", "inner_pure", f["val_fold"], held=True), t, v,
                              cfg.max_features, f["realization"])
             f1 = _f1_by_mf(fits)
             res = []
@@ -337,14 +340,13 @@ def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(
     params = ["d2v_type", "size", "mf"]
     best_inner = TU.best_per_inner_fold(val_scores, ["realization", "outer_fold", "inner_fold"], params)
     best_outer = cut_lineage(TU.best_per_outer_fold(best_inner, ["realization", "outer_fold"], "inner_fold", params))
-    oroles = cut_lineage(SP.binary_task(SP.outer_roles(folds, cfg.outer_folds))
-                         .select("realization", "outer_fold", "report_id", "role"))
+    fb = cut_lineage(SP.binary_task(folds).select("realization", "report_id", "test_fold", "pure"))
 
     def otask(b):
         def run():
-            sel = oroles.where((F.col("realization") == b["realization"]) & (F.col("outer_fold") == b["outer_fold"]))
-            [(_, p)] = fit_split(sel.where(F.col("role") == "train").select("report_id"),
-                                 sel.where(F.col("role") == "test").select("report_id"),
+            where = F.col("realization") == b["realization"]
+            [(_, p)] = fit_split(_members(fb, where, "test_fold", "pure", b["outer_fold"], held=False),
+                                 _members(fb, where, "test_fold", "pure", b["outer_fold"], held=True),
                                  b["d2v_type"], b["size"], [b["mf"]], b["realization"])
             return p.select(F.lit(b["realization"]).alias("realization"), F.lit(b["outer_fold"]).alias("outer_fold"),
                             "report_id", F.col("y").alias("y_true"), "y_pred", "score")
