@@ -307,7 +307,8 @@ def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(
                          DV.D2VParams(dm=d2v_type, size=size, epochs=ep, infer_epochs=iep, seed=seed))
         feats = lambda d: DV.infer(spark, model, d).join(d.select("report_id", "y"), "report_id") \
             .withColumn("features", array_to_vector("vector"))
-        ftr, fap = feats(tr), feats(ap)
+        # held-out vectors are read by every forest: infer them once
+        ftr, fap = feats(tr), cut_lineage(feats(ap))
         models = RF.fit_many([RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins) for mf in mfs], ftr)
         return [(mf, RF.predict(m, fap).select("report_id", "y", "y_pred", "score")) for mf, m in zip(mfs, models)]
 
