@@ -158,11 +158,16 @@ def interpolate(points: DataFrame, keys: Sequence[str], x: str, y: str, seq: str
     point on - and each piece emits only the grid indices it covers (no join)."""
     keys = list(keys)
     s = points.select(*keys, F.col(seq).alias("_seq"), F.col(x).alias("x0"), F.col(y).alias("y0"))
-    # segment ends by an equi-join on seq + 1; first point = smallest seq
-    nxt = s.select(*keys, (F.col("_seq") - 1).alias("_seq"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
-    first = s.groupBy(*keys).agg(F.min("_seq").alias("_s0"))
-    s = s.join(nxt, keys + ["_seq"], "left").join(first, keys) \
-         .withColumn("is_first", F.col("_seq") == F.col("_s0")).drop("_s0")
+    if _curve_sizes_small(s, keys):
+        o = Window.partitionBy(*keys).orderBy("_seq")
+        s = s.withColumn("x1", F.lead("x0").over(o)).withColumn("y1", F.lead("y0").over(o)) \
+             .withColumn("is_first", F.row_number().over(o) == 1)
+    else:
+        # segment ends by an equi-join on seq + 1; first point = smallest seq
+        nxt = s.select(*keys, (F.col("_seq") - 1).alias("_seq"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+        first = s.groupBy(*keys).agg(F.min("_seq").alias("_s0"))
+        s = s.join(nxt, keys + ["_seq"], "left").join(first, keys) \
+             .withColumn("is_first", F.col("_seq") == F.col("_s0")).drop("_s0")
     last = CURVE_GRID - 1
     x0, x1 = F.col("x0"), F.col("x1")
     near = lambda v, d: F.least(F.greatest(F.floor(v * last).cast("int") + d, F.lit(0)), F.lit(last))
