@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import seed_key
+from ..session import cut_lineage
 
 
 def stratified_fold(df: DataFrame, k: int, key_parts: Sequence, label_col: str = "label",
@@ -68,13 +69,19 @@ def patient_purity(df: DataFrame, group_cols: Sequence[str], fold_col: str, pati
 
 
 def outer_folds(reports: DataFrame, realizations: int, k: int, label_col: str = "label",
-                id_col: str = "report_id", patient_col: str = "ipp", first_seed: int = 0) -> DataFrame:
+                id_col: str = "report_id", patient_col: str = "ipp", first_seed: int = 0,
+                materialize: bool = True) -> DataFrame:
     """F1 + F2 + F6: (realization, report_id, label, ipp, test_fold, pure).
     Row r is tested in fold f iff test_fold = f and pure; otherwise it trains.
-    Realization i uses seed ``first_seed + i``."""
+    Realization i uses seed ``first_seed + i``.
+
+    Numbering and repair each read their input twice (counts, then the join
+    back); stacking levels would multiply the copies of the scan in one plan,
+    so the result is written once to the shared checkpoint folder."""
     x = with_realizations(reports.select(id_col, label_col, patient_col), realizations, first_seed=first_seed)
     x = stratified_fold(x, k, [F.col("realization")], label_col, id_col, ["realization"], "test_fold")
-    return patient_purity(x, ["realization"], "test_fold", patient_col, "pure")
+    out = patient_purity(x, ["realization"], "test_fold", patient_col, "pure")
+    return cut_lineage(out) if materialize else out
 
 
 def outer_role(test_fold, pure, outer_fold):
@@ -88,14 +95,16 @@ def outer_roles(folds: DataFrame, k: int) -> DataFrame:
 
 
 def inner_folds(folds: DataFrame, k_outer: int, k_inner: int, label_col: str = "label",
-                id_col: str = "report_id", patient_col: str = "ipp") -> DataFrame:
+                id_col: str = "report_id", patient_col: str = "ipp", materialize: bool = True) -> DataFrame:
     """F3 (+ F6 inside): the training rows of every outer fold, split again.
-    (realization, outer_fold, report_id, label, ipp, inner_fold, inner_pure)."""
+    (realization, outer_fold, report_id, label, ipp, inner_fold, inner_pure),
+    written once to the shared checkpoint folder (see ``outer_folds``)."""
     tr = outer_roles(folds, k_outer).where(F.col("role") == "train") \
         .select("realization", "outer_fold", id_col, label_col, patient_col)
     x = stratified_fold(tr, k_inner, [F.col("realization"), F.col("outer_fold")], label_col, id_col,
                         ["realization", "outer_fold"], "inner_fold")
-    return patient_purity(x, ["realization", "outer_fold"], "inner_fold", patient_col, "inner_pure")
+    out = patient_purity(x, ["realization", "outer_fold"], "inner_fold", patient_col, "inner_pure")
+    return cut_lineage(out) if materialize else out
 
 
 def inner_roles(inner: DataFrame, k_inner: int) -> DataFrame:

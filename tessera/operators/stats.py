@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import CLASS_NAMES_2, CLASS_NAMES_4
 from ..functions.text import explode_rows
@@ -28,21 +29,30 @@ def _length_long(cleaned: DataFrame) -> DataFrame:
 def length_box(cleaned: DataFrame) -> DataFrame:
     """Box-plot numbers of report length before vs after cleaning.
 
-    ``percentile`` keeps a value->count map per group, so memory follows the
-    number of distinct lengths, not the number of reports. Whiskers reach the
-    most extreme length within 1.5 IQR of the quartiles."""
-    long = _length_long(cleaned)
-    q = long.groupBy("series").agg(
-        F.percentile("len", list(BOX_PROBS)).alias("q"), F.count(F.lit(1)).alias("n"))
-    q = q.select("series", "n", *[F.col("q")[i].alias(f"q{i}") for i in range(len(BOX_PROBS))])
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    One pass over the reports builds a value-count histogram (series, length,
+    count) - its size is the number of distinct lengths, not of reports.
+    Exact quartiles (linear interpolation at position p*(n-1)) and the
+    whiskers (most extreme length within 1.5 IQR of the quartiles) are then
+    computed on that small table."""
+    hist = _length_long(cleaned).groupBy("series", "len").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("series").orderBy("len").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = hist.withColumn("cum", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy("series")))
+    aggs = []
+    for i, p in enumerate(BOX_PROBS):
+        pos = F.lit(p) * (F.col("n") - 1)
+        lo = F.floor(pos)
+        v_lo = F.min(F.when(F.col("cum") > lo, F.col("len")))
+        v_hi = F.min(F.when(F.col("cum") > F.least(lo + 1, F.col("n") - 1), F.col("len")))
+        frac = F.max(pos - lo)
+        aggs.append((v_lo + frac * (v_hi - v_lo)).cast("double").alias(f"q{i}"))
+    q = h.groupBy("series").agg(F.max("n").alias("n"), *aggs).withColumn("iqr", F.col("q3") - F.col("q1"))
     # one row per series: a bounded broadcast side
-    j = long.join(F.broadcast(q.select("series", "q1", "q3", "iqr")), "series")
+    j = hist.join(F.broadcast(q.select("series", "q1", "q3", "iqr")), "series")
     lo_ok = F.col("len") >= F.col("q1") - F.col("iqr") * 1.5
     hi_ok = F.col("len") <= F.col("q3") + F.col("iqr") * 1.5
-    w = j.groupBy("series").agg(F.min(F.when(lo_ok, F.col("len"))).cast("double").alias("whisker_low"),
-                                F.max(F.when(hi_ok, F.col("len"))).cast("double").alias("whisker_high"))
-    return (q.join(w, "series")
+    wk = j.groupBy("series").agg(F.min(F.when(lo_ok, F.col("len"))).cast("double").alias("whisker_low"),
+                                 F.max(F.when(hi_ok, F.col("len"))).cast("double").alias("whisker_high"))
+    return (q.join(wk, "series")
              .select("series", "n", F.col("q0").alias("min_len"), F.col("q1"),
                      F.col("q2").alias("median"), F.col("q3"), F.col("q4").alias("max_len"),
                      "whisker_low", "whisker_high"))

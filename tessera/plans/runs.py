@@ -40,7 +40,7 @@ def prepare(reports: DataFrame, cfg: RunConfig, first_seed: int = 0):
     cleaned = C.clean_reports(reports, cfg.clean).select("report_id", "label", "ipp", "tokens", "clean_text")
     cleaned = cut_lineage(cleaned)
     vocab_size = explode_rows(cleaned, F.col("tokens"), "t").select("t").distinct().count()
-    folds = cut_lineage(SP.outer_folds(cleaned, cfg.realizations, cfg.outer_folds, first_seed=first_seed))
+    folds = SP.outer_folds(cleaned, cfg.realizations, cfg.outer_folds, first_seed=first_seed)
     return cleaned, folds, vocab_size
 
 
