@@ -84,6 +84,7 @@ def heldout_vocabularies(doc_terms: DataFrame, universe: DataFrame, parent_cols,
     else:
         caps = combos.withColumn("split_id", sid).select(
             "split_id", _with_max_vocab(_cap(vocab_size, F.col("pvs")), cfg).alias("_kk"))
+    # caps: one row per split (grid x folds) - a bounded broadcast side
     pruned = FE.prune_df(x.select("split_id", "term", "df", "ctf"), nd, cfg.min_df, cfg.max_df) \
         .join(F.broadcast(caps), "split_id")
     v = FE.cap_vocabulary(pruned, F.col("_kk")).drop("_kk")
