@@ -73,16 +73,18 @@ def heldout_term_stats(terms: DataFrame, universe: DataFrame, parent_cols, n_fol
     Returns (parent..., fold, term, n, df, ctf) and (parent..., fold, n_docs)."""
     pc = list(parent_cols)
     g = terms.join(universe.select(*pc, id_col, "fold"), id_col)
-    part = g.groupBy(*pc, "fold", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"),
-                                             F.first("n").alias("n"))
-    total = part.groupBy(*pc, "term").agg(F.sum("df").alias("df_all"), F.sum("ctf").alias("ctf_all"),
-                                          F.first("n").alias("n"))
-    per = total.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-    held = part.where(F.col("fold") >= 0).select(*pc, "fold", "term", F.col("df").alias("_hd"),
-                                                 F.col("ctf").alias("_hc"))
-    stats = per.join(held, pc + ["fold", "term"], "left").select(
-        *pc, "fold", "term", "n", (F.col("df_all") - F.coalesce("_hd", F.lit(0))).alias("df"),
-        (F.col("ctf_all") - F.coalesce("_hc", F.lit(0))).alias("ctf")).where(F.col("df") > 0)
+    # one aggregation: parent totals and, per fold, the held-out part
+    # (k conditional sums, k is small), then one row per fold
+    aggs = [F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_ctf"), F.first("n").alias("n")]
+    for f in range(n_folds):
+        aggs += [F.count_if(F.col("fold") == f).alias(f"_h{f}"),
+                 F.sum(F.when(F.col("fold") == f, F.col("tf")).otherwise(F.lit(0))).alias(f"_c{f}")]
+    t = g.groupBy(*pc, "term").agg(*aggs)
+    per = F.array(*[F.struct(F.lit(f).alias("fold"), (F.col("_df") - F.col(f"_h{f}")).alias("df"),
+                             (F.col("_ctf") - F.col(f"_c{f}")).alias("ctf")) for f in range(n_folds)])
+    stats = t.select(*pc, "term", "n", F.explode(per).alias("_p")).select(*pc, "_p.fold", "term", "n", "_p.df",
+                                                                          "_p.ctf")
+    stats = stats.where(F.col("df") > 0)
     sizes = universe.groupBy(*pc, "fold").agg(F.count(F.lit(1)).alias("_c"))
     tot = sizes.groupBy(*pc).agg(F.sum("_c").alias("_all"))
     per_fold = tot.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
