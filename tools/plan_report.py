@@ -24,7 +24,8 @@ def digest(df) -> list[str]:
     count = lambda pat: len(re.findall(pat, text, re.M))
     lines = [f"- shuffles (Exchange): {count(r'^\(\d+\) Exchange')} (reused: {count(r'^\(\d+\) ReusedExchange')}), "
              f"broadcasts: {count(r'^\(\d+\) BroadcastExchange')}, "
-             f"windows: {count(r'^\(\d+\) Window')}, codegen spans: {count(r'WholeStageCodegen \(')}",
+             f"windows: {count(r'^\(\d+\) Window')}, "
+             f"codegen stages: {len(set(re.findall(r'\[codegen id : (\d+)\]', text)))}",
              f"- joins: BroadcastHashJoin {count(r'^\(\d+\) BroadcastHashJoin')}, SortMergeJoin "
              f"{count(r'^\(\d+\) SortMergeJoin')}, ShuffledHashJoin {count(r'^\(\d+\) ShuffledHashJoin')}, "
              f"nested loop {count(r'^\(\d+\) BroadcastNestedLoopJoin')}, cartesian {count(r'^\(\d+\) CartesianProduct')}",
