@@ -78,3 +78,16 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= n:
         return df
     return df.repartition(n, key) if key else df.repartition(n)
+
+
+def ship_by_value(module_name: str) -> None:
+    """Have PySpark pickle the functions of ``module_name`` by value, so the
+    Python workers that run them (pandas functions) need not import this
+    package from their own path."""
+    import sys
+
+    from pyspark import cloudpickle
+    try:
+        cloudpickle.register_pickle_by_value(sys.modules[module_name])
+    except (ValueError, KeyError):
+        pass
