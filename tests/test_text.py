@@ -58,3 +58,16 @@ def test_proper_noun_lexicon_drops_names_keeps_digits_and_keep_list(spark):
     toks = F.array(*[F.lit(t) for t in ["Paris", "est", "MPRAGE", "Paris2", "paris"]])
     got = spark.range(1).select(drop_proper_nouns_inline(toks, ["paris", "mprage"], ("MPRAGE",)).alias("o")).first()["o"]
     assert got == ["est", "MPRAGE", "Paris2"]
+
+
+def test_large_lexicon_join_path_equals_inline(spark, monkeypatch):
+    from tessera.operators import clean as C
+    from tessera.plans import fixtures as FX
+    rep = FX.reports(spark, "/root/testdata/sf0.001")
+    inline = C.clean_reports(rep).select("report_id", "tokens")
+    monkeypatch.setattr(C, "LEXICON_INLINE_MAX", 0)
+    joined = C.clean_reports(rep).select("report_id", "tokens")
+    a = inline.select("report_id", F.array_join("tokens", " ").alias("t"))
+    b = joined.select("report_id", F.array_join("tokens", " ").alias("t"))
+    assert a.count() == b.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
