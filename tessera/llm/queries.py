@@ -46,3 +46,25 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@_query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op10_harmonic_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import harmonic_pack
+    return harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
