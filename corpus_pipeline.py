@@ -55,11 +55,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces; every stage's rows lie in the shared checkpoint folder."""
+    """The packed pieces. Every stage is written to the shared checkpoint folder and read from
+    there by the next; a stage's table goes when its successor is written."""
     docs = table(spark, sf_dir, "documents")
     out = f"{checkpoint_root(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{name}")
         docs = spark.read.parquet(f"{out}/{name}")
+        if before is not None:
+            _delete(spark, before)
+        before = f"{out}/{name}"
     return docs

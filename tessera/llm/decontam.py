@@ -61,9 +61,9 @@ class Seeds:
         words: dict[str, int] = {}
         ids = [np.array([words.setdefault(w, len(words) + 1) for w in tokens(text)], np.int64) for _, text in items]
         hashes = [window_hashes(x, m) for x in ids]
-        item = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(ids)), np.array([len(h) for h in hashes], np.int64))
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)])
+        flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.argsort(flat, kind="stable")
         return cls(words, [i for i, _ in items], ids, flat[order], item[order], place[order], m)
 

@@ -231,12 +231,13 @@ def near_dedup(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_
 def keep_representatives(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
     """The input rows whose document stays, with all their columns: of each component the
-    row(s) of its smallest id; components without any id stay whole."""
+    row(s) of its smallest id. Rows without an id cannot be named, so they all stay."""
     found = near_dedup(docs, k, radius, id_col, text_col)
-    stay = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_stays")).distinct().alias("k"))
-    on = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k._stays"))
-    return docs.alias("d").join(stay.hint("shuffle_hash"), on, "left_semi")
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct().alias("k")
+    docs = docs.alias("d")
+    key = F.col(f"d.{id_col}").cast("long")
+    named = docs.join(stay.hint("shuffle_hash"), key == F.col("k._stays"), "left_semi")
+    return named.unionByName(docs.where(key.isNull()))
 
 
 ship_by_value(__name__)

@@ -32,6 +32,8 @@ from .common import id_text, map_partitions, ship_by_value
 BITS, DIM, GRAMS, WINDOW = 17, 8, (3, 4, 5), 32
 #: Most labelled rows of each class that training reads.
 MAX_PER_CLASS = 2_500
+#: Longer texts are not taken into the training sample, which bounds its bytes.
+MAX_TRAINING_CHARS = 1 << 20
 MIN_DOCS, SCALE, EPOCHS, BATCH, RATE, SPARSE, SEED = 3, 100.0, 12, 128, 0.02, 2.5, 7
 #: Words a task keeps scored, and words scored at a time.
 HELD, BLOCK = 200_000, 1 << 16
@@ -62,7 +64,7 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(code), np.uint64)
     for j in range(max(GRAMS)):
         step = np.zeros(len(code), np.uint64)
-        step[:len(code) - j] = code[j:]
+        step[:max(len(code) - j, 0)] = code[j:]
         h = (h + step + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         if j + 1 in GRAMS:
             inside = at + j + 1 <= end
@@ -193,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
              .select("doc_id", "y", F.xxhash64("doc_id").alias("h")))
     # the smallest hashes of each class that has a document: bounded, drawn from all rows
-    texts = id_text(docs, id_col, text_col).where("text != ''")
+    texts = id_text(docs, id_col, text_col).where(
+        F.length("text").between(1, MAX_TRAINING_CHARS))
     have = marks.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = [have.where(F.col("y") == y).orderBy("h").limit(max_per_class) for y in (0, 1)]
     chosen = sample[0].union(sample[1]).select("doc_id", "y", "h")
