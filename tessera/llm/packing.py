@@ -16,7 +16,9 @@ filled best-fit, longest piece first.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,8 +32,9 @@ from .common import cut_lineage, id_text, map_partitions, ship_by_value
 CAPACITY, WASTE, CUTS = 2048, 1 / 32, 2
 WORKER_PIECES = 16_384
 #: Words a task keeps encoded.
-HELD = 200_000
+HELD = 500_000
 BLOCK = 1 << 20
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+").fullmatch
 
 
 def piece_lengths(n: int, capacity: int = CAPACITY, waste: float = WASTE, cuts: int = CUTS) -> list[int]:
@@ -58,25 +61,72 @@ def _words(text: str) -> Iterator[list[str]]:
         at = to
 
 
+def stem_and_marks(word: str) -> tuple[str, str]:
+    """A word as (stem, trailing marks) whose ids, one after the other, are the word's.
+
+    The tokeniser parts letters and digits from marks and lower-cases, so marks
+    after a letter or digit stand alone, and letters below U+0250 (save the one
+    whose lower case is two characters) may be lower-cased first."""
+    stem = word.rstrip(".,;:!?")
+    if not stem or not stem[-1].lower()[-1].isalnum():
+        return word, ""
+    return (stem.lower() if _LATIN(stem) else stem), word[len(stem):]
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other
+    bytes take the code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Words:
+    """Ids of single words. A stem of Latin letters is one pre-token whatever stands around it, so
+    the library's merges are applied to it directly; any other word takes the whole path."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.whole = Tokenizer.from_file(path)
+        self.merge = self.whole.model.tokenize
+        self.bytes = byte_alphabet()
+        self.marks: dict[str, bytes] = {}
+
+    def other(self, word: str) -> bytes:
+        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, word: str) -> bytes:
+        stem, marks = stem_and_marks(word)
+        if not _LATIN(stem):
+            return self.other(word)
+        letters = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.bytes)
+        ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
+        if marks:
+            if marks not in self.marks:
+                if len(self.marks) >= 1000:
+                    self.marks.clear()
+                self.marks[marks] = self.other(marks)
+            ids += self.marks[marks]
+        return ids
+
+
 def document_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece of every document."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        model = Tokenizer.from_file(tokenizer_path)
+        encode = Words(tokenizer_path).ids
         known: dict[str, bytes] = {}
 
         def ids_of(text: str) -> bytes:
+            nonlocal known
             parts = []
             for words in _words(text):
-                missing = [w for w in set(words) if w not in known]
+                missing = set(words).difference(known)
                 if missing:
                     if len(known) + len(missing) > HELD:
-                        known.clear()
-                        missing = list(set(words))
-                    for w, e in zip(missing, model.encode_batch_fast(missing, add_special_tokens=False)):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
+                        known, missing = {}, set(words)
+                    known.update((w, encode(w)) for w in missing)
                 parts.append(b"".join(map(known.__getitem__, words)))
             parts.append(np.array([end_id], "<u4").tobytes())
             return b"".join(parts)
