@@ -13,66 +13,38 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import CURVE_GRID
-from ..functions.ranking import running_sums
+from ..functions.ranking import running_number, running_sums, with_next
 
-# Score buckets per unit of score for the two-level running sums.
-SCORE_BUCKETS = 4096
-
-
-# Largest number of distinct scores per curve ordered by a plain window (one
-# task per curve); above it the two-level path (score buckets) is used.
-CURVE_WINDOW_MAX = 1_000_000
-
-
-def _curve_sizes_small(s: DataFrame, keys) -> bool:
-    """One small aggregate: do all curves fit the per-curve window bound?"""
-    m = s.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (m or 0) <= CURVE_WINDOW_MAX
+# Pieces each curve's distinct scores are cut into, and points per piece of a numbered curve.
+PIECES, PIECE_POINTS = 64, 4096
 
 
 def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score",
                  y_true: str = "y_true") -> DataFrame:
     """Positives/negatives per (curve, distinct score), with running totals
     tp/fp in descending score order, the 1-based position k of the score and
-    the curve totals n_pos/n_neg."""
+    the curve totals n_pos/n_neg.
+
+    The order is cut into pieces at quantiles of the curve's distinct scores
+    (one bounded row per curve), so the pieces are even however narrow the
+    range of the scores is."""
     keys = list(keys)
     s = df.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(F.col(y_true).cast("long")).alias("p"),
         F.sum((1 - F.col(y_true)).cast("long")).alias("n"))
-    if _curve_sizes_small(s, keys):
-        o = Window.partitionBy(*keys).orderBy(F.col("score").desc())
-        w = o.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        g = Window.partitionBy(*keys)
-        return (s.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
-                 .withColumn("k", F.row_number().over(o).cast("long"))
-                 .withColumn("n_pos", F.sum("p").over(g)).withColumn("n_neg", F.sum("n").over(g)))
-    # running totals in descending score order, in two levels (score buckets)
-    bucket = F.floor(F.col("score").cast("double") * F.lit(SCORE_BUCKETS)).cast("long")
-    c = running_sums(s.withColumn("_one", F.lit(1)), keys, [F.col("score").desc()], bucket,
-                     ["p", "n", "_one"], bucket_desc=True)
-    # tp/fp so far, and k = 1-based position of the score, highest first
-    c = c.withColumnRenamed("p_cum", "tp").withColumnRenamed("n_cum", "fp") \
-         .withColumnRenamed("_one_cum", "k").drop("_one")
-    totals = s.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
-    return c.join(totals, keys)
-
-
-def _neighbours(df: DataFrame, keys, pos: str, cols, small: bool = False) -> DataFrame:
-    """Previous/next row values: lag/lead for small curves, else equi-joins
-    on position +-1 (no window over a whole curve)."""
-    keys = list(keys)
-    if small:
-        o = Window.partitionBy(*keys).orderBy(pos)
-        for c in cols:
-            df = df.withColumn(f"{c}_next", F.lead(c).over(o)).withColumn(f"{c}_prev", F.lag(c).over(o))
-        return df
-    base = df.select(*keys, pos, *cols)
-    nxt = base.select(*keys, (F.col(pos) - 1).alias(pos), *[F.col(c).alias(f"{c}_next") for c in cols])
-    prv = base.select(*keys, (F.col(pos) + 1).alias(pos), *[F.col(c).alias(f"{c}_prev") for c in cols])
-    return df.join(nxt, keys + [pos], "left").join(prv, keys + [pos], "left")
+    per = s.groupBy(*keys).agg(
+        F.percentile_approx(F.col("score").cast("double"), [i / PIECES for i in range(1, PIECES)], 1000).alias("_q"),
+        F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    c = s.join(per, keys).withColumn("_one", F.lit(1))
+    piece = F.size(F.filter("_q", lambda q: q > F.col("score").cast("double")))
+    c = running_sums(c, keys, [F.col("score").desc()], piece, ["p", "n", "_one"])
+    return c.drop("_q", "_one").withColumnsRenamed({"p_cum": "tp", "n_cum": "fp", "_one_cum": "k"})
+
+
+def _piece(pos: str):
+    return F.floor(F.col(pos) / F.lit(PIECE_POINTS))
 
 
 def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", y_true: str = "y_true",
@@ -82,36 +54,35 @@ def roc_points(df: DataFrame, keys: Sequence[str], score: str = "score", y_true:
     usual ROC routine does."""
     keys = list(keys)
     c = score_counts(df, keys, score, y_true)
-    small = _curve_sizes_small(c, keys)
     if drop_intermediate:
-        c = _neighbours(c, keys, "k", ["fp", "tp"], small)
-        d2 = lambda v: F.col(f"{v}_next") - 2 * F.col(v) + F.col(f"{v}_prev")
-        c = c.where(F.col("tp_next").isNull() | F.col("tp_prev").isNull() | (d2("fp") != 0) | (d2("tp") != 0))
-    pts = c.select(*keys, "k", "fp", "tp", "n_pos", "n_neg")
-    start = (pts.groupBy(*keys).agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
-                .select(*keys, F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("fp"),
-                        F.lit(0).cast("long").alias("tp"), "n_pos", "n_neg"))
-    allp = pts.unionByName(start)
-    # renumber the kept points 0.. in order (k is already increasing)
-    if small:
-        allp = allp.withColumn("_one_cum", F.row_number().over(Window.partitionBy(*keys).orderBy("k")))
-    else:
-        allp = running_sums(allp.withColumn("_one", F.lit(1)), keys, [F.col("k")],
-                            F.floor(F.col("k") / F.lit(SCORE_BUCKETS)), ["_one"])
-    return allp.select(*keys, (F.col("_one_cum") - 1).cast("int").alias("seq"),
+        # the second difference at a point is the next point's step minus its own
+        c = with_next(c, keys, "k", _piece("k"), ["p", "n"])
+        c = c.where(F.col("p_next").isNull() | (F.col("k") == 1)
+                    | (F.col("p_next") != F.col("p")) | (F.col("n_next") != F.col("n")))
+    # the first score also emits the start point; the kept points are renumbered 0.. in order
+    point = lambda k, fp, tp: F.struct(*[v.cast("long").alias(n) for n, v in (("k", k), ("fp", fp), ("tp", tp))])
+    own, zero = point(F.col("k"), F.col("fp"), F.col("tp")), F.lit(0)
+    pts = c.select(*keys, "n_pos", "n_neg", F.explode(
+        F.when(F.col("k") == 1, F.array(point(zero, zero, zero), own)).otherwise(F.array(own))).alias("_p"))
+    allp = running_number(pts.select(*keys, "n_pos", "n_neg", "_p.*"), keys, ["k"], _piece("k"), "_seq")
+    return allp.select(*keys, (F.col("_seq") - 1).cast("int").alias("seq"),
                        F.try_divide(F.col("fp").cast("double"), F.col("n_neg")).alias("fpr"),
                        F.try_divide(F.col("tp").cast("double"), F.col("n_pos")).alias("tpr"))
 
 
-def roc_auc(df: DataFrame, keys: Sequence[str], score: str = "score", y_true: str = "y_true") -> DataFrame:
-    """Trapezoid area under the ROC curve, integer sums, one division."""
-    keys = list(keys)
-    c = score_counts(df, keys, score, y_true)
+def auc_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """G5 on ``score_counts`` rows. Exact integer sums of 38 digits: the products outgrow a
+    long from a few billion rows on."""
+    wide = lambda x: F.expr(x).cast("decimal(19,0)")
     # the previous point is the running total before this score: no lag
-    c = c.withColumn("tp0", F.col("tp") - F.col("p")).withColumn("fp0", F.col("fp") - F.col("n"))
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")))
-    return c.groupBy(*keys).agg(
-        F.try_divide(area.cast("double"), (F.max("n_pos") * F.max("n_neg") * 2).cast("double")).alias("auc"))
+    area = F.sum((wide("n") * wide("2 * tp - p")).cast("decimal(38,0)"))
+    whole = wide("max(n_pos)") * wide("max(n_neg)")
+    return counts.groupBy(*keys).agg(F.try_divide(area.cast("double"), whole.cast("double") * 2).alias("auc"))
+
+
+def roc_auc(df: DataFrame, keys: Sequence[str], score: str = "score", y_true: str = "y_true") -> DataFrame:
+    """Trapezoid area under the ROC curve, one division."""
+    return auc_of_counts(score_counts(df, keys, score, y_true), keys)
 
 
 def pr_points(df: DataFrame, keys: Sequence[str], score: str = "score", y_true: str = "y_true",
@@ -123,12 +94,14 @@ def pr_points(df: DataFrame, keys: Sequence[str], score: str = "score", y_true:
     if stop_at_full_recall:
         ff = c.groupBy(*keys).agg(F.min(F.when(F.col("tp") == F.col("n_pos"), F.col("k"))).alias("_ff"))
         c = c.join(ff, keys).where(F.col("k") <= F.col("_ff")).drop("_ff")
-    pts = c.select(*keys, "k", F.try_divide(F.col("tp").cast("double"), F.col("n_pos")).alias("recall"),
+    # the first score also emits the anchor
+    own = F.struct(F.col("k").cast("int").alias("seq"),
+                   F.try_divide(F.col("tp").cast("double"), F.col("n_pos")).alias("recall"),
                    F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")),
                               F.lit(0.0)).alias("precision"))
-    anchor = pts.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("recall"),
-                                                 F.lit(1.0).alias("precision"))
-    return pts.unionByName(anchor).withColumn("k", F.col("k").cast("int")).withColumnRenamed("k", "seq")
+    anchor = F.struct(F.lit(0).alias("seq"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
+    return c.select(*keys, F.explode(F.when(F.col("k") == 1, F.array(anchor, own)).otherwise(F.array(own)))
+                    .alias("_p")).select(*keys, "_p.*")
 
 
 def pr_auc(df: DataFrame, keys: Sequence[str], score: str = "score", y_true: str = "y_true") -> DataFrame:
@@ -158,16 +131,8 @@ def interpolate(points: DataFrame, keys: Sequence[str], x: str, y: str, seq: str
     point on - and each piece emits only the grid indices it covers (no join)."""
     keys = list(keys)
     s = points.select(*keys, F.col(seq).alias("_seq"), F.col(x).alias("x0"), F.col(y).alias("y0"))
-    if _curve_sizes_small(s, keys):
-        o = Window.partitionBy(*keys).orderBy("_seq")
-        s = s.withColumn("x1", F.lead("x0").over(o)).withColumn("y1", F.lead("y0").over(o)) \
-             .withColumn("is_first", F.row_number().over(o) == 1)
-    else:
-        # segment ends by an equi-join on seq + 1; first point = smallest seq
-        nxt = s.select(*keys, (F.col("_seq") - 1).alias("_seq"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
-        first = s.groupBy(*keys).agg(F.min("_seq").alias("_s0"))
-        s = s.join(nxt, keys + ["_seq"], "left").join(first, keys) \
-             .withColumn("is_first", F.col("_seq") == F.col("_s0")).drop("_s0")
+    s = with_next(s, keys, "_seq", _piece("_seq"), ["x0", "y0"]) \
+        .withColumnsRenamed({"x0_next": "x1", "y0_next": "y1"})
     last = CURVE_GRID - 1
     x0, x1 = F.col("x0"), F.col("x1")
     near = lambda v, d: F.least(F.greatest(F.floor(v * last).cast("int") + d, F.lit(0)), F.lit(last))

@@ -36,7 +36,10 @@ def confusion_matrix(df: DataFrame, keys: Sequence[str], labels: Sequence[int] =
 
 def binary_counts(df: DataFrame, keys: Sequence[str], y_true: str = "y_true",
                   y_pred: str = "y_pred") -> DataFrame:
-    t, p = F.col(y_true), F.col(y_pred)
+    # guard: a third class would leave the 2 x 2 matrix unnoticed
+    two = lambda c: F.when(F.col(c).isin(0, 1), F.col(c)).otherwise(
+        F.raise_error(F.lit("the confusion matrix must be 2 x 2")).cast("int"))
+    t, p = two(y_true), two(y_pred)
     return df.groupBy(*keys).agg(
         F.count_if((t == 1) & (p == 1)).alias("tp"), F.count_if((t == 0) & (p == 1)).alias("fp"),
         F.count_if((t == 0) & (p == 0)).alias("tn"), F.count_if((t == 1) & (p == 0)).alias("fn"))

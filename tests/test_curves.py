@@ -1,5 +1,6 @@
 """Curves and metrics against brute force NumPy."""
 import numpy as np
+import pytest
 
 from tessera.operators import curves as CV
 from tessera.operators import metrics as MT
@@ -52,19 +53,46 @@ def test_zero_denominators(spark):
     assert m[1].specificity is None and m[1].recall == 0.0
 
 
-def test_two_level_path_matches_window_path(spark, monkeypatch):
+def _numpy_points(s, y):
+    """(k, fp, tp) of the distinct scores, highest first."""
+    out, fp, tp = [], 0, 0
+    for v in np.unique(s)[::-1]:
+        tp, fp = tp + int(y[s == v].sum()), fp + int((1 - y)[s == v].sum())
+        out.append((fp, tp))
+    return out
+
+
+@pytest.mark.parametrize("width,points", [(1.0, 4096), (1e-9, 3)])
+def test_points_in_pieces(spark, monkeypatch, width, points):
+    """Running totals over many pieces, for scores however close together."""
+    monkeypatch.setattr(CV, "PIECE_POINTS", points)
     rng = np.random.default_rng(3)
-    rows = [(r, float(rng.integers(0, 30)) / 30.0, int(rng.random() < 0.4)) for r in range(3) for _ in range(120)]
-    df = spark.createDataFrame([("e",) + x for x in rows], "embedding string, realization int, score double, y_true int")
-    keys = ["embedding", "realization"]
-
-    def run():
-        return (CV.roc_points(df, keys).toPandas().sort_values(["realization", "seq"]).reset_index(drop=True),
-                CV.pr_auc(df, keys).toPandas().sort_values("realization").reset_index(drop=True),
-                CV.roc_band(CV.roc_points(df, keys)).toPandas().sort_values("i").reset_index(drop=True))
-    small = run()
-    monkeypatch.setattr(CV, "CURVE_WINDOW_MAX", 0)
-    big = run()
-    for a, b in zip(small, big):
-        assert a.shape == b.shape
-        assert np.allclose(a.select_dtypes("number").to_numpy(), b.select_dtypes("number").to_numpy())
+    s = 0.5 + rng.integers(0, 200, 900) / 200 * width
+    y = (rng.random(900) < 0.4).astype(int)
+    df = _df(spark, list(zip(s.tolist(), y.tolist())))
+    c = CV.score_counts(df, ["g"]).toPandas().sort_values("k")
+    assert list(zip(c.fp, c.tp)) == _numpy_points(s, y) and c.k.tolist() == list(range(1, len(c) + 1))
+    whole = CV.roc_points(df, ["g"], drop_intermediate=False).toPandas().sort_values("seq")
+    kept = CV.roc_points(df, ["g"]).toPandas().sort_values("seq")
+    pts = [(0, 0)] + _numpy_points(s, y)
+    n, p = pts[-1]
+    assert np.allclose(whole[["fpr", "tpr"]], [(a / n, b / p) for a, b in pts])
+    keep = [i for i, (a, b) in enumerate(pts) if i in (0, 1, len(pts) - 1)
+            or (pts[i + 1][0] - 2 * a + pts[i - 1][0], pts[i + 1][1] - 2 * b + pts[i - 1][1]) != (0, 0)]
+    assert np.allclose(kept[["fpr", "tpr"]], [(pts[i][0] / n, pts[i][1] / p) for i in keep])
+    assert kept.seq.tolist() == list(range(len(keep)))
+    g = CV.interpolate(CV.roc_points(df, ["g"]), ["g"], "fpr", "tpr").toPandas().sort_values("i")
+    assert np.allclose(g.gy, np.interp(np.linspace(0, 1, 100), kept.fpr, kept.tpr))
+
+
+def test_auc_of_billions(spark):
+    n = 3_000_000_000
+    c = spark.createDataFrame([(0, n, 0, n, 0, n, n), (0, 0, n, n, n, n, n)],
+                              "g int, p long, n long, tp long, fp long, n_pos long, n_neg long")
+    assert CV.auc_of_counts(c, ["g"]).first()["auc"] == 1.0
+
+
+def test_a_third_class_is_refused(spark):
+    df = spark.createDataFrame([(0, 0, 0), (0, 2, 1)], "g int, y_true int, y_pred int")
+    with pytest.raises(Exception, match="2 x 2"):
+        MT.binary_metrics(df, ["g"]).collect()
