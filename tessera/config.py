@@ -36,19 +36,14 @@ CLASSIFICATION_VALUE = "Classification"
 TFIDF_NGRAMS = (3, 4, 5)
 TFIDF_PVS = (0.9, None)
 RF_MAX_FEATURES = (0.8, 1.0)
-D2V_TYPES = (1, 0)          # 1 = PV-DM, 0 = PV-DBOW
 D2V_SIZES = (10, 30, 50)
 # Model settings.
 N_TREES = 501
 MIN_DF = 2
 MAX_DF = 0.9
 D2V_WINDOW = 5
-D2V_NEGATIVE = 5
 D2V_MIN_COUNT = 2
 D2V_EPOCHS = 100
-D2V_INFER_EPOCHS = 20
-EXPLAIN_FEATURES = 6
-EXPLAIN_SEED = 123          # split seed of the explanation run
 CURVE_GRID = 100            # points of the averaged curve grid
 # English month and weekday names a fuzzy date parser accepts as date parts.
 DATE_WORDS = ("jan", "january", "feb", "february", "mar", "march", "apr", "april",
@@ -94,18 +89,13 @@ class RunConfig:
     ngrams: tuple = TFIDF_NGRAMS
     pvs: tuple = TFIDF_PVS
     max_features: tuple = RF_MAX_FEATURES
-    d2v_types: tuple = D2V_TYPES
     d2v_sizes: tuple = D2V_SIZES
     d2v_epochs: int = D2V_EPOCHS
-    d2v_infer_epochs: int = D2V_INFER_EPOCHS
+    d2v_partitions: int = 8
     min_df: int = MIN_DF
     max_df: float = MAX_DF
-    binary: bool = True
-    # Optional explicit vocabulary cap per split (None: only the pvs rule).
-    max_vocab: int | None = None
-    # Largest split vocabulary assembled into a vectorizer model; a bigger one
-    # raises (choose pvs or max_vocab) instead of being cut silently.
-    max_model_terms: int = 2_000_000
+    binary: bool = True         # False: the four labels as they are
+    run_date: str = "undated"   # names the run in stored results
     # Vocabulary size V behind the pvs cap: "corpus" = distinct cleaned tokens
     # of the whole corpus (the reference's rule, test rows included); "train" =
     # distinct unigrams of the split's own training rows.

@@ -15,8 +15,3 @@ def seed_key(*parts) -> Column:
 def hex_int(md5_col: Column, digits: int = 4) -> Column:
     """First ``digits`` hex characters of an md5 as an integer."""
     return F.conv(F.substring(md5_col, 1, digits), 16, 10).cast("int")
-
-
-def unit_draw(*parts) -> Column:
-    """A draw in [0, 1) from the first 8 hex digits of md5(parts)."""
-    return F.conv(F.substring(seed_key(*parts), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

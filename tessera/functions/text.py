@@ -99,6 +99,20 @@ def ngrams(words, n_max: int, n_min: int = 1) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def ngrams_with_n(words, n_max: int) -> Column:
+    """E2 as (term, n) structs, so that no term has to be split again to learn its n."""
+    w = _col(words)
+    empty = F.array().cast("array<struct<term:string,n:int>>")
+
+    def of(n: int) -> Column:
+        # grams come from the word list alone; the lambda binds n, not the element index
+        grams = w if n == 1 else F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), _gram_at(w, n))
+        tagged = F.transform(grams, lambda g: F.struct(g.alias("term"), F.lit(n).alias("n")))
+        return F.when(F.size(w) >= n, tagged).otherwise(empty)
+
+    return F.concat(*[of(n) for n in range(1, n_max + 1)])
+
+
 def explode_rows(df, array_col, alias: str, *keep, pos: str | None = None):
     """One row per array element. ``explode_outer`` + a null filter instead of
     ``explode``: for ``explode`` the optimizer infers ``size(array) > 0`` and

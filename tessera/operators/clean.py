@@ -2,9 +2,10 @@
 
 The proper-noun step is re-aimed from a per-row tagger to a *table*: a lexicon
 of word forms that the corpus itself writes capitalised mid-sentence. It is
-built by one aggregate (map-side combined, so hot forms do not skew) and then
-applied as a hash-set filter inside the projection when it is small, or as a
-keyed anti join when it is not.
+built by one aggregate (map-side combined, so hot forms do not skew) and joined
+to the distinct word forms of each report; the names found come back as one
+short list per report, by which the projection filters its tokens. The plan is
+the same for a lexicon of any size: Spark broadcasts it if it measures small.
 """
 
 from __future__ import annotations
@@ -15,9 +16,6 @@ from pyspark.sql import functions as F
 from ..config import CleanConfig
 from ..functions import text as T
 
-# Largest lexicon applied as an in-expression hash set; bigger ones are joined.
-LEXICON_INLINE_MAX = 50_000
-
 
 def _capitalised(tok: Column) -> Column:
     first = F.substring(tok, 1, 1)
@@ -56,28 +54,17 @@ def _bypass(tok: Column, keep_words) -> Column:
     return cond
 
 
-def drop_proper_nouns_inline(tokens: Column, forms: list[str], keep_words) -> Column:
-    """T2 with a small lexicon: a hash-set filter, no shuffle."""
-    if not forms:
-        return tokens
-    return F.filter(tokens, lambda x: _bypass(x, keep_words) | ~F.lower(x).isin(forms))
-
-
-def drop_proper_nouns_join(df: DataFrame, id_col: str, tokens_col: str,
-                           lexicon: DataFrame, keep_words) -> DataFrame:
-    """T2 with a large lexicon: explode, keyed anti join, regroup in order.
+def drop_proper_nouns(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFrame, keep_words) -> DataFrame:
+    """``tokens_col`` without the lexicon's words, bypassed tokens kept; a NULL list stays NULL.
 
-    Adds ``tokens_col`` back with the names removed; reports left with no
-    token keep an empty list (left join on the report key)."""
-    exploded = T.explode_rows(df, F.col(tokens_col), "tok", id_col, pos="pos")
-    cand = exploded.withColumn(
-        "form", F.when(~_bypass(F.col("tok"), keep_words), F.lower("tok")))
-    kept = cand.join(lexicon, "form", "left_anti")
-    regrouped = kept.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_kept"))
-    out = df.join(regrouped, id_col, "left")
-    return out.withColumn(tokens_col, F.coalesce(
-        F.transform("_kept", lambda s: s["tok"]), F.array().cast("array<string>"))).drop("_kept")
+    A report's distinct forms meet the lexicon, never its text: rows that share
+    an id share the names found, all of them lexicon words."""
+    forms = F.array_distinct(F.transform(F.filter(tokens_col, lambda x: ~_bypass(x, keep_words)), F.lower))
+    names = (T.explode_rows(df.select(id_col, forms.alias("_f")), F.col("_f"), "form", id_col)
+             .join(lexicon, "form").groupBy(id_col).agg(F.collect_set("form").alias("_names")))
+    out = df.join(names, id_col, "left")
+    kept = F.filter(tokens_col, lambda x: _bypass(x, keep_words) | ~F.array_contains("_names", F.lower(x)))
+    return out.withColumn(tokens_col, F.when(F.col("_names").isNull(), F.col(tokens_col)).otherwise(kept)).drop("_names")
 
 
 def clean_reports(df: DataFrame, cfg: CleanConfig = CleanConfig(), text_col: str = "content",
@@ -92,14 +79,7 @@ def clean_reports(df: DataFrame, cfg: CleanConfig = CleanConfig(), text_col: str
     if cfg.remove_proper_nouns:
         if lexicon is None:
             lexicon = proper_noun_lexicon(df, text_col, cfg)
-        probe = lexicon.limit(LEXICON_INLINE_MAX + 1).collect()
-        if len(probe) <= LEXICON_INLINE_MAX:
-            forms = sorted(r["form"] for r in probe)
-            out = out.withColumn("_named", drop_proper_nouns_inline(
-                F.col("orig_tokens"), forms, cfg.keep_words))
-        else:
-            out = drop_proper_nouns_join(out.withColumn("_named", F.col("orig_tokens")),
-                                         id_col, "_named", lexicon, cfg.keep_words)
+        out = drop_proper_nouns(out.withColumn("_named", F.col("orig_tokens")), id_col, "_named", lexicon, cfg.keep_words)
         s = T.join_tokens(F.col("_named"))
     else:
         s = F.col(text_col)

@@ -7,40 +7,36 @@ Plan shape for many splits at once:
   stats      (split_id, term, df, ctf)     - join + aggregate over training rows
   vocab      (split_id, term, idf)         - df pruning, top-k cap
   weights    (split_id, report_id, term, w) - join, L2 norm per (split, report)
-No step holds a whole vocabulary or a whole split in one task: the cap is a
-count histogram (ctf -> terms) cut at k, and only the terms tied at the cut
-are ranked by a window.
+  vectors    (split_id, report_id, features) - sparse, from the numbered vocabulary
+No step holds a whole vocabulary or a whole split in one task or the driver: the
+cap and the term numbers come from range-partitioned running numbers.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.ranking import running_number
-from ..session import cut_lineage
-
-
-def round_half_up_int(x: float) -> int:
-    """T12 on the driver for a scalar (vocabulary cap)."""
-    import math
-    return int(math.floor(x + 0.5))
+from ..functions.ranking import ordered_number
+from ..session import cut_lineage, ship_by_value
 
 
 def doc_terms(docs: DataFrame, text_col: str, n_max: int, id_col: str = "report_id",
               lowercase: bool = True) -> DataFrame:
     """E1 + E2 + E3 (document part): (report_id, term, n, tf) for every word
-    n-gram with n <= n_max. Counted per document, so the shuffle is keyed by
-    (report, term) and partial aggregation collapses repeats map-side."""
+    n-gram with n <= n_max. Counted per document; documents already
+    partitioned by ``id_col`` are counted without another exchange."""
     # words first, as a column: the n-gram lambdas index into it, and an
     # inlined tokenizer would be re-run per element
     words = docs.select(id_col, T.vectorizer_tokens(F.col(text_col), lowercase).alias("_w"))
-    grams = words.select(id_col, T.ngrams(F.col("_w"), n_max).alias("_g"))
-    t = T.explode_rows(grams, F.col("_g"), "term", id_col)
-    return (t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-             .withColumn("n", (F.size(F.split("term", " "))).cast("int")))
+    grams = words.select(id_col, T.ngrams_with_n(F.col("_w"), n_max).alias("_g"))
+    t = T.explode_rows(grams, F.col("_g"), "_t", id_col)
+    return t.groupBy(id_col, F.col("_t.term").alias("term"), F.col("_t.n").alias("n")).agg(
+        F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(terms: DataFrame, members: DataFrame, n_max_col: Column | None = None,
@@ -59,7 +55,7 @@ def term_stats(terms: DataFrame, members: DataFrame, n_max_col: Column | None =
 
 
 def heldout_term_stats(terms: DataFrame, universe: DataFrame, parent_cols, n_folds: int,
-                       id_col: str = "report_id") -> tuple[DataFrame, DataFrame]:
+                       id_col: str = "report_id", min_df: int = 1) -> tuple[DataFrame, DataFrame]:
     """E3 for k-fold splits: per (parent, fold) the statistics of the
     training documents = the parent's totals minus the documents held out in
     that fold. Held-out sets partition a parent's documents, so one
@@ -69,7 +65,9 @@ def heldout_term_stats(terms: DataFrame, universe: DataFrame, parent_cols, n_fol
     afterwards, on the small per-term table.
 
     ``universe``: (parent..., report_id, fold) with fold = the held-out fold,
-    or -1 for documents that train in every fold of the parent.
+    or -1 for documents that train in every fold of the parent. Terms in fewer
+    than ``min_df`` of a parent's documents leave before the folds multiply
+    them: no fold's training part can hold more.
     Returns (parent..., fold, term, n, df, ctf) and (parent..., fold, n_docs)."""
     pc = list(parent_cols)
     g = terms.join(universe.select(*pc, id_col, "fold"), id_col)
@@ -79,7 +77,7 @@ def heldout_term_stats(terms: DataFrame, universe: DataFrame, parent_cols, n_fol
     for f in range(n_folds):
         aggs += [F.count_if(F.col("fold") == f).alias(f"_h{f}"),
                  F.sum(F.when(F.col("fold") == f, F.col("tf")).otherwise(F.lit(0))).alias(f"_c{f}")]
-    t = g.groupBy(*pc, "term").agg(*aggs)
+    t = g.groupBy(*pc, "term").agg(*aggs).where(F.col("_df") >= min_df)
     per = F.array(*[F.struct(F.lit(f).alias("fold"), (F.col("_df") - F.col(f"_h{f}")).alias("df"),
                              (F.col("_ctf") - F.col(f"_c{f}")).alias("ctf")) for f in range(n_folds)])
     stats = t.select(*pc, "term", "n", F.explode(per).alias("_p")).select(*pc, "_p.fold", "term", "n", "_p.df",
@@ -103,30 +101,25 @@ def prune_df(stats: DataFrame, n_docs: DataFrame, min_df: int = 2, max_df: float
 
 def cap_vocabulary(pruned: DataFrame, k: Column | int | None) -> DataFrame:
     """E5: the k terms of highest corpus frequency per split (ties by term);
-    ``k`` may be a column (per-split cap) or None for no cap.
+    ``k`` may be a column (per-split cap, NULL: no cap) or None for no cap.
 
-    A histogram (split, ctf) -> count is small; its running count from the
-    top finds the cut frequency. Terms above it stay, terms below go, and
-    only the tie group at the cut is ranked."""
+    Terms are numbered per split in that order over range partitions, so
+    neither a split nor the group of terms tied at the cut is one task."""
     if k is None:
         return pruned
     kc = k if isinstance(k, Column) else F.lit(int(k))
-    # the cut reads its input three times (histogram, kept rows, tied rows):
-    # materialise it once in the shared checkpoint folder
     x = cut_lineage(pruned.withColumn("_k", kc))
-    hist = x.groupBy("split_id", "ctf").agg(F.count(F.lit(1)).alias("_c"), F.first("_k").alias("_k"))
-    w = Window.partitionBy("split_id").orderBy(F.col("ctf").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_above", F.sum("_c").over(w) - F.col("_c"))
-    # 0 = keep all at this ctf, 1 = rank ties, 2 = drop
-    hist = hist.withColumn("_mode", F.when(F.col("_above") + F.col("_c") <= F.col("_k"), 0)
-                           .when(F.col("_above") < F.col("_k"), 1).otherwise(2))
-    j = x.join(hist.select("split_id", "ctf", "_above", "_mode"), ["split_id", "ctf"])
-    keep = j.where(F.col("_mode") == 0)
-    tie = j.where(F.col("_mode") == 1)
-    tie = running_number(tie, ["split_id", "ctf"], ["term"], F.substring("term", 1, 2), "_r") \
-        .where(F.col("_above") + F.col("_r") <= F.col("_k")).drop("_r")
-    return keep.unionByName(tie).drop("_k", "_above", "_mode")
+    free, capped = x.where("_k IS NULL"), x.where("_k IS NOT NULL")
+    ranked = ordered_number(capped, ["split_id"], [F.col("ctf").desc(), F.col("term")], "_r")
+    return ranked.where(F.col("_r") <= F.col("_k")).drop("_r").unionByName(free).drop("_k")
+
+
+def vocabulary_cap(terms: DataFrame, pvs: float | None) -> int | None:
+    """round_half_up(V * pvs), V = distinct single words; None without ``pvs``."""
+    if pvs is None:
+        return None
+    v = terms.where("n = 1").select("term").distinct().agg(F.count(F.lit(1)).alias("v"))
+    return v.select(T.round_half_up(F.col("v").cast("double") * F.lit(pvs)).cast("long")).first()[0]
 
 
 def idf_column(n_docs: Column, df: Column) -> Column:
@@ -135,11 +128,17 @@ def idf_column(n_docs: Column, df: Column) -> Column:
 
 
 def vocabulary(terms: DataFrame, members: DataFrame, min_df: int = 2, max_df: float = 0.9,
-               k: Column | int | None = None, id_col: str = "report_id") -> DataFrame:
+               pvs: float | None = None, id_col: str = "report_id") -> DataFrame:
     """(split_id, term, df, ctf, n_docs, idf)."""
     stats, n_docs = term_stats(terms, members, id_col=id_col)
-    v = cap_vocabulary(prune_df(stats, n_docs, min_df, max_df), k)
-    return v.withColumn("idf", idf_column(F.col("n_docs"), F.col("df")))
+    pruned = cap_vocabulary(prune_df(stats, n_docs, min_df, max_df), vocabulary_cap(terms, pvs))
+    return pruned.withColumn("idf", idf_column(F.col("n_docs"), F.col("df")))
+
+
+def numbered_vocabulary(vocab: DataFrame) -> DataFrame:
+    """Adds ``idx``, the term's 0-based place in its split's sorted vocabulary."""
+    v = ordered_number(cut_lineage(vocab), ["split_id"], [F.col("term")], "_n")
+    return v.withColumn("idx", (F.col("_n") - 1).cast("int")).drop("_n")
 
 
 def tfidf_weights(terms: DataFrame, members: DataFrame, vocab: DataFrame,
@@ -154,23 +153,40 @@ def tfidf_weights(terms: DataFrame, members: DataFrame, vocab: DataFrame,
     return w.select("split_id", id_col, "term", (F.col("_x") / norm).alias("tfidf"))
 
 
-def vectorizer_model(vocab_rows: list, input_col: str = "terms", output_col: str = "features"):
-    """JVM-side vector assembly for one split from its collected
-    vocabulary [(term, idf)]: counts -> times idf -> L2 norm. Indices follow
-    term order (as the usual vectorizer sorts its vocabulary)."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-    from pyspark.ml.linalg import Vectors
-    rows = sorted(vocab_rows)
-    terms = [t for t, _ in rows]
-    idf = Vectors.dense([float(i) for _, i in rows]) if rows else Vectors.dense([0.0])
-    cv = CountVectorizerModel.from_vocabulary(terms or ["\u0000"], inputCol=input_col, outputCol="_tf")
-    ep = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_tfidf")
-    nz = Normalizer(p=2.0, inputCol="_tfidf", outputCol=output_col)
-    return PipelineModel(stages=[cv, ep, nz])
+def indexed_weights(terms: DataFrame, members: DataFrame, numbered: DataFrame,
+                    id_col: str = "report_id") -> DataFrame:
+    """E8 as rows: (split_id, report_id, idx, tfidf)."""
+    w = tfidf_weights(terms, members, numbered, id_col)
+    return w.join(numbered.select("split_id", "term", "idx"), ["split_id", "term"]).select(
+        "split_id", id_col, "idx", "tfidf")
+
+
+@F.udf(VectorUDT())
+def _sparse(size, entries):
+    return Vectors.sparse(size, [e[0] for e in entries], [e[1] for e in entries])
+
+
+def sparse_vectors(weights: DataFrame, members: DataFrame, size: int, id_col: str = "report_id") -> DataFrame:
+    """E8 at the model boundary: (report_id, features) of one split's members; a
+    member without a known term is the zero vector. One short row function per
+    report builds the vector from its sorted entries."""
+    rows = weights.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "tfidf"))).alias("_e"))
+    none = F.array().cast("array<struct<idx:int,tfidf:double>>")
+    return members.select(id_col).join(rows, id_col, "left").select(
+        id_col, _sparse(F.lit(size), F.coalesce("_e", none)).alias("features"))
+
+
+@F.udf(T_.ArrayType(T_.StructType([T_.StructField("idx", T_.IntegerType()), T_.StructField("w", T_.DoubleType())])))
+def vector_entries(v):
+    """The non-zero entries of a vector column."""
+    return list(zip((int(i) for i in v.indices), (float(x) for x in v.values)))
 
 
 def with_terms(df: DataFrame, text_col: str, n_max: int, out_col: str = "terms") -> DataFrame:
-    """E1 + E2 as one array column (input of ``vectorizer_model``)."""
+    """E1 + E2 as one array column."""
     w = df.withColumn("_w", T.vectorizer_tokens(F.col(text_col)))
     return w.withColumn(out_col, T.ngrams(F.col("_w"), n_max)).drop("_w")
+
+
+# The row function runs in Python workers: pickled by value, they need no copy of the package.
+ship_by_value(__name__)

@@ -34,8 +34,12 @@ def stratified_fold(df: DataFrame, k: int, key_parts: Sequence, label_col: str =
                     out_col: str = "fold", bucket_digits: int = 3) -> DataFrame:
     """add ``out_col`` in 0..k-1, stratified on ``label_col`` within each
     ``group_cols`` group. ``key_parts`` (values or columns) seed the order:
-    rows are ranked by md5(key_parts..., id), then id."""
+    rows are ranked by md5(key_parts..., id), then id. A NULL label fails the
+    job: a row without a class can be dealt to no fold."""
     g = list(group_cols)
+    df = df.withColumn(label_col, F.coalesce(label_col, F.raise_error(
+        F.concat(F.lit(f"{label_col} is NULL in row "), F.coalesce(F.col(id_col).cast("string"), F.lit("NULL"))))
+        .cast(df.schema[label_col].dataType)))
     x = df.withColumn("_h", seed_key(*key_parts, F.col(id_col))) \
           .withColumn("_b", F.substring("_h", 1, bucket_digits))
     cnt = x.groupBy(*g, label_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -62,10 +66,17 @@ def with_realizations(df: DataFrame, n: int, col: str = "realization", first_see
 def patient_purity(df: DataFrame, group_cols: Sequence[str], fold_col: str, patient_col: str = "ipp",
                    out_col: str = "pure") -> DataFrame:
     """F6 helper: ``out_col`` is true when every row of the patient (within
-    the group) drew the same fold."""
-    g = list(group_cols) + [patient_col]
-    per = df.groupBy(*g).agg((F.min(fold_col) == F.max(fold_col)).alias(out_col))
-    return df.join(per, g)
+    the group) drew the same fold. A row without a patient id is a patient of
+    its own: it is pure and stays in its fold.
+
+    Only patients with rows in several folds are joined back (an anti join in
+    effect), and rows without an id never enter the join."""
+    g = list(group_cols)
+    mixed = (df.where(F.col(patient_col).isNotNull()).groupBy(*g, patient_col)
+             .agg(F.min(fold_col).alias("_lo"), F.max(fold_col).alias("_hi")).where("_lo <> _hi")
+             .select(*g, patient_col, F.lit(False).alias("_pure")))
+    return df.join(mixed, g + [patient_col], "left").withColumn(
+        out_col, F.coalesce("_pure", F.lit(True))).drop("_pure")
 
 
 def outer_folds(reports: DataFrame, realizations: int, k: int, label_col: str = "label",
@@ -125,25 +136,28 @@ def split_table(folds: DataFrame, inner: DataFrame, k_outer: int, k_inner: int,
     return o.unionByName(i)
 
 
-def patients_of(rows: DataFrame, sessions: DataFrame, text_col: str = "content",
-                report_col: str = "report", patient_col: str = "ipp",
-                keys: Sequence[str] = ()) -> DataFrame:
-    """patient ids of a row set looked up by report text (a semi join of
-    the session table against the row set's texts, keyed by a text hash and
-    checked on the text itself). Returns (keys..., ipp) per matching session row."""
+def text_keys(df: DataFrame, text_col: str, out_col: str = "key") -> DataFrame:
+    """``out_col``: the SHA-256 of the text, which stands for it in joins."""
+    return df.withColumn(out_col, F.sha2(F.col(text_col), 256))
+
+
+def patients_of(rows: DataFrame, sessions: DataFrame, keys: Sequence[str] = (), key_col: str = "key",
+                patient_col: str = "ipp") -> DataFrame:
+    """patient ids of a row set looked up by report text: the session rows
+    whose text key is among the row set's, as (keys..., ipp) per session row.
+    Both sides carry ``text_keys``, so no text travels."""
     keys = list(keys)
-    r = rows.select(*keys, F.sha2(F.col(text_col), 256).alias("_k"), F.col(text_col).alias("_t"))
-    s = sessions.select(F.sha2(F.col(report_col), 256).alias("_k"), F.col(report_col).alias("_t"),
-                        F.col(patient_col).alias(patient_col))
-    r = r.distinct()
-    return s.join(r, ["_k", "_t"]).select(*keys, patient_col)
+    wanted = rows.select(*keys, key_col).distinct()
+    return sessions.select(key_col, patient_col).join(wanted, key_col).select(*keys, patient_col)
 
 
 def shared_patients(train_ipps: DataFrame, test_ipps: DataFrame, keys: Sequence[str] = (),
                     patient_col: str = "ipp") -> DataFrame:
-    """patients present on both sides (set intersection per key)."""
+    """patients present on both sides (set intersection per key); rows
+    without an id belong to no patient."""
     cols = list(keys) + [patient_col]
-    return train_ipps.select(*cols).intersect(test_ipps.select(*cols))
+    known = F.col(patient_col).isNotNull()
+    return train_ipps.where(known).select(*cols).intersect(test_ipps.where(known).select(*cols))
 
 
 def binary_task(df: DataFrame, label_col: str = "label") -> DataFrame:

@@ -30,15 +30,16 @@ def _h(*parts):
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(report_id, content, lang, ipp, label): documents with a 4-class label."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    """(report_id, content, lang, ipp, label): documents with a 4-class label; every eleventh
+    report has no patient id."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc_id"), "quality", "toxic")
     j = d.join(lab, d.doc_id == lab.l_doc_id, "left")
     label = (F.when(F.col("l_doc_id").isNull(), 3).when(F.col("toxic") == 1, 2)
              .when(F.col("quality") == 0, 1).otherwise(0))
-    out = j.select(F.col("doc_id").alias("report_id"), F.col("text").alias("content"), "lang",
-                   F.expr("doc_id div 2").alias("ipp"), label.cast("int").alias("label"))
-    return spread(out, "report_id")
+    ipp = F.when(F.col("doc_id") % 11 != 0, F.expr("doc_id div 2"))
+    return j.select(F.col("doc_id").alias("report_id"), F.col("text").alias("content"), "lang",
+                    ipp.alias("ipp"), label.cast("int").alias("label"))
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +98,11 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(report_id, word, weight, rank): six words per labelled report, the
     largest |weight| among its distinct lowercase alphanumeric tokens."""
     from pyspark.sql.window import Window
-    d = table(spark, sf_dir, "documents").join(
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(
         table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_PATTERN), 0),
                                       lambda w: w.rlike(r"^[\p{L}\p{N}]+$")))
-    x = explode_rows(spread(d, "doc_id"), words, "word", F.col("doc_id").alias("report_id"))
+    x = explode_rows(d, words, "word", F.col("doc_id").alias("report_id"))
     x = x.withColumn("weight", (_h(F.col("report_id"), F.col("word")) - 32768) / F.lit(65536))
     w = Window.partitionBy("report_id").orderBy(F.abs("weight").desc(), "word")
     return (x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 6))
@@ -117,7 +118,8 @@ def _key(*parts: str) -> str:
 
 
 SQL_REPORTS = f"""reports AS (
-  SELECT d.doc_id AS report_id, d.text AS content, d.lang, d.doc_id // 2 AS ipp,
+  SELECT d.doc_id AS report_id, d.text AS content, d.lang,
+         CASE WHEN d.doc_id % 11 <> 0 THEN d.doc_id // 2 END AS ipp,
          CAST(CASE WHEN l.doc_id IS NULL THEN 3 WHEN l.toxic = 1 THEN 2
                    WHEN l.quality = 0 THEN 1 ELSE 0 END AS INT) AS label
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""

@@ -282,5 +282,32 @@ def m9_mode_over_realizations(spark, sf_dir):
 @register("m11_pooled_predictions", SQL_SCORED + " SELECT embedding, realization, count(*) AS n_pooled, "
           "CAST(sum(y_true) AS BIGINT) AS n_pos FROM scored GROUP BY ALL")
 def m11_pooled_predictions(spark, sf_dir):
-    p = TU.pool_predictions(scored(spark, sf_dir))
-    return p.groupBy(K).agg(F.count(F.lit(1)).alias("n_pooled"), F.sum("y_true").cast("long").alias("n_pos"))
+    """Predictions written fold by fold (S4) and pooled per realization when read back."""
+    from ..session import scratch_path
+    from ..sources import readers as R
+    from ..sources import sinks as SK
+    root = scratch_path(spark, "pooled")
+    s = scored(spark, sf_dir).withColumn("outer_fold", (F.col("report_id") % 5).cast("int"))
+    SK.write_run_results(s, root, ("embedding", "realization", "outer_fold"))
+    return spark.read.parquet(root).groupBy(K).agg(
+        F.count(F.lit(1)).alias("n_pooled"), F.sum("y_true").cast("long").alias("n_pos"))
+
+
+@register("g13_curve_run", W(FX.SQL_PRED,
+                             "scored AS (SELECT embedding, realization, report_id, y_true, votes AS score, "
+                             "CASE WHEN votes * 2 > 51 THEN 1 ELSE 0 END AS y_pred FROM pred)",
+                             *SQL_ROC_PTS, *_interp_sql("roc", "fpr", "tpr", "0.0", "1.0")) +
+          "SELECT i, max(CASE WHEN embedding = 'tf_idf' THEN mean END) AS tf_idf, "
+          "max(CASE WHEN embedding = 'd2v' THEN mean END) AS d2v FROM bd GROUP BY i")
+def g13_curve_run(spark, sf_dir):
+    """The curve run: predictions of both embeddings stored under their run dates, beside a run of another
+    date that must not be read; bands and comparison."""
+    from ..session import scratch_path
+    from ..sources import sinks as SK
+    from .runs import curve_run
+    root = scratch_path(spark, "curve-run")
+    s = scored(spark, sf_dir)
+    date = F.when(F.col("embedding") == "tf_idf", "Jun_19_2021").otherwise("Jun_21_2021")
+    SK.write_run_results(s.withColumn("run_date", date), root)
+    SK.write_run_results(s.withColumn("score", -F.col("score")).withColumn("run_date", F.lit("Jan_01_2020")), root)
+    return curve_run(spark, root, {"tf_idf": "Jun_19_2021", "d2v": "Jun_21_2021"})["compare"]

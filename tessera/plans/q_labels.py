@@ -103,47 +103,92 @@ def p9_parse_combo_key(spark, sf_dir):
     return k.select("realization", "outer_fold", "inner_fold", "seq", *L.parse_tfidf_key(F.col("combo_key")))
 
 
+_D2V_KEY_SQL = ("'type' || CAST(seq % 2 AS VARCHAR) || '_vs' || CAST(n_gram * 10 AS VARCHAR) "
+                "|| '_mf' || CAST(mf AS VARCHAR)")
+
+
+def _d2v_keys(spark, sf_dir):
+    v = FX.val_scores(spark, sf_dir)
+    return v.select("realization", "outer_fold", "inner_fold", "seq", L.d2v_combo_key(
+        F.col("seq") % 2, F.col("n_gram") * 10, F.col("mf")).alias("combo_key"))
+
+
+@register("p8_vector_combo_key", W(FX.SQL_VAL_SCORES) +
+          f"SELECT realization, outer_fold, inner_fold, seq, {_D2V_KEY_SQL} AS combo_key FROM val_scores")
+def p8_vector_combo_key(spark, sf_dir):
+    return _d2v_keys(spark, sf_dir)
+
+
+@register("p9_parse_vector_combo_key", W(FX.SQL_VAL_SCORES) +
+          "SELECT realization, outer_fold, inner_fold, seq, CAST(seq % 2 AS INT) AS d2v_type, "
+          "CAST(n_gram * 10 AS INT) AS size, mf FROM val_scores")
+def p9_parse_vector_combo_key(spark, sf_dir):
+    k = _d2v_keys(spark, sf_dir)
+    return k.select("realization", "outer_fold", "inner_fold", "seq", *L.parse_d2v_key(F.col("combo_key")))
+
+
 def tfidf_grid(spark):
     rows = [(n, p, m) for n in TFIDF_NGRAMS for p in TFIDF_PVS for m in RF_MAX_FEATURES]
     return spark.createDataFrame(rows, "n_gram int, pvs double, mf double")
 
 
-@register("p10_off_grid_keys", "SELECT CAST(0 AS BIGINT) AS n_off_grid")
+@register("p10_off_grid_keys", W(FX.SQL_VAL_SCORES) +
+          "SELECT realization, outer_fold, inner_fold, seq, n_gram + 1 AS n_gram, pvs, mf FROM val_scores "
+          "WHERE (realization + outer_fold + inner_fold + seq) % 3 = 0 AND n_gram + 1 NOT IN (3, 4, 5)")
 def p10_off_grid_keys(spark, sf_dir):
+    """Keys read back, a third of them with an n-gram length one too large: those that left the grid."""
     parsed = p9_parse_combo_key(spark, sf_dir)
-    off = L.off_grid(parsed, tfidf_grid(spark), ["n_gram", "pvs", "mf"])
-    return off.agg(F.count(F.lit(1)).alias("n_off_grid"))
+    moved = (F.col("realization") + F.col("outer_fold") + F.col("inner_fold") + F.col("seq")) % 3 == 0
+    parsed = parsed.withColumn("n_gram", F.col("n_gram") + F.when(moved, 1).otherwise(0))
+    return L.off_grid(parsed, tfidf_grid(spark), ["n_gram", "pvs", "mf"])
 
 
 @register("p11_no_skill_equal", W(FX.SQL_PRED) + """
 SELECT count(DISTINCT round(ns, 12)) AS n_distinct FROM (
   SELECT embedding, avg(p) AS ns FROM (
-    SELECT embedding, realization, avg(y_true) AS p FROM pred GROUP BY ALL) GROUP BY embedding)""")
+    SELECT embedding, realization, avg(y_true) AS p FROM pred
+    WHERE embedding = 'tf_idf' OR report_id % 3 <> 0 GROUP BY ALL) GROUP BY embedding)""")
 def p11_no_skill_equal(spark, sf_dir):
+    """The no-skill levels of two runs over different reports: as many values as there are levels."""
     from ..operators.curves import no_skill
-    return L.distinct_no_skill(no_skill(FX.pred(spark, sf_dir)))
-
-
-@register("s3_vectors_tsv")
+    p = FX.pred(spark, sf_dir).where((F.col("embedding") == "tf_idf") | (F.col("report_id") % 3 != 0))
+    return L.distinct_no_skill(no_skill(p))
+
+
+@register("s3_vectors_tsv", W(FX.SQL_REPORTS, "x AS (SELECT r.report_id, r.label, md5('0-' || CAST(r.report_id AS VARCHAR)) AS h FROM reports r)",
+                              "cnt AS (SELECT label, count(*) AS n FROM x GROUP BY ALL)",
+                              "off AS (SELECT label, sum(n) OVER (ORDER BY label) - n AS o FROM cnt)",
+                              "fo AS (SELECT x.*, CAST((off.o + row_number() OVER (PARTITION BY x.label ORDER BY x.h, x.report_id) - 1) % 5 AS INT) "
+                              "AS outer_fold FROM x JOIN off USING (label))",
+                              "v AS (SELECT count(DISTINCT w) AS n FROM (SELECT unnest(regexp_extract_all(lower(d.text), "
+                              "'[\\p{L}\\p{N}_]{2,}')) AS w, d.doc_id FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id))",
+                              "df AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT unnest(regexp_extract_all(lower(d.text), "
+                              "'[\\p{L}\\p{N}_]{2,}')) AS w, d.doc_id FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id) GROUP BY w)",
+                              "nd AS (SELECT count(*) AS n_docs FROM fo WHERE label <> 3)",
+                              "sz AS (SELECT least(count(*), (SELECT CAST(floor(n * 0.9 + 0.5) AS BIGINT) FROM v)) AS n "
+                              "FROM df, nd WHERE df.df >= 2 AND df.df <= 0.9 * n_docs)") +
+          "SELECT outer_fold, count(*) AS n_lines, CAST(count(*) * (SELECT n FROM sz) AS BIGINT) AS n_values "
+          "FROM fo WHERE label <> 3 GROUP BY outer_fold")
 def s3_vectors_tsv(spark, sf_dir):
-    """Vectors of the labelled reports as tab-separated lines, one folder per
-    test fold, read back: (outer_fold, n_lines, n_values)."""
+    """Vectors of the labelled reports (single words) as tab-separated lines, one
+    folder per test fold, read back: (outer_fold, n_lines, n_values)."""
     from ..operators import features as FE
     from ..operators import splits as SP
-    from .q_features import TOP_K, labelled_docs
+    from ..session import cut_lineage
+    from .q_features import PVS, labelled_docs
     docs = labelled_docs(spark, sf_dir)
     members = docs.select(F.lit(0).alias("split_id"), "report_id")
-    v = FE.vocabulary(FE.doc_terms(docs, "text", 2), members, k=TOP_K)
-    vec = FE.vectorizer_model([(r["term"], r["idf"]) for r in v.select("term", "idf").collect()])
+    terms = cut_lineage(FE.doc_terms(docs, "text", 1))
+    v = cut_lineage(FE.numbered_vocabulary(FE.vocabulary(terms, members, pvs=PVS)))
+    vec = FE.sparse_vectors(FE.indexed_weights(terms, members, v), members, v.count())
     rep = SP.with_realizations(FX.reports(spark, sf_dir).select("report_id", "label"), 1)
     folds = SP.stratified_fold(rep, 5, [F.col("realization")], group_cols=["realization"], out_col="outer_fold")
-    x = vec.transform(FE.with_terms(docs, "text", 2)).join(folds.select("report_id", "label", "outer_fold"),
-                                                           "report_id")
+    x = vec.join(folds.select("report_id", "label", "outer_fold"), "report_id")
     out = scratch_path(spark, "vectors-tsv")
     K.write_vectors_tsv(x, out)
     back = spark.read.text(f"{out}/vectors")
     return back.groupBy("outer_fold").agg(F.count(F.lit(1)).alias("n_lines"),
-                                          F.sum(F.size(F.split("value", "\t"))).alias("n_values"))
+                                          F.sum(F.size(F.split("value", "\t"))).cast("long").alias("n_values"))
 
 
 @register("s6_explanations_sink", FX.with_ctes(FX.SQL_PRED, FX.SQL_EXPLANATIONS) + """

@@ -22,7 +22,7 @@ def fold_ctes(r: int = R, k: int = K, ki: int = KI) -> list[str]:
         "off AS (SELECT realization, label, sum(n) OVER (PARTITION BY realization ORDER BY label) - n AS o FROM cnt)",
         f"fo AS (SELECT x.*, CAST((off.o + row_number() OVER (PARTITION BY x.realization, x.label "
         f"ORDER BY x.h, x.report_id) - 1) % {k} AS INT) AS test_fold FROM x JOIN off USING (realization, label))",
-        "fp AS (SELECT fo.*, min(test_fold) OVER (PARTITION BY realization, ipp) = "
+        "fp AS (SELECT fo.*, ipp IS NULL OR min(test_fold) OVER (PARTITION BY realization, ipp) = "
         "max(test_fold) OVER (PARTITION BY realization, ipp) AS pure FROM fo)",
         f"ro AS (SELECT fp.*, CAST(o.range AS INT) AS outer_fold, CASE WHEN fp.test_fold = o.range AND fp.pure "
         f"THEN 'test' ELSE 'train' END AS role FROM fp CROSS JOIN range({k}) o)",
@@ -33,7 +33,7 @@ def fold_ctes(r: int = R, k: int = K, ki: int = KI) -> list[str]:
         "ORDER BY label) - n AS o FROM cnt2)",
         f"fi AS (SELECT tr.*, CAST((off2.o + row_number() OVER (PARTITION BY tr.realization, tr.outer_fold, tr.label "
         f"ORDER BY tr.h, tr.report_id) - 1) % {ki} AS INT) AS inner_fold FROM tr JOIN off2 USING (realization, outer_fold, label))",
-        "fip AS (SELECT fi.*, min(inner_fold) OVER (PARTITION BY realization, outer_fold, ipp) = "
+        "fip AS (SELECT fi.*, ipp IS NULL OR min(inner_fold) OVER (PARTITION BY realization, outer_fold, ipp) = "
         "max(inner_fold) OVER (PARTITION BY realization, outer_fold, ipp) AS inner_pure FROM fi)",
     ]
 
@@ -56,22 +56,21 @@ def f2_repeated_folds(spark, sf_dir):
 
 @register("f4_patient_lookup", W(*fold_ctes()) + """,
 t AS (SELECT DISTINCT f.realization, f.test_fold AS outer_fold, r.content FROM fo f JOIN reports r USING (report_id))
-SELECT t.realization, t.outer_fold, s.ipp, count(*) AS n_rows
+SELECT t.realization, t.outer_fold, coalesce(s.ipp, -1) AS ipp, count(*) AS n_rows
 FROM reports s JOIN t ON s.content = t.content GROUP BY ALL""".replace("\n,", ",", 0))
 def f4_patient_lookup(spark, sf_dir):
     """Patients of every fold's (unrepaired) test rows, looked up by text in
     the session table (here: the reports themselves as (report, ipp))."""
-    rep = FX.reports(spark, sf_dir)
+    rep = FX.reports(spark, sf_dir).select("report_id", F.sha2("content", 256).alias("key"), "ipp")
     fo = outer(spark, sf_dir).select("realization", F.col("test_fold").alias("outer_fold"), "report_id")
-    rows = fo.join(rep.select("report_id", "content"), "report_id")
-    sessions = rep.select(F.col("content").alias("report"), "ipp")
-    hits = SP.patients_of(rows, sessions, keys=["realization", "outer_fold"])
-    return hits.groupBy("realization", "outer_fold", "ipp").agg(F.count(F.lit(1)).alias("n_rows"))
+    hits = SP.patients_of(fo.join(rep.select("report_id", "key"), "report_id"), rep, ["realization", "outer_fold"])
+    return hits.groupBy("realization", "outer_fold", F.coalesce("ipp", F.lit(-1)).alias("ipp")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
 
 
 @register("f5_shared_patients", W(*fold_ctes()) + """,
 b AS (SELECT f.realization, CAST(o.range AS INT) AS outer_fold, f.ipp, f.test_fold = o.range AS is_test
-      FROM fo f CROSS JOIN range(5) o)
+      FROM fo f CROSS JOIN range(5) o WHERE f.ipp IS NOT NULL)
 SELECT DISTINCT realization, outer_fold, ipp FROM b WHERE is_test
 INTERSECT SELECT DISTINCT realization, outer_fold, ipp FROM b WHERE NOT is_test""")
 def f5_shared_patients(spark, sf_dir):
@@ -126,6 +125,7 @@ def p7_gather_rows(spark, sf_dir):
     """Materialise the binary-task rows of every (realization, outer fold, role)
     by joining the split table to the reports on the key."""
     ro = SP.outer_roles(outer(spark, sf_dir), K).select("realization", "outer_fold", "role", "report_id", "label")
-    rows = SP.binary_task(ro).join(FX.reports(spark, sf_dir).select("report_id", "content"), "report_id")
-    return rows.select("realization", "outer_fold", "role", "report_id", "y",
-                       F.md5("content").alias("content_md5"))
+    # hash once per report: the text does not travel once per copy of its row
+    hashed = FX.reports(spark, sf_dir).select("report_id", F.md5("content").alias("content_md5"))
+    return SP.binary_task(ro).join(hashed, "report_id").select(
+        "realization", "outer_fold", "role", "report_id", "y", "content_md5")

@@ -1,18 +1,20 @@
-"""Whole runs: repeated nested cross-validation with TF-IDF (M12) or paragraph
-vectors, and the explanation run (X8).
+"""Whole runs: repeated nested cross-validation with TF-IDF or document vectors
+(M12), the explanation run (X8) and the curve run.
 
 Shape of a run: clean once -> fold tables (two small jobs) -> every inner
-split's vocabulary in ONE aggregate job -> fits (concurrent Spark ML jobs) ->
-selection aggregates -> outer vocabularies in one job -> refits -> pooled
-predictions written once -> metrics and curves as aggregates. Each
-intermediate table is checkpointed into the shared checkpoint folder so a
-lost executor recomputes from there, not from the raw text.
+split's vocabulary in one job -> fits (concurrent Spark ML jobs) -> selection
+aggregates -> outer vocabularies in one job -> refits -> predictions written per
+fold -> metrics and curves as aggregates. The vocabularies are written once,
+partitioned by split, and the fold tables by their parent, so a split's job
+reads its own folders only. Nothing of a vocabulary reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,342 +22,343 @@ from ..config import RunConfig
 from ..functions.text import explode_rows, round_half_up
 from ..operators import clean as C
 from ..operators import curves as CV
+from ..operators import doc2vec as DV
 from ..operators import explain as X
 from ..operators import features as FE
 from ..operators import forest as RF
+from ..operators import labels as L
 from ..operators import metrics as MT
 from ..operators import splits as SP
 from ..operators import tuning as TU
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
+from ..sources import readers as R
+from ..sources import sinks as K
 
-NO_CAP = 1 << 62
+PARAMS = ("n_gram", "pvs", "mf")
 
 
-def _key(*cols):
-    return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in cols])
+@dataclass
+class RunResult:
+    predictions: DataFrame       # (embedding, realization, outer_fold, report_id, y_true, y_pred, score)
+    val_scores: DataFrame        # (realization, outer_fold, inner_fold, seq, params..., f1)
+    best_outer: DataFrame        # M7
+    params_outer: DataFrame      # M8
+    params_realizations: DataFrame  # M9
+    metrics: DataFrame           # per realization: G2 + AUC + AUPR (multi-class: G3)
+    summary: DataFrame           # G8
 
 
 def prepare(reports: DataFrame, cfg: RunConfig, first_seed: int = 0):
     """Clean once; fold tables; vocabulary size V of the cleaned corpus."""
     cleaned = C.clean_reports(reports, cfg.clean).select("report_id", "label", "ipp", "tokens", "clean_text")
-    cleaned = cut_lineage(cleaned)
+    cleaned = cut_lineage(cleaned.repartition("report_id"))
     vocab_size = explode_rows(cleaned, F.col("tokens"), "t").select("t").distinct().count()
     folds = SP.outer_folds(cleaned, cfg.realizations, cfg.outer_folds, first_seed=first_seed)
     return cleaned, folds, vocab_size
 
 
-def _cap(vocab_size: int, pvs_col):
-    """Vocabulary cap per split: round_half_up(V * pvs), no cap when pvs is NULL."""
-    k = round_half_up(F.lit(float(vocab_size)) * pvs_col, 0).cast("long")
-    return F.coalesce(k, F.lit(NO_CAP))
+def task_rows(df: DataFrame, cfg: RunConfig) -> DataFrame:
+    """The rows and classes ``y`` of the task: binary (P5 + P6), or all four labels as they are."""
+    return SP.binary_task(df) if cfg.binary else df.withColumn("y", F.col("label").cast("int"))
+
 
+def n_classes(cfg: RunConfig) -> int:
+    return 2 if cfg.binary else 4
 
-def _with_max_vocab(k, cfg: RunConfig):
-    return k if cfg.max_vocab is None else F.least(k, F.lit(int(cfg.max_vocab)))
 
+def _stored(df: DataFrame, name: str, by: Sequence[str]) -> DataFrame:
+    """``df`` written below the shared folder, one folder per ``by`` value, and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def split_vocabularies(doc_terms: DataFrame, members: DataFrame, vocab_size: int, cfg: RunConfig) -> DataFrame:
-    """E3-E5 for many splits in one job. ``members``: (split_id, report_id, n_gram, pvs)."""
-    stats, n_docs = FE.term_stats(doc_terms, members)
-    caps = members.select("split_id", "pvs").distinct().withColumn(
-        "_kk", _with_max_vocab(_cap(vocab_size, F.col("pvs")), cfg))
-    pruned = FE.prune_df(stats, n_docs, cfg.min_df, cfg.max_df).join(caps.select("split_id", "_kk"), "split_id")
-    v = FE.cap_vocabulary(pruned, F.col("_kk")).drop("_kk")
-    return v.withColumn("idf", FE.idf_column(F.col("n_docs"), F.col("df"))).select("split_id", "term", "idf")
+
+def cap_column(vocab_size: int, pvs_col):
+    """E5: round_half_up(V * pvs); NULL (no cap) where pvs is NULL."""
+    return round_half_up(F.lit(float(vocab_size)) * pvs_col, 0).cast("long")
 
 
 def heldout_vocabularies(doc_terms: DataFrame, universe: DataFrame, parent_cols, n_folds: int,
-                         combos: DataFrame, vocab_size: int, cfg: RunConfig, split_cols) -> DataFrame:
-    """E3-E5 for all k-fold splits of many parents at once, by complement
-    (``features.heldout_term_stats``): one aggregation over the document-term
-    table, then per split (a ``combos`` row: parent, fold, n_gram, pvs) the
-    n-gram filter, df pruning and cap on the small per-term table."""
+                         combos: DataFrame, vocab_size: int, cfg: RunConfig) -> DataFrame:
+    """E3-E5 and E8's numbers for all k-fold splits of many parents at once, by complement
+    (``features.heldout_term_stats``). ``combos``: (parent..., fold, n_gram, pvs, split_id).
+    Terms are pruned per (parent, fold) before the grid multiplies them.
+    Returns (split_id, term, idf, idx)."""
     pc = list(parent_cols)
-    stats, n_docs = FE.heldout_term_stats(doc_terms, universe, pc, n_folds)
-    sid = _key(*split_cols)
-    x = stats.join(combos, pc + ["fold"]).where(F.col("n") <= F.col("n_gram")).withColumn("split_id", sid)
-    nd = n_docs.join(combos, pc + ["fold"]).withColumn("split_id", sid).select("split_id", "n_docs")
+    stats, n_docs = FE.heldout_term_stats(doc_terms, universe, pc, n_folds, min_df=cfg.min_df)
+    hi = F.col("n_docs") * F.lit(float(cfg.max_df))
+    pruned = stats.join(n_docs, pc + ["fold"]).where((F.col("df") >= cfg.min_df) & (F.col("df") <= hi))
+    caps = combos
     if cfg.vocab_scope == "train":
-        v_split = x.where(F.col("n") == 1).groupBy("split_id").agg(F.count(F.lit(1)).alias("_v"))
-        caps = combos.withColumn("split_id", sid).join(v_split, "split_id", "left").select(
-            "split_id", _with_max_vocab(F.coalesce(
-                round_half_up(F.col("_v").cast("double") * F.col("pvs"), 0).cast("long"), F.lit(NO_CAP)),
-                cfg).alias("_kk"))
+        # V counts every word of the training rows, those that pruning drops too
+        words, _ = FE.heldout_term_stats(doc_terms.where("n = 1"), universe, pc, n_folds)
+        v = words.groupBy(*pc, "fold").agg(F.count(F.lit(1)).alias("_v"))
+        caps = caps.join(v, pc + ["fold"], "left").withColumn(
+            "_cap", round_half_up(F.col("_v").cast("double") * F.col("pvs"), 0).cast("long")).drop("_v")
     else:
-        caps = combos.withColumn("split_id", sid).select(
-            "split_id", _with_max_vocab(_cap(vocab_size, F.col("pvs")), cfg).alias("_kk"))
-    # caps: one row per split (grid x folds) - a bounded broadcast side
-    pruned = FE.prune_df(x.select("split_id", "term", "df", "ctf"), nd, cfg.min_df, cfg.max_df) \
-        .join(F.broadcast(caps), "split_id")
-    v = FE.cap_vocabulary(pruned, F.col("_kk")).drop("_kk")
-    return v.withColumn("idf", FE.idf_column(F.col("n_docs"), F.col("df"))).select("split_id", "term", "idf")
+        caps = caps.withColumn("_cap", cap_column(vocab_size, F.col("pvs")))
+    x = pruned.join(caps, pc + ["fold"]).where(F.col("n") <= F.col("n_gram"))
+    v = FE.cap_vocabulary(x.select("split_id", "term", "df", "ctf", "n_docs", "_cap"), F.col("_cap"))
+    return FE.numbered_vocabulary(v.select("split_id", "term", FE.idf_column(F.col("n_docs"), F.col("df")).alias("idf")))
 
 
-def _held_fold(fold_col: str, pure_col: str):
-    return F.when(F.col(pure_col), F.col(fold_col)).otherwise(F.lit(-1)).alias("fold")
+def split_sizes(vocab: DataFrame) -> dict[int, int]:
+    """Terms per split: one number per split of the grid."""
+    return {r["split_id"]: r["n"] for r in vocab.groupBy("split_id").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _fit_split(docs: DataFrame, vocab: DataFrame, split_id: str, n_gram: int, train: DataFrame,
-               apply: DataFrame, mfs, cfg: RunConfig, seed: int):
-    """One split: its vectorizer (collected vocabulary = the model) and one
-    forest per max_features value. Returns [(mf, predictions DataFrame)]."""
-    sv = vocab.where(F.col("split_id") == split_id).select("term", "idf")
-    n_terms = sv.count()          # checked before the vocabulary (the model) reaches the driver
-    if n_terms > cfg.max_model_terms:
-        raise ValueError(f"split {split_id}: {n_terms} terms exceed max_model_terms; set pvs or max_vocab")
-    rows = [(r["term"], r["idf"]) for r in sv.collect()]
-    d = docs.withColumn("terms", F.filter("terms", lambda t: F.size(F.split(t, " ")) <= n_gram))
-    vec = FE.vectorizer_model(rows)
-    tr = vec.transform(d.join(train, "report_id")).select("report_id", "y", "features")
-    ap = vec.transform(d.join(apply, "report_id")).select("report_id", "y", "features")
-    models = RF.fit_many([RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins) for mf in mfs], tr)
-    return [(mf, RF.predict(m, ap).select("report_id", "y", "y_pred", "score")) for mf, m in zip(mfs, models)]
-
-
-def _f1_by_mf(fits) -> dict:
-    """Validation F1 of every fit of one split in a single aggregate job."""
-    u = None
-    for mf, p in fits:
-        x = p.select(F.lit(float(mf)).alias("mf"), F.col("y").alias("y_true"), "y_pred")
-        u = x if u is None else u.unionByName(x)
-    return {float(r["mf"]): float(r["f1"]) for r in MT.binary_metrics(u, ["mf"]).collect()}
+def held_fold(fold_col: str, pure_col: str):
+    return F.when(F.col(pure_col), F.col(fold_col)).otherwise(F.lit(-1)).alias("fold")
 
 
-@dataclass
-class RunResult:
-    predictions: DataFrame       # (embedding, realization, outer_fold, report_id, y_true, y_pred, score)
-    val_scores: DataFrame        # (realization, outer_fold, inner_fold, seq, params..., f1)
-    best_outer: DataFrame        # M7
-    params_outer: DataFrame      # M8
-    params_realizations: DataFrame  # M9
-    metrics: DataFrame           # per realization: G2 + AUC + AUPR
-    summary: DataFrame           # G8
+def _held(table: DataFrame, where, fold_col: str, pure_col: str, fold: int) -> DataFrame:
+    """(report_id, held) of one split straight from a compact fold table: held out iff the row
+    drew that fold and its patient is pure. No per-split membership table is ever written."""
+    return table.where(where).select("report_id", ((F.col(fold_col) == F.lit(fold)) & F.col(pure_col)).alias("held"))
 
 
-def py_key(*vals) -> str:
-    """Driver-side twin of ``_key`` (same text as Spark's string cast)."""
-    return "/".join("None" if v is None else str(v) for v in vals)
+def split_vectors(dterms: DataFrame, vocab: DataFrame, split_id: int, size: int, members: DataFrame) -> DataFrame:
+    """E6-E8 of one split: (report_id, features)."""
+    v = vocab.where(F.col("split_id") == split_id)
+    m = members.select(F.lit(split_id).alias("split_id"), "report_id")
+    return FE.sparse_vectors(FE.indexed_weights(dterms, m, v), m, max(size, 1))
 
 
-def _members(table: DataFrame, where, fold_col: str, pure_col: str, fold: int, held: bool) -> DataFrame:
-    """Report ids of one split straight from a compact fold table: held out
-    iff the row drew that fold and its patient is pure; training otherwise.
-    No per-split membership table is ever materialised."""
-    h = (F.col(fold_col) == F.lit(fold)) & F.col(pure_col)
-    return table.where(where & (h if held else ~h)).select("report_id")
+def _fit(vectors: DataFrame, ys: DataFrame, members: DataFrame, mfs, cfg: RunConfig, seed: int):
+    """Forests of one split on its training rows, applied to its held-out rows: [(mf, predictions)] and
+    the persisted vectors, which the caller releases."""
+    rows = vectors.join(members, "report_id").join(ys, "report_id").persist(StorageLevel.MEMORY_AND_DISK)
+    models = RF.fit_many([RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins) for mf in mfs],
+                         rows.where(~F.col("held")), n_classes(cfg))
+    held = rows.where("held")
+    return [(mf, RF.predict(m, held).select("report_id", "y", "y_pred", "score")) for mf, m in zip(mfs, models)], rows
 
 
-def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(),
-              embedding: str = "tf_idf") -> RunResult:
-    """Repeated nested cross-validation, TF-IDF + random forest."""
-    cleaned, folds, vsize = prepare(reports, cfg)
-    inner = cut_lineage(SP.binary_task(SP.inner_folds(folds, cfg.outer_folds, cfg.inner_folds))
-                        .select("realization", "outer_fold", "report_id", "inner_fold", "inner_pure"))
-    fb = cut_lineage(SP.binary_task(folds).select("realization", "report_id", "test_fold", "pure"))
-    docs = SP.binary_task(cleaned).select("report_id", "y", "clean_text")
-    docs = cut_lineage(FE.with_terms(docs, "clean_text", max(cfg.ngrams)).select("report_id", "y", "terms"))
-    dterms = cut_lineage(FE.doc_terms(SP.binary_task(cleaned), "clean_text", max(cfg.ngrams)))
-    grid = [(s, n, p, m) for s, (n, p, m) in enumerate(
-        (n, p, m) for n in cfg.ngrams for p in cfg.pvs for m in cfg.max_features)]
-    vgrid = sorted({(n, p) for _, n, p, _ in grid}, key=lambda t: (t[0], t[1] is None, t[1] or 0))
-
-    # --- inner level: every (fold, n_gram, pvs) vocabulary in one job
-    parents = [(r["realization"], r["outer_fold"]) for r in
-               inner.select("realization", "outer_fold").distinct().collect()]
-    splits = [(r, o, v, n, p) for r, o in sorted(parents) for v in range(cfg.inner_folds) for n, p in vgrid]
-    combos = spark.createDataFrame(splits, "realization int, outer_fold int, fold int, n_gram int, pvs double")
-    universe = inner.select("realization", "outer_fold", "report_id", _held_fold("inner_fold", "inner_pure"))
-    vocab = cut_lineage(heldout_vocabularies(dterms, universe, ["realization", "outer_fold"], cfg.inner_folds,
-                                             combos, vsize, cfg, ["realization", "outer_fold", "fold", "n_gram", "pvs"]))
-
-    def task(sp):
-        r, o, v, n, p = sp
+def _f1_by_mf(fits, cfg: RunConfig) -> dict:
+    """Validation F1 of every fit of one split in a single aggregate job."""
+    u = None
+    for mf, p in fits:
+        x = p.select(F.lit(float(mf)).alias("mf"), F.col("y").alias("y_true"), "y_pred")
+        u = x if u is None else u.unionByName(x)
+    score = MT.binary_metrics if cfg.binary else MT.weighted_metrics
+    return {float(r["mf"]): float(r["f1"]) for r in score(u, ["mf"]).collect()}
+
+
+def nested_cv(spark: SparkSession, folds: DataFrame, ys: DataFrame, grid: list[tuple], params: Sequence[str],
+              cfg: RunConfig, embedding: str, inner_vectors, outer_vectors) -> RunResult:
+    """M5-M12 for any features. ``grid``: (feature settings..., mf) in loop order;
+    ``inner_vectors(parents)`` and ``outer_vectors(best)`` give functions from a split
+    to its (report_id, features)."""
+    inner = task_rows(SP.inner_folds(folds, cfg.outer_folds, cfg.inner_folds), cfg).select(
+        "realization", "outer_fold", "report_id", "inner_fold", "inner_pure")
+    inner = _stored(inner, "inner-folds", ["realization", "outer_fold"])
+    outer = _stored(task_rows(folds, cfg).select("realization", "report_id", "test_fold", "pure"),
+                    "outer-folds", ["realization"])
+    seqs = {combo: i for i, combo in enumerate(grid)}
+    features = list(dict.fromkeys(c[:-1] for c in grid))
+    parents = sorted((r["realization"], r["outer_fold"]) for r in inner.select("realization", "outer_fold").distinct().collect())
+    vectors_of = inner_vectors(inner, [(r, o, v, *f) for r, o in parents for v in range(cfg.inner_folds) for f in features])
+
+    def task(r, o, v, f):
         def run():
             where = (F.col("realization") == r) & (F.col("outer_fold") == o)
-            tr = _members(inner, where, "inner_fold", "inner_pure", v, held=False)
-            va = _members(inner, where, "inner_fold", "inner_pure", v, held=True)
-            fits = _fit_split(docs, vocab, py_key(r, o, v, n, p), n, tr, va, cfg.max_features, cfg, seed=r)
-            f1 = _f1_by_mf(fits)
-            res = []
-            for mf, _ in fits:
-                seq = next(g for g, nn, pv, mm in grid if nn == n and pv == p and mm == mf)
-                res.append((r, o, v, seq, n, p, float(mf), f1.get(float(mf), 0.0)))
-            return res
+            members = _held(inner, where, "inner_fold", "inner_pure", v)
+            mfs = [c[-1] for c in grid if c[:-1] == f]
+            fits, cached = _fit(vectors_of((r, o, v, *f), members), ys, members, mfs, cfg, seed=r)
+            f1 = _f1_by_mf(fits, cfg)
+            cached.unpersist()
+            return [(r, o, v, seqs[(*f, mf)], *f, float(mf), f1.get(float(mf), 0.0)) for mf in mfs]
         return run
-    rows = [x for rs in RF.run_parallel([task(sp) for sp in splits], cfg.concurrent_fits) for x in rs]
-    val_scores = spark.createDataFrame(
-        rows, "realization int, outer_fold int, inner_fold int, seq int, n_gram int, pvs double, mf double, f1 double")
-    params = ["n_gram", "pvs", "mf"]
-    best_inner = TU.best_per_inner_fold(val_scores, ["realization", "outer_fold", "inner_fold"], params)
-    best_outer = TU.best_per_outer_fold(best_inner, ["realization", "outer_fold"], "inner_fold", params)
-    best_outer = cut_lineage(best_outer)
-
-    # --- outer level: refit with the chosen combo, predict the test fold
-    ouniverse = fb.select("realization", "report_id", _held_fold("test_fold", "pure"))
-    ocombos = best_outer.select("realization", F.col("outer_fold").alias("fold"), "n_gram", "pvs")
-    ovocab = cut_lineage(heldout_vocabularies(dterms, ouniverse, ["realization"], cfg.outer_folds, ocombos, vsize,
-                                              cfg, ["realization", "fold", "n_gram", "pvs"]))
-    chosen = best_outer.select("realization", "outer_fold", "n_gram", "pvs", "mf").collect()
-
-    def otask(b):
-        r, o = b["realization"], b["outer_fold"]
+
+    rows = [x for rs in RF.run_parallel([task(r, o, v, f) for r, o in parents for v in range(cfg.inner_folds)
+                                         for f in features], cfg.concurrent_fits) for x in rs]
+    types = {"n_gram": "int", "pvs": "double", "size": "int", "mf": "double"}
+    val_scores = spark.createDataFrame(rows, "realization int, outer_fold int, inner_fold int, seq int, "
+                                       + ", ".join(f"{p} {types[p]}" for p in params) + ", f1 double")
+    values = spark.createDataFrame([tuple(c) for c in grid], ", ".join(f"{p} {types[p]}" for p in params))
+    best_inner = TU.best_per_inner_fold(val_scores, ["realization", "outer_fold", "inner_fold"], list(params))
+    best_outer = cut_lineage(TU.best_per_outer_fold(best_inner, ["realization", "outer_fold"], "inner_fold", list(params)))
+    L.require_on_grid(best_outer, values, list(params))
+    chosen = [(r["realization"], r["outer_fold"], *(r[p] for p in params)) for r in best_outer.collect()]
+    vectors_of = outer_vectors(outer, [c[:-1] for c in chosen])
+    out = scratch_path(spark, "predictions")
+
+    def otask(r, o, *combo):
         def run():
-            where = F.col("realization") == r
-            tr = _members(fb, where, "test_fold", "pure", o, held=False)
-            te = _members(fb, where, "test_fold", "pure", o, held=True)
-            [(_, p)] = _fit_split(docs, ovocab, py_key(r, o, b["n_gram"], b["pvs"]), b["n_gram"], tr, te,
-                                  [b["mf"]], cfg, seed=r)
-            return p.select(F.lit(r).alias("realization"), F.lit(o).alias("outer_fold"),
-                            "report_id", F.col("y").alias("y_true"), "y_pred", "score")
+            members = _held(outer, F.col("realization") == r, "test_fold", "pure", o)
+            ((_, p),), cached = _fit(vectors_of((r, o, *combo[:-1]), members), ys, members, [combo[-1]], cfg, seed=r)
+            K.write_run_results(p.select(
+                F.lit(embedding).alias("embedding"), F.lit(cfg.run_date).alias("run_date"), F.lit(r).alias("realization"),
+                F.lit(o).alias("outer_fold"), "report_id", F.col("y").alias("y_true"), "y_pred", "score"),
+                f"{out}/outer_fold={o}")
+            cached.unpersist()
         return run
-    preds = RF.run_parallel([otask(b) for b in chosen], cfg.concurrent_fits)
-    pooled = preds[0]
-    for p in preds[1:]:
-        pooled = pooled.unionByName(p)
-    pooled = cut_lineage(pooled.select(F.lit(embedding).alias("embedding"), "*"))
-    return _finish(pooled, val_scores, best_outer, params)
+
+    RF.run_parallel([otask(*c) for c in chosen], cfg.concurrent_fits)
+    pooled = R.read_curves(spark, out, embedding, cfg.run_date).select(
+        "embedding", "realization", "outer_fold", "report_id", "y_true", "y_pred", "score")
+    return _finish(pooled, val_scores, best_outer, params, cfg)
+
+
+def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(),
+              embedding: str = "tf_idf", vectors_dir: str | None = None) -> RunResult:
+    """Repeated nested cross-validation, TF-IDF + random forest. With
+    ``vectors_dir`` the test rows' vectors of the first realization are written (S3)."""
+    cleaned, folds, vsize = prepare(reports, cfg)
+    rows = task_rows(cleaned, cfg)
+    ys = cut_lineage(rows.select("report_id", "y"))
+    dterms = cut_lineage(FE.doc_terms(rows, "clean_text", max(cfg.ngrams)))
+    grid = [(n, p, m) for n in cfg.ngrams for p in cfg.pvs for m in cfg.max_features]
+
+    def of_splits(universe, parent_cols, n_folds, splits, name):
+        """One vocabulary per split, written by split; a function from a split to its vectors."""
+        ids = {s: i for i, s in enumerate(splits)}
+        combos = spark.createDataFrame([(*s, i) for s, i in ids.items()], ", ".join(
+            f"{c} int" for c in [*parent_cols, "fold", "n_gram"]) + ", pvs double, split_id int")
+        vocab = _stored(heldout_vocabularies(dterms, universe, parent_cols, n_folds, combos, vsize, cfg), name, ["split_id"])
+        sizes = split_sizes(vocab)
+        return lambda split, members: split_vectors(dterms, vocab, ids[split], sizes.get(ids[split], 0), members)
+
+    def inner_vectors(inner, splits):
+        universe = inner.select("realization", "outer_fold", "report_id", held_fold("inner_fold", "inner_pure"))
+        return of_splits(universe, ["realization", "outer_fold"], cfg.inner_folds, splits, "inner-vocabularies")
+
+    def outer_vectors(outer, splits):
+        universe = outer.select("realization", "report_id", held_fold("test_fold", "pure"))
+        of = of_splits(universe, ["realization"], cfg.outer_folds, splits, "outer-vocabularies")
+        if vectors_dir is not None:
+            for split in (s for s in splits if s[0] == min(x[0] for x in splits)):
+                members = _held(outer, F.col("realization") == split[0], "test_fold", "pure", split[1])
+                test = of(split, members).join(members.where("held").select("report_id"), "report_id").join(ys, "report_id")
+                K.write_vectors_tsv(test.withColumn("outer_fold", F.lit(split[1])), f"{vectors_dir}/fold-{split[1]}",
+                                    label_col="y")
+        return of
+
+    return nested_cv(spark, folds, ys, grid, PARAMS, cfg, embedding, inner_vectors, outer_vectors)
+
+
+def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(), embedding: str = "d2v") -> RunResult:
+    """M12 with document vectors: per split and size one model trained on the split's training
+    rows, applied to its held-out rows."""
+    cleaned, folds, _ = prepare(reports, cfg)
+    rows = task_rows(cleaned, cfg)
+    ys = cut_lineage(rows.select("report_id", "y"))
+    docs = cut_lineage(rows.select("report_id", F.col("tokens").alias("words")))
+    grid = [(s, m) for s in cfg.d2v_sizes for m in cfg.max_features]
+
+    def vectors(table, splits):
+        def of(split, members):
+            model = DV.train(docs.join(members.where(~F.col("held")), "report_id"), size=split[-1],
+                             epochs=cfg.d2v_epochs, seed=split[0], partitions=cfg.d2v_partitions)
+            return DV.infer(model, docs.join(members, "report_id")).select("report_id", "features")
+        return of
+
+    return nested_cv(spark, folds, ys, grid, ("size", "mf"), cfg, embedding, vectors, vectors)
 
 
-def _finish(pooled: DataFrame, val_scores: DataFrame, best_outer: DataFrame, params) -> RunResult:
+def _finish(pooled: DataFrame, val_scores: DataFrame, best_outer: DataFrame, params, cfg: RunConfig) -> RunResult:
     k = ["embedding", "realization"]
-    metrics = (MT.binary_metrics(pooled, k).join(CV.roc_auc(pooled, k), k).join(CV.pr_auc(pooled, k), k))
+    if cfg.binary:
+        metrics = MT.binary_metrics(pooled, k).join(CV.roc_auc(pooled, k), k).join(CV.pr_auc(pooled, k), k)
+        names = MT.METRICS
+    else:
+        metrics, names = MT.weighted_metrics(pooled, k), MT.METRICS[:6]
     p_outer = TU.most_frequent_params(best_outer, ["realization"], "outer_fold", params)
     wide = p_outer.groupBy("realization").pivot("param", list(params)).agg(F.first("value"))
     p_real = TU.most_frequent_params(wide, [], "realization", params)
-    return RunResult(pooled, val_scores, best_outer, p_outer, p_real, metrics, MT.summarize(metrics))
+    return RunResult(pooled, val_scores, best_outer, p_outer, p_real, metrics, MT.summarize(metrics, metrics=names))
+
+
+# ------------------------------------------------------------ runs from files
+def reports_from_files(spark: SparkSession, report_paths, session_paths) -> DataFrame:
+    """S1 -> P1, P2 -> P3, P4, and the patient of each report looked up by its text (S2, F4):
+    (report_id, content, label, ipp). A report without a session keeps a NULL patient; of
+    several patients with one text the smallest id is taken."""
+    reports = L.extract_labels(L.require_no_nulls(R.read_reports(spark, report_paths)))
+    reports = SP.text_keys(reports.select("report_id", "content", "label"), "content")
+    sessions = SP.text_keys(R.read_sessions(spark, session_paths), "report")
+    owner = SP.patients_of(reports, sessions, ["key"]).groupBy("key").agg(F.min("ipp").alias("ipp"))
+    return reports.join(owner, "key", "left").select("report_id", "content", "label", "ipp")
+
+
+def run_from_files(spark: SparkSession, report_paths, session_paths, out_dir: str, cfg: RunConfig = RunConfig(),
+                   embedding: str = "tf_idf") -> RunResult:
+    """M12 from files to files: reads the reports and sessions, runs, writes the pooled predictions
+    and the first realization's test vectors (S3) below ``out_dir``."""
+    r = tfidf_run(spark, reports_from_files(spark, report_paths, session_paths), cfg, embedding,
+                  vectors_dir=f"{out_dir}/vectors")
+    K.write_run_results(r.predictions.withColumn("run_date", F.lit(cfg.run_date)), f"{out_dir}/predictions")
+    return r
+
+
+def curve_run(spark: SparkSession, root: str, runs: dict[str, str]) -> dict[str, DataFrame]:
+    """The curve run: stored predictions of each embedding and its run date (S5), their averaged
+    ROC and PR bands (G9, G10), no-skill level (G12) and the comparison (G13)."""
+    allowed = ("tf_idf", "d2v")
+    if unknown := set(runs) - set(allowed):
+        raise ValueError(f"embedding must be one of {allowed}, not {sorted(unknown)}")
+    stored = None
+    for embedding, date in runs.items():
+        one = R.read_curves(spark, root, embedding, date)
+        stored = one if stored is None else stored.unionByName(one)
+    k = ["embedding", "realization"]
+    roc = CV.roc_band(CV.roc_points(stored, k))
+    return {"roc_band": roc, "pr_band": CV.pr_band(CV.pr_points(stored, k)), "no_skill": CV.no_skill(stored),
+            "compare": CV.compare_embeddings(roc, values=list(runs))}
 
 
 # ------------------------------------------------------------ explanation run
 def lime_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(), n_gram: int = 3,
              pvs: float | None = 0.9, mf: float = 0.8, seed: int = 123, num_samples: int = 5000,
-             num_features: int = 6) -> dict:
+             num_features: int = 6, out_dir: str | None = None) -> dict:
     """Fixed hyper-parameters, k-fold, every test report explained; words
-    most often behind each outcome; pooled metrics. Note the run keeps the
-    cleaning default of removing stop words."""
+    most often behind each outcome; pooled metrics. With ``out_dir`` the
+    explanations are written by outcome (S6). Note the run keeps the cleaning
+    default of removing stop words."""
     cfg = replace(cfg, realizations=1)
     cleaned, folds, vsize = prepare(reports, cfg, first_seed=seed)
-    docs = cut_lineage(FE.with_terms(SP.binary_task(cleaned).select("report_id", "y", "clean_text", "tokens"),
-                                     "clean_text", n_gram))
-    dterms = cut_lineage(FE.doc_terms(SP.binary_task(cleaned), "clean_text", n_gram))
+    rows = SP.binary_task(cleaned)
+    docs = cut_lineage(rows.select("report_id", "y", "tokens"))
+    dterms = cut_lineage(FE.doc_terms(rows, "clean_text", n_gram))
     fb = cut_lineage(SP.binary_task(folds).select("realization", "report_id", "test_fold", "pure"))
-    universe = fb.select("realization", "report_id", _held_fold("test_fold", "pure"))
-    combos = SP.binary_task(folds).select("realization").distinct().withColumn(
-        "fold", F.explode(F.sequence(F.lit(0), F.lit(cfg.outer_folds - 1)))) \
-        .withColumn("n_gram", F.lit(n_gram)).withColumn("pvs", F.lit(pvs).cast("double"))
-    vocab = cut_lineage(heldout_vocabularies(dterms, universe, ["realization"], cfg.outer_folds, combos, vsize,
-                                             cfg, ["fold"]))
+    universe = fb.select("realization", "report_id", held_fold("test_fold", "pure"))
+    combos = spark.createDataFrame([(seed, f, n_gram, pvs, f) for f in range(cfg.outer_folds)],
+                                   "realization int, fold int, n_gram int, pvs double, split_id int")
+    vocab = _stored(heldout_vocabularies(dterms, universe, ["realization"], cfg.outer_folds, combos, vsize, cfg),
+                    "explain-vocabularies", ["split_id"])
+    sizes = split_sizes(vocab)
 
     def task(fold):
         def run():
-            sid = str(fold)
-            rows = [(r["term"], r["idf"]) for r in vocab.where(F.col("split_id") == sid).select("term", "idf").collect()]
-            vec = FE.vectorizer_model(rows)
-            tr = docs.join(_members(fb, F.lit(True), "test_fold", "pure", fold, held=False), "report_id")
-            te = docs.join(_members(fb, F.lit(True), "test_fold", "pure", fold, held=True), "report_id")
-            model = RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins), vec.transform(tr))
-            pred = RF.predict(model, vec.transform(te)).select("report_id", "y", "y_pred", "score", "tokens")
-            pred = pred.withColumn("outcome", X.outcome(F.col("y"), F.col("y_pred")))
+            size = sizes.get(fold, 0)
+            members = _held(fb, F.lit(True), "test_fold", "pure", fold)
+            data = split_vectors(dterms, vocab, fold, size, members).join(members, "report_id").join(docs, "report_id")
+            model = RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins), data.where(~F.col("held")))
+            pred = RF.predict(model, data.where("held")).select("report_id", "y", "y_pred", "score", "tokens")
+            pred = cut_lineage(pred.withColumn("outcome", X.outcome(F.col("y"), F.col("y_pred"))))
             # X3 -> X4: perturb, re-vectorize, score with the same forest
-            pert = X.removal_mask(X.perturb(pred, "report_id", "tokens", num_samples, seed), "report_id", seed)
-            pert = pert.withColumn("ptext", F.array_join("kept", " "))
-            pert = FE.with_terms(pert, "ptext", n_gram)
-            scored = RF.predict(model, vec.transform(pert)).select(
-                "report_id", F.col("_u").alias("words"), "present", F.col("score").alias("proba"))
-            expl = X.explain_reports(scored, num_features)       # X5
-            expl = expl.join(pred.select("report_id", "outcome"), "report_id")
+            pert = X.removal_mask(X.perturb(pred, "report_id", "tokens", num_samples, seed))
+            pert = pert.withColumn("key", F.concat_ws("/", "report_id", "sample"))
+            pterms = FE.doc_terms(pert.withColumn("ptext", F.array_join("kept", " ")), "ptext", n_gram, "key")
+            v = vocab.where(F.col("split_id") == fold)
+            m = pert.select(F.lit(fold).alias("split_id"), "key")
+            pvec = FE.sparse_vectors(FE.indexed_weights(pterms, m, v, "key"), m, max(size, 1), "key")
+            scored = RF.predict(model, pvec.join(pert.select(
+                "key", "report_id", F.when(F.col("sample") == 0, F.col("_u")).alias("words"), "present"), "key")).select(
+                "report_id", "words", "present", F.col("score").alias("proba"))
+            expl = X.explain_reports(scored, num_features).join(pred.select("report_id", "outcome"), "report_id")  # X5
             return (pred.select(F.lit(fold).alias("outer_fold"), "report_id", F.col("y").alias("y_true"),
                                 "y_pred", "score", "outcome"),
-                    expl.withColumn("outer_fold", F.lit(fold)))
+                    cut_lineage(expl.withColumn("outer_fold", F.lit(fold))))
         return run
+
     out = RF.run_parallel([task(f) for f in range(cfg.outer_folds)], cfg.concurrent_fits)
     preds, expls = out[0]
     for p, e in out[1:]:
         preds, expls = preds.unionByName(p), expls.unionByName(e)
     preds = cut_lineage(preds.withColumn("embedding", F.lit("tf_idf")).withColumn("realization", F.lit(0)))
-    expls = cut_lineage(expls)
-    numbered = X.running_number(preds, ["outcome"], ["outer_fold", "report_id"],
-                                F.col("outer_fold") * F.lit(1 << 20) + F.floor(F.col("report_id") / F.lit(1 << 12)))
-    return {"predictions": numbered, "explanations": expls,
+    if out_dir is not None:
+        K.write_explanations(expls.withColumn("embedding", F.lit("tf_idf")), out_dir)
+    return {"predictions": X.numbered_by_fold(preds, ["outcome"]), "explanations": expls,
             "common_words": X.common_words(expls),
             "metrics": MT.binary_metrics(preds, ["embedding", "realization"])}
-
-
-# ------------------------------------------------------- paragraph-vector run
-def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(), epochs: int | None = None,
-            infer_epochs: int | None = None, unit: str = "token", embedding: str = "d2v") -> RunResult:
-    """M12 with paragraph vectors: per (split, type, size) one model trained on
-    the split's training rows (tag = class label), vectors inferred for its
-    training and held-out rows, one forest per max_features value.
-
-    ``unit='char'`` trains on the characters of the cleaned text, which is
-    what handing a string where a word list is expected amounts to."""
-    from pyspark.ml.functions import array_to_vector
-
-    from ..operators import doc2vec as DV
-    cleaned, folds, _ = prepare(reports, cfg)
-    inner = cut_lineage(SP.inner_folds(folds, cfg.outer_folds, cfg.inner_folds))
-    words = F.col("tokens") if unit == "token" else F.split(F.col("clean_text"), "")
-    docs = cut_lineage(SP.binary_task(cleaned).select("report_id", "y", words.alias("words")))
-    grid = [(s, t, v, m) for s, (t, v, m) in enumerate(
-        (t, v, m) for t in cfg.d2v_types for v in cfg.d2v_sizes for m in cfg.max_features)]
-    ep = cfg.d2v_epochs if epochs is None else epochs
-    iep = cfg.d2v_infer_epochs if infer_epochs is None else infer_epochs
-
-    def fit_split(train_ids, apply_ids, d2v_type, size, mfs, seed):
-        tr = docs.join(train_ids, "report_id")
-        ap = docs.join(apply_ids, "report_id")
-        model = DV.train(spark, tr.withColumnRenamed("y", "tag"),
-                         DV.D2VParams(dm=d2v_type, size=size, epochs=ep, infer_epochs=iep, seed=seed))
-        feats = lambda d: DV.infer(spark, model, d).join(d.select("report_id", "y"), "report_id") \
-            .withColumn("features", array_to_vector("vector"))
-        # held-out vectors are read by every forest: infer them once
-        ftr, fap = feats(tr), cut_lineage(feats(ap))
-        models = RF.fit_many([RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins) for mf in mfs], ftr)
-        return [(mf, RF.predict(m, fap).select("report_id", "y", "y_pred", "score")) for mf, m in zip(mfs, models)]
-
-    ib = cut_lineage(SP.binary_task(inner).select("realization", "outer_fold", "report_id", "inner_fold",
-                                                  "inner_pure"))
-    parents = sorted((r["realization"], r["outer_fold"]) for r in
-                     ib.select("realization", "outer_fold").distinct().collect())
-    folds_list = [{"realization": r, "outer_fold": o, "val_fold": v} for r, o in parents
-                  for v in range(cfg.inner_folds)]
-    vgrid = sorted({(t, v) for _, t, v, _ in grid})
-
-    def task(f, t, v):
-        def run():
-            where = (F.col("realization") == f["realization"]) & (F.col("outer_fold") == f["outer_fold"])
-            fits = fit_split(_members(ib, where, "inner_fold", "inner_pure", f["val_fold"], held=False),
-                             _members(ib, where, "inner_fold", "inner_pure", f["val_fold"], held=True), t, v,
-                             cfg.max_features, f["realization"])
-            f1 = _f1_by_mf(fits)
-            res = []
-            for mf, _ in fits:
-                seq = next(g for g, tt, vv, mm in grid if tt == t and vv == v and mm == mf)
-                res.append((f["realization"], f["outer_fold"], f["val_fold"], seq, t, v, float(mf),
-                            f1.get(float(mf), 0.0)))
-            return res
-        return run
-    rows = [r for rs in RF.run_parallel([task(f, t, v) for f in folds_list for t, v in vgrid],
-                                        cfg.concurrent_fits) for r in rs]
-    val_scores = spark.createDataFrame(
-        rows, "realization int, outer_fold int, inner_fold int, seq int, d2v_type int, size int, mf double, f1 double")
-    params = ["d2v_type", "size", "mf"]
-    best_inner = TU.best_per_inner_fold(val_scores, ["realization", "outer_fold", "inner_fold"], params)
-    best_outer = cut_lineage(TU.best_per_outer_fold(best_inner, ["realization", "outer_fold"], "inner_fold", params))
-    fb = cut_lineage(SP.binary_task(folds).select("realization", "report_id", "test_fold", "pure"))
-
-    def otask(b):
-        def run():
-            where = F.col("realization") == b["realization"]
-            [(_, p)] = fit_split(_members(fb, where, "test_fold", "pure", b["outer_fold"], held=False),
-                                 _members(fb, where, "test_fold", "pure", b["outer_fold"], held=True),
-                                 b["d2v_type"], b["size"], [b["mf"]], b["realization"])
-            return p.select(F.lit(b["realization"]).alias("realization"), F.lit(b["outer_fold"]).alias("outer_fold"),
-                            "report_id", F.col("y").alias("y_true"), "y_pred", "score")
-        return run
-    preds = RF.run_parallel([otask(b) for b in best_outer.collect()], cfg.concurrent_fits)
-    pooled = preds[0]
-    for p in preds[1:]:
-        pooled = pooled.unionByName(p)
-    pooled = cut_lineage(pooled.select(F.lit(embedding).alias("embedding"), "*"))
-    return _finish(pooled, val_scores, best_outer, params)

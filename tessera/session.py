@@ -68,16 +68,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when it has fewer partitions than the
-    cluster has cores (e.g. a text table stored as one row group), so the
-    per-report text work runs in parallel. Large inputs already scan in many
-    partitions and are left alone: no extra shuffle at scale."""
-    sc = df.sparkSession.sparkContext
-    n = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n, key) if key else df.repartition(n)
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a bare file scan by ``key`` when its files give fewer
+    tasks than the session has cores (a table stored as one row group).
+
+    ``scan`` must be a scan, optionally filtered or projected: its task count
+    is known from the file listing, so nothing runs here. Larger inputs already
+    scan in many tasks and do not move. The rows are the same either way."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n, key)
 
 
 def ship_by_value(module_name: str) -> None:

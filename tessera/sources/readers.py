@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import cut_lineage, spread
 
 CLASSIFICATION_ENTRY = T.StructType([
     T.StructField("label", T.StringType()),
@@ -50,25 +50,17 @@ def read_reports(spark: SparkSession, paths: Sequence[str] | str,
                  schema: T.StructType = REPORT_SCHEMA) -> DataFrame:
     """Scan several JSON-lines files/folders and stack them.
 
-    Malformed lines fail the job (FAILFAST). Without a ``report_id`` field a
-    surrogate id is added; persist the result once (``ingest_reports``) so the
-    id stays fixed for every later job."""
+    Every file of a folder is read; malformed lines fail the job (FAILFAST).
+    Without a ``report_id`` field a surrogate id is drawn and the rows are
+    written once, so the id is the same in every later job."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     _check_paths(spark, paths, ".json")
-    df = (spark.read.schema(schema).option("mode", "FAILFAST")
-          .option("pathGlobFilter", "*.json").json(paths))
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
     if "report_id" not in df.columns:
-        df = df.withColumn("report_id", F.monotonically_increasing_id())
+        return cut_lineage(df.withColumn("report_id", F.monotonically_increasing_id()))
     return spread(df, "report_id")
 
 
-def ingest_reports(spark: SparkSession, paths, out_path: str,
-                   schema: T.StructType = REPORT_SCHEMA) -> DataFrame:
-    """S1 + a written table: ids are drawn once and every later job reads them."""
-    read_reports(spark, paths, schema).write.mode("overwrite").parquet(out_path)
-    return spark.read.parquet(out_path)
-
-
 def read_sessions(spark: SparkSession, paths, schema: T.StructType = SESSION_SCHEMA) -> DataFrame:
     """The session table, header row, quoted free text with newlines."""
     paths = [paths] if isinstance(paths, str) else list(paths)

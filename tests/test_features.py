@@ -1,4 +1,8 @@
 """Per-split vocabularies by complement equal the direct per-split join."""
+import math
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import RunConfig
@@ -6,51 +10,84 @@ from tessera.operators import features as FE
 from tessera.operators import splits as SP
 from tessera.plans import fixtures as FX
 from tessera.plans import runs as RN
+from tessera.session import cut_lineage
 
-from .conftest import SF_CHECK
+from .conftest import SF_SMALL
 
 
-def test_heldout_vocabularies_equal_direct(spark):
-    cfg = RunConfig(realizations=1, outer_folds=3, inner_folds=2)
-    rep = FX.reports(spark, SF_CHECK)
+def _direct(dterms, members, cap):
+    """Every split's vocabulary by a plain join; ``members``: (split_id, report_id, n_gram)."""
+    n = {r["split_id"]: r["c"] for r in members.groupBy("split_id").agg(F.count("*").alias("c")).collect()}
+    stats = (dterms.join(members, "report_id").where("n <= n_gram").groupBy("split_id", "term")
+             .agg(F.count("*").alias("df"), F.sum("tf").alias("ctf")).collect())
+    out = {}
+    for s in n:
+        rows = sorted((-r["ctf"], r["term"], r["df"]) for r in stats
+                      if r["split_id"] == s and 2 <= r["df"] <= 0.9 * n[s])
+        kept = sorted(t for _, t, _ in (rows if cap(s) is None else rows[:cap(s)]))
+        df = {t: d for _, t, d in rows}
+        out[s] = [(i, t, round(math.log((1 + n[s]) / (1 + df[t])) + 1, 9)) for i, t in enumerate(kept)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    rep = FX.reports(spark, SF_SMALL)
     folds = SP.outer_folds(rep, 1, 3)
     inner = SP.inner_folds(folds, 3, 2)
     docs = SP.binary_task(rep).select("report_id", F.col("content").alias("clean_text"))
-    dterms = FE.doc_terms(docs, "clean_text", 2)
-    roles = SP.binary_task(SP.inner_roles(inner, 2))
-    roles = roles.withColumn("v", F.explode(F.array(
-        F.struct(F.lit(2).alias("n_gram"), F.lit(0.05).alias("pvs")),
-        F.struct(F.lit(1).alias("n_gram"), F.lit(None).cast("double").alias("pvs"))))).select("*", "v.*")
-    roles = roles.withColumn("split_id", RN._key("realization", "outer_fold", "val_fold", "n_gram", "pvs"))
-    direct = RN.split_vocabularies(dterms,
-                                   roles.where(F.col("role") == "train").select("split_id", "report_id", "n_gram", "pvs"),
-                                   5000, cfg)
+    return folds, inner, cut_lineage(FE.doc_terms(docs, "clean_text", 2))
+
+
+def _grouped(v):
+    out = {}
+    for r in v.collect():
+        out.setdefault(r["split_id"], []).append((r["idx"], r["term"], round(r["idf"], 9)))
+    return {s: sorted(x) for s, x in out.items()}
+
+
+def test_heldout_vocabularies_equal_direct(spark, parts):
+    _, inner, dterms = parts
+    cfg = RunConfig(realizations=1, outer_folds=3, inner_folds=2)
+    splits = [(0, o, v, n, p) for o in range(3) for v in range(2) for n, p in ((2, 0.05), (1, None))]
+    combos = spark.createDataFrame([(*s, i) for i, s in enumerate(splits)],
+                                   "realization int, outer_fold int, fold int, n_gram int, pvs double, split_id int")
     universe = SP.binary_task(inner).select("realization", "outer_fold", "report_id",
-                                            RN._held_fold("inner_fold", "inner_pure"))
-    combos = roles.select("realization", "outer_fold", F.col("val_fold").alias("fold"), "n_gram", "pvs").distinct()
-    held = RN.heldout_vocabularies(dterms, universe, ["realization", "outer_fold"], 2, combos, 5000, cfg,
-                                   ["realization", "outer_fold", "fold", "n_gram", "pvs"])
-    a = direct.select("split_id", "term", F.round("idf", 9).alias("idf"))
-    b = held.select("split_id", "term", F.round("idf", 9).alias("idf"))
-    assert a.count() > 0
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
-def test_train_vocab_scope_caps_by_split_unigrams(spark):
-    from dataclasses import replace
+                                            RN.held_fold("inner_fold", "inner_pure"))
+    held = RN.heldout_vocabularies(dterms, universe, ["realization", "outer_fold"], 2, combos, 5000, cfg)
+    roles = SP.binary_task(SP.inner_roles(inner, 2)).where("role = 'train'").withColumnRenamed("val_fold", "fold")
+    members = roles.join(combos, ["realization", "outer_fold", "fold"]).select("split_id", "report_id", "n_gram")
+    want = _direct(dterms, members, lambda s: 250 if splits[s][-1] else None)
+    assert _grouped(held) == want and any(want.values())
+
+
+def test_train_vocab_scope_caps_by_split_unigrams(spark, parts):
+    folds, _, dterms = parts
     cfg = replace(RunConfig(realizations=1, outer_folds=3), vocab_scope="train")
-    rep = FX.reports(spark, SF_CHECK)
-    folds = SP.outer_folds(rep, 1, 3)
-    docs = SP.binary_task(rep).select("report_id", F.col("content").alias("clean_text"))
-    dterms = FE.doc_terms(docs, "clean_text", 1)
-    universe = SP.binary_task(folds).select("realization", "report_id", RN._held_fold("test_fold", "pure"))
-    combos = spark.createDataFrame([(0, f, 1, 0.5) for f in range(3)], "realization int, fold int, n_gram int, pvs double")
-    v = RN.heldout_vocabularies(dterms, universe, ["realization"], 3, combos, 10 ** 9, cfg, ["realization", "fold"])
-    stats, n_docs = FE.heldout_term_stats(dterms, universe, ["realization"], 3)
-    uni = {r["fold"]: r["c"] for r in stats.groupBy("fold").agg(F.count(F.lit(1)).alias("c")).collect()}
-    pr = FE.prune_df(stats.withColumnRenamed("fold", "split_id"),
-                     n_docs.withColumnRenamed("fold", "split_id").drop("realization"))
-    pruned = {r["split_id"]: r["c"] for r in pr.groupBy("split_id").agg(F.count(F.lit(1)).alias("c")).collect()}
-    got = {int(r["split_id"].split("/")[1]): r["c"] for r in v.groupBy("split_id").agg(F.count(F.lit(1)).alias("c")).collect()}
+    universe = SP.binary_task(folds).select("realization", "report_id", RN.held_fold("test_fold", "pure"))
+    combos = spark.createDataFrame([(0, f, 1, 0.05, f) for f in range(3)],
+                                   "realization int, fold int, n_gram int, pvs double, split_id int")
+    v = _grouped(RN.heldout_vocabularies(dterms, universe, ["realization"], 3, combos, 10 ** 9, cfg))
     for f in range(3):
-        assert got[f] == min(int(uni[f] * 0.5 + 0.5), pruned[f])
+        train = universe.where(F.col("fold") != f).select("report_id")
+        words = dterms.where("n = 1").join(train, "report_id").select("term").distinct().count()
+        assert len(v[f]) == int(words * 0.05 + 0.5)
+
+
+def test_cap_ranks_ties_without_one_task_per_tie(spark):
+    rows = [(0, f"w{i:05d}", 2, 2) for i in range(3000)] + [(0, "top", 2, 9), (1, "only", 3, 3)]
+    pruned = spark.createDataFrame(rows, "split_id int, term string, df long, ctf long")
+    got = sorted((r["split_id"], r["term"]) for r in FE.cap_vocabulary(pruned, 1001).collect())
+    assert got == sorted([(0, "top"), (1, "only")] + [(0, f"w{i:05d}") for i in range(1000)])
+    n = FE.numbered_vocabulary(pruned).collect()
+    assert sorted((r["split_id"], r["idx"], r["term"]) for r in n) == sorted(
+        [(0, i, t) for i, t in enumerate(sorted(r[1] for r in rows if r[0] == 0))] + [(1, 0, "only")])
+
+
+def test_vectors_of_members_without_terms(spark):
+    terms = spark.createDataFrame([(1, "a", 1, 2), (1, "b", 1, 1), (2, "z", 1, 1)], "report_id long, term string, n int, tf long")
+    vocab = spark.createDataFrame([(0, "a", 1.0, 0), (0, "b", 2.0, 1)], "split_id int, term string, idf double, idx int")
+    members = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "split_id int, report_id long")
+    got = {r.report_id: r.features.toArray().tolist()
+           for r in FE.sparse_vectors(FE.indexed_weights(terms, members, vocab), members, 2).collect()}
+    assert got[2] == got[3] == [0.0, 0.0] and got[1] == pytest.approx([0.5 ** 0.5] * 2)

@@ -22,9 +22,48 @@ def test_wrong_extension_refused(spark):
         R.read_reports(spark, [p])
 
 
+def test_every_file_of_a_folder_is_read(spark, tmp_path):
+    import gzip
+    line = '{"report_id": %d, "content": "x"}\n'
+    (tmp_path / "a.json").write_text(line % 1)
+    (tmp_path / "b").write_text(line % 2)
+    (tmp_path / "c.json.gz").write_bytes(gzip.compress((line % 3).encode()))
+    got = R.read_reports(spark, [str(tmp_path)])
+    assert sorted(r.report_id for r in got.collect()) == [1, 2, 3]
+
+
+def test_surrogate_ids_stay(spark, tmp_path):
+    from pyspark.sql import types as T
+    for i in range(5):
+        (tmp_path / f"{i}.json").write_text('{"content": "t%d"}\n' % i)
+    schema = T.StructType([f for f in R.REPORT_SCHEMA.fields if f.name != "report_id"])
+    df = R.read_reports(spark, str(tmp_path), schema)
+    a = {r.content: r.report_id for r in df.collect()}
+    b = {r.content: r.report_id for r in df.repartition(3).collect()}
+    assert a == b and len(set(a.values())) == 5
+
+
 def test_spread_only_when_too_few_partitions(spark):
     n = spark.sparkContext.defaultParallelism
     one = spark.range(100).coalesce(1)
     assert spread(one, "id").rdd.getNumPartitions() == n
-    many = spark.range(100).repartition(n + 3)
+    many = spark.range(0, 100, 1, n + 3)
     assert spread(many, "id").rdd.getNumPartitions() == n + 3
+
+
+@pytest.mark.parametrize("name", ["t10_clean_reports", "c4_top_tokens", "g9_roc_band", "x3_perturbations"])
+def test_building_a_query_runs_no_job_but_file_schemas(spark, name):
+    import __spark_entry__ as E
+
+    from .conftest import SF_SMALL
+    sc = spark.sparkContext
+    sc.setJobGroup("schemas", "")
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+    per_table = len(sc.statusTracker().getJobIdsForGroup("schemas")) / 2
+    sc.setJobGroup(f"build {name}", "")
+    df = E.queries()[name](spark, SF_SMALL)
+    df._jdf.queryExecution().executedPlan()
+    built = len(sc.statusTracker().getJobIdsForGroup(f"build {name}"))
+    sc.setJobGroup("", "")
+    assert built <= 6 * per_table
