@@ -115,9 +115,8 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def _bucket_links(dealt: DataFrame, radius: int, max_bucket: int | None) -> DataFrame:
     """Links inside the buckets (t, w, key) of ``dealt``: a, b. With ``max_bucket``, rows of
     larger buckets come back unsearched with b null and their t."""
-    n_parts = dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    # one sort key: rows of a bucket are neighbours, buckets of other tables stay apart
-    placed = (dealt.repartition(int(n_parts), "t", "w", "key")
+    # rows of a bucket become neighbours in one partition
+    placed = (dealt.repartition("t", "w", "key")
               .sortWithinPartitions("t", "w", "key", "fp").select("t", "w", "key", "fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,11 +110,12 @@ class Model:
 
 
 def train(sample: list[tuple[str, int]], seed: int = SEED) -> Model:
-    """Joint training on (text, label) rows. Rows of one class only: that class's constant score."""
+    """Joint training on (text, label) rows. Rows of one class only: that
+    class's constant score. No rows: nothing is known to be toxic, so every score is near 0."""
     labels = np.array([y for _, y in sample])
     prior = float(labels.mean()) if len(labels) else 0.0
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(1 << BITS), 0.0, prior) if not prior else Model(np.zeros(1 << BITS), 50.0, prior)
+        return Model(np.zeros(1 << BITS), 50.0 if prior else -50.0, prior)
     number: dict[str, int] = {}
     word, weight = [], []                 # of each document: its words and their shares
     for text, _ in sample:

@@ -44,6 +44,25 @@ def test_each_stage_against_its_operator(spark, stages):
     assert bad and ids(stages["benchmark_decontamination"]) == ids(stages["simhash_near_dedup"]) - bad
 
 
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_edge_rows_and_empty_tables(spark, edge_docs, edge_rows, no_docs, k):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names, no rows."""
+    name, stage = corpus_pipeline.STAGES[k]
+    got = stage(spark, edge_docs, SF_CHECK)
+    if name == "packing":
+        assert got.where("start = 0").count() == len(edge_rows)
+    else:
+        assert got.columns == edge_docs.columns
+        kept = [(r.doc_id, r.text) for r in got.collect()]
+        assert set(kept) <= set(edge_rows)
+        if name == "exact_dedup":
+            assert sorted(t or "" for _, t in kept) == sorted({t or "" for _, t in edge_rows})
+        if name in ("toxicity", "benchmark_decontamination"):
+            assert sorted(kept, key=repr) == sorted(edge_rows, key=repr)
+    none = stage(spark, no_docs, SF_CHECK)
+    assert none.count() == 0
+
+
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, SF_CHECK)
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
