@@ -63,3 +63,27 @@ def test_proper_noun_lexicon_drops_names_keeps_digits_and_keep_list(spark):
     got = drop_proper_nouns(df, "id", "toks", lexicon, ("MPRAGE",)).collect()
     assert sorted(((r.id, r.toks) for r in got), key=repr) == sorted(
         [(1, ["est", "MPRAGE", "Paris2"]), (2, None), (3, []), (4, ["rien"]), (4, ["ici"]), (None, ["ici"])], key=repr)
+
+
+def test_ngrams_up_to_five_carry_their_length(spark):
+    words = ["a", "b", "a", "c", "d", "e"]
+    want = [(" ".join(words[i:i + n]), n) for n in range(1, 6) for i in range(len(words) - n + 1)]
+    arr = F.array(*[F.lit(w) for w in words])
+    row = spark.range(1).select(T.ngrams(arr, 5).alias("o"), T.ngrams_with_n(arr, 5).alias("t")).first()
+    assert row["o"] == [t for t, _ in want] and [tuple(x) for x in row["t"]] == want
+    for n in range(4):
+        short = F.array(*[F.lit(w) for w in words[:n]]).cast("array<string>")
+        got = spark.range(1).select(T.ngrams_with_n(short, 5).alias("t")).first()["t"]
+        assert [tuple(x) for x in got] == [(" ".join(words[i:i + m]), m) for m in range(1, n + 1) for i in range(n - m + 1)]
+
+
+def test_vocabulary_estimate_and_binary_classes(spark):
+    from tessera.operators import stats as S
+    rows = [(i, [f"w{j}" for j in range(i, i + 40)], ["x"], i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, orig_tokens array<string>, tokens array<string>, label int")
+    exact = {r.series: r.vocabulary_size for r in S.vocabulary_size(df).collect()}
+    near = {r.series: r.vocabulary_size for r in S.vocabulary_size(df, approx=True).collect()}
+    assert exact == {"original": 139, "preprocessed": 1}
+    assert abs(near["original"] - 139) <= 0.1 * 139 and near["preprocessed"] == 1
+    got = {(r.label, r.class_name, r.n) for r in S.class_distribution(df, binary=True).collect()}
+    assert got == {(0, "stable", 50), (1, "unstable", 50)}
