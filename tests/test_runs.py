@@ -1,5 +1,8 @@
 """Whole nested cross-validation run on the smallest data (properties only:
 forest scores are not SQL-checkable)."""
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import RunConfig
@@ -23,3 +26,16 @@ def test_tfidf_run_properties(spark):
     f = SP.binary_task(SP.outer_folds(rep, 1, 3)).where(F.col("pure"))
     assert p.count() == f.count()
     assert r.summary.count() == 1 and r.best_outer.count() == 3
+
+
+def test_a_split_reads_its_own_folder(spark):
+    rows = [(s, f"w{i}", 1.0, i) for s in range(4) for i in range(5)]
+    vocab = RN._stored(spark.createDataFrame(rows, "split_id int, term string, idf double, idx int"), "vocab", ["split_id"])
+    one = vocab.where(F.col("split_id") == 2)
+    plan = one._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*split_id", plan) and one.count() == 5
+
+
+def test_unknown_embedding_is_refused(spark):
+    with pytest.raises(ValueError, match="embedding"):
+        RN.curve_run(spark, "/nowhere", {"bag": "Jun_19_2021"})
