@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ BITS, DIM, GRAMS, WINDOW = 17, 8, (3, 4, 5), 32
 #: Most labelled rows of each class that training reads.
 MAX_PER_CLASS = 2_500
 #: Longer texts are not taken into the training sample, which bounds its bytes.
-MAX_TRAINING_CHARS = 1 << 20
+MAX_TRAINING_CHARS = 1 << 16
 MIN_DOCS, SCALE, EPOCHS, BATCH, RATE, SPARSE, SEED = 3, 100.0, 12, 128, 0.02, 2.5, 7
 #: Words a task keeps scored, and words scored at a time.
 HELD, BLOCK = 200_000, 1 << 16
@@ -112,6 +113,7 @@ class Model:
 def train(sample: list[tuple[str, int]], seed: int = SEED) -> Model:
     """Joint training on (text, label) rows. Rows of one class only: that
     class's constant score. No rows: nothing is known to be toxic, so every score is near 0."""
+    sample = [(text, y) for text, y in sample if _WORD.search(text)]
     labels = np.array([y for _, y in sample])
     prior = float(labels.mean()) if len(labels) else 0.0
     if len(set(labels.tolist())) < 2:
@@ -196,18 +198,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
              .select("doc_id", "y", F.xxhash64("doc_id").alias("h")))
     # the smallest hashes of each class that has a document: bounded, drawn from all rows
-    texts = id_text(docs, id_col, text_col).where(
-        F.length("text").between(1, MAX_TRAINING_CHARS))
+    texts = id_text(docs, id_col, text_col).where(F.length("text").between(1, MAX_TRAINING_CHARS))
     have = marks.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = [have.where(F.col("y") == y).orderBy("h").limit(max_per_class) for y in (0, 1)]
     chosen = sample[0].union(sample[1]).select("doc_id", "y", "h")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", "h").collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
-    once = {r["doc_id"]: (r["text"], r["y"]) for r in rows}   # one text per id
-    return train(list(once.values()))
+    # an id that stands for several rows teaches one of its texts
+    rows = (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "h").agg(F.min("text").alias("text"))
+            .orderBy("h", "doc_id").collect())
+    return train([(r["text"], r["y"]) for r in rows])
 
 
-def _scored(model) -> "callable":
+def _scored(model: Broadcast) -> Callable[[list[str], dict[str, float]], list[float]]:
     def run(texts: list[str], known: dict[str, float]) -> list[float]:
         return [model.value.score(t or "", known) for t in texts]
     return run

@@ -42,6 +42,14 @@ def test_degenerate_training():
     assert train([("a b", 1)]).score("a b", {}) > 0.99
 
 
+def test_samples_without_words_and_repeated_ids(spark):
+    assert train([(" ", 0), ("!!", 1)]).score("a", {}) < 0.01
+    docs = spark.createDataFrame([(1, "b a"), (1, "a b"), (2, None), (2, "x y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (1, 0)], "doc_id long, toxic int")
+    model = fit(docs, labels)
+    assert 0 <= model.score("a b x y", {}) <= 1
+
+
 def test_scores_over_edges(edge_docs, edge_rows, no_docs, model):
     got = toxicity_scores(edge_docs, model).collect()
     assert len(got) == len(edge_rows)
