@@ -284,7 +284,6 @@ def m9_mode_over_realizations(spark, sf_dir):
 def m11_pooled_predictions(spark, sf_dir):
     """Predictions written fold by fold (S4) and pooled per realization when read back."""
     from ..session import scratch_path
-    from ..sources import readers as R
     from ..sources import sinks as SK
     root = scratch_path(spark, "pooled")
     s = scored(spark, sf_dir).withColumn("outer_fold", (F.col("report_id") % 5).cast("int"))
