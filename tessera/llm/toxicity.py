@@ -35,7 +35,7 @@ BITS, DIM, GRAMS, WINDOW = 17, 8, (3, 4, 5), 32
 MAX_PER_CLASS = 2_500
 #: Longer texts are not taken into the training sample, which bounds its bytes.
 MAX_TRAINING_CHARS = 1 << 16
-MIN_DOCS, SCALE, EPOCHS, BATCH, RATE, SPARSE, SEED = 3, 100.0, 12, 128, 0.02, 2.5, 7
+MIN_DOCS, SCALE, EPOCHS, BATCH, RATE, SPARSE, SEED = 3, 100.0, 12, 128, 0.02, 1.0, 7
 #: Words a task keeps scored, and words scored at a time.
 HELD, BLOCK = 200_000, 1 << 16
 _WORD = re.compile(r"\w+")
