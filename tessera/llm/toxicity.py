@@ -84,7 +84,8 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """``table``: each embedding row's share of the log odds; a word's is their mean."""
+    """``table``: each embedding row's share of the log odds; a word's is their mean.
+    ``prior``: the toxic share of all labelled training rows, the score without words."""
 
     table: np.ndarray
     bias: float
@@ -110,14 +111,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(SCALE * total / n + self.bias, -50, 50)))) if n else self.prior
 
 
-def train(sample: list[tuple[str, int]], seed: int = SEED) -> Model:
+def train(sample: list[tuple[str, int]], seed: int = SEED, share: float | None = None) -> Model:
     """Joint training on (text, label) rows. Rows of one class only: that
-    class's constant score. No rows: nothing is known to be toxic, so every score is near 0."""
+    class's constant score. No rows: nothing is known to be toxic, so every score is near 0.
+
+    ``share``: the toxic share of the rows the sample was drawn from (default: the sample's own),
+    which a sample capped per class does not show."""
     sample = [(text, y) for text, y in sample if _WORD.search(text)]
     labels = np.array([y for _, y in sample])
-    prior = float(labels.mean()) if len(labels) else 0.0
+    toxic = float(labels.mean()) if len(labels) else 0.0
+    prior = share if share is not None and len(labels) else toxic
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(1 << BITS), 50.0 if prior else -50.0, prior)
+        return Model(np.zeros(1 << BITS), 50.0 if toxic else -50.0, prior)
     number: dict[str, int] = {}
     word, weight = [], []                 # of each document: its words and their shares
     for text, _ in sample:
@@ -197,6 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(training_fold())
              .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2")
              .select("doc_id", "y", F.xxhash64("doc_id").alias("h")))
+    # the share of all labelled training rows: the sample below is capped per class
+    share = marks.agg(F.avg("y")).first()[0]
     # the smallest hashes of each class that has a document: bounded, drawn from all rows
     texts = id_text(docs, id_col, text_col).where(F.length("text").between(1, MAX_TRAINING_CHARS))
     have = marks.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -205,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # an id that stands for several rows teaches one of its texts
     rows = (texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "h").agg(F.min("text").alias("text"))
             .orderBy("h", "doc_id").collect())
-    return train([(r["text"], r["y"]) for r in rows])
+    return train([(r["text"], r["y"]) for r in rows], share=share)
 
 
 def _scored(model: Broadcast) -> Callable[[list[str], dict[str, float]], list[float]]:
@@ -217,7 +224,7 @@ def _scored(model: Broadcast) -> Callable[[list[str], dict[str, float]], list[fl
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted (1 if score >= 0.5).
 
-    Null, empty or wordless text: the share of toxic training rows as score.
+    Null, empty or wordless text: the toxic share of all labelled training rows as score.
     Null id: held_out null. Repeated rows stay. Empty table: no rows."""
     score = _scored(docs.sparkSession.sparkContext.broadcast(model))
 

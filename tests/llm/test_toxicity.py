@@ -72,3 +72,17 @@ def test_fit_uses_the_training_fold_only(spark):
     b = fit(docs, turned.union(extra))
     assert (a.table == b.table).all() and a.bias == b.bias
     assert fit(docs, labels.where("false")).prior == 0.0
+
+
+def test_wordless_texts_score_the_share_of_all_rows_when_the_sample_is_capped(spark):
+    rows = [(i, t, y) for i, (t, y) in enumerate(_sample(80, 3))]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, ""), (1001, None), (1002, "!!")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    learnt = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    assert min(sum(learnt), len(learnt) - sum(learnt)) > 5
+    model = fit(docs, labels, max_per_class=5)
+    assert model.prior == pytest.approx(sum(learnt) / len(learnt)) and model.prior < 0.4
+    got = {r.doc_id: r for r in toxicity_scores(docs, model).collect()}
+    assert all(got[i].score == model.prior and got[i].predicted == 0 for i in (1000, 1001, 1002))
+    assert {1000, 1001, 1002} <= {r.doc_id for r in drop_toxic(docs, model).collect()}
