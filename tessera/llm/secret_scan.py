@@ -30,7 +30,7 @@ _ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 _HEX = re.compile("[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
-_CANDIDATE = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}")
+_CANDIDATE = re.compile("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 
 
 @dataclass(frozen=True)

@@ -66,3 +66,15 @@ def test_redaction_and_empty_table(spark, edge_docs, edge_rows, no_docs):
     assert "hunter2" not in got[0] and got[0].endswith("token:abc token = x") and got[1] is None
     assert redact(edge_docs).count() == len(edge_rows)
     assert secret_spans(no_docs).count() == 0
+
+
+SECRET = "aG9Zk2Lq8Xw3Vb7Nc5Md1Rt0Yp"
+
+
+def _entropy(text):
+    return [text[a:b] for k, a, b in find_secrets(text) if k == "entropy"]
+
+
+@pytest.mark.parametrize("before", ["AWS_KEY=", "export AWS_SECRET_ACCESS_KEY=", "?key=", "a=1&sig=", "x=="])
+def test_secret_right_after_an_equals_sign(before):
+    assert _entropy(before + SECRET) == [SECRET] and _entropy(before + SECRET + "==") == [SECRET]
