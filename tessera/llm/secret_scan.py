@@ -57,8 +57,10 @@ ALLOWED = (
     re.compile("(?i)^sha(1|256|384|512)-"),                                      # integrity digests
     re.compile("(?i)abcdefghijkl|0123456789ab|zyxwvutsrqp|qwertyuiop"),          # alphabets, keyboards
 )
-#: What stands just before a candidate that is a link or embedded data.
-_BEFORE = re.compile(r"(://|www\.|;base64,)[^\s]*$")
+#: Links and embedded data. A link ends at characters that cannot belong to it and at its query,
+#: whose values are candidates; ``user`` is the part before the host, which may hold a secret.
+_LINK = re.compile(r"""(?:://(?P<user>[^\s/?\#@"'`<>()\[\]{}|;,\\]++@|[^\s/:@"'`<>()\[\]{}|;,\\]*+:(?!\d+/)"""
+                   r"""[^\s@"'`<>()\[\]{}|;,\\]*+@)?|www\.)[^\s?"'`<>()\[\]{}|;,\\]*|;base64,[A-Za-z0-9+/_=-]*""")
 _LOG = [0.0] + [n * log2(n) for n in range(1, 65)]
 
 
@@ -79,14 +81,25 @@ def entropies(text: str, window: int) -> Iterator[float]:
             yield whole - total / window
 
 
+def link_spans(text: str) -> list[tuple[int, int]]:
+    """Where links (without the part before the host) and embedded data stand."""
+    return [(m.start() if m["user"] is None else m.end("user"), m.end()) for m in _LINK.finditer(text)]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Joined windows of high entropy inside the candidates that the allow list lets pass."""
-    found = []
+    found, links, link = [], None, 0
     for candidate in _CANDIDATE.finditer(text):
         word, at = candidate.group(), candidate.start()
         if not (_DIGIT.search(word) and re.search("[A-Za-z]", word)):
             continue
-        if any(p.search(word) for p in ALLOWED) or _BEFORE.search(text[max(0, at - 200):at]):
+        if any(p.search(word) for p in ALLOWED):
+            continue
+        if links is None:
+            links = link_spans(text)
+        while link < len(links) and links[link][1] <= at:
+            link += 1
+        if link < len(links) and links[link][0] <= at:
             continue
         for cls in CLASSES:
             for run in cls.run.finditer(word):
