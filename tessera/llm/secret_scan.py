@@ -48,6 +48,8 @@ _DIGIT, _UPPER, _LOWER = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[
 CLASSES = (
     CharClass("hex", re.compile("[0-9a-f]{24,}|[0-9A-F]{24,}"), 24, 3.2, (_DIGIT, re.compile("[A-Fa-f]"))),
     CharClass("alnum", re.compile("[A-Za-z0-9]{20,}"), 20, 3.7, (_DIGIT, _UPPER, _LOWER)),
+    CharClass("lower", re.compile("[a-z0-9]{20,}"), 20, 3.6, (_DIGIT, _LOWER)),
+    CharClass("upper", re.compile("[A-Z0-9]{20,}"), 20, 3.6, (_DIGIT, _UPPER)),
     CharClass("base64", re.compile("[A-Za-z0-9+/_-]{24,}"), 24, 3.9, (_DIGIT, _UPPER, _LOWER)),
 )
 #: Candidates of these shapes are no secrets.

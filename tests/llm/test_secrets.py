@@ -98,3 +98,12 @@ def test_links_and_embedded_data_are_no_secrets_at_any_length(text):
 
 def test_link_spans_take_linear_time():
     assert len(link_spans("://a:" * 200_000)) == 1 and len(link_spans("http://a,www.b;" * 100_000)) == 200_000
+
+
+def test_keys_of_one_case_and_digits():
+    rng = random.Random(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        keys = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(300)]
+        assert sum(bool(_entropy(f"seed {k} end")) for k in keys) >= 290
+    assert _entropy("k9x2m7qf4wz8t1vb6n3hj5rdpc0ylgas") and _entropy("JBSWY3DPEHPK3PXP7QK5ZT2MVR6GNU4A")
+    assert _entropy("thesectionsofthesechapters12 THESECTIONSOFTHESECHAPTERS12") == []
