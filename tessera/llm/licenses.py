@@ -30,7 +30,16 @@ from .common import id_text, map_partitions, ship_by_value
 # FIXED VALUES: base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Notices of public licences: label, opening words, mandatory key phrases.
+_BSD = ("redistribution and use in source and binary forms with or without modification are permitted provided that "
+        "the following conditions are met 1 redistributions of source code must retain the above copyright notice this "
+        "list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above "
+        "copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution ")
+_BSD_KEYS = ("redistribution and use in source and binary forms", "redistributions of source code must retain")
+_ENDORSE, _ADVERTISE = "to endorse or promote products", "all advertising materials mentioning features or use of this software"
+
+#: Notices of public licences: label, opening words, mandatory key phrases; phrases of which none may
+#: stand there or in the REACH words after it (a further condition makes it another licence).
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
             "associated documentation files the software to deal in the software without restriction",
@@ -39,14 +48,16 @@ NOTICES = (
     ("apache-2", "licensed under the apache license version 2.0 the license you may not use this file except in "
                  "compliance with the license you may obtain a copy of the license at",
      ("licensed under the apache license version 2 0",)),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted "
-                     "provided that the following conditions are met neither the name of the copyright holder nor "
-                     "the names of its contributors may be used to endorse or promote products",
-     ("redistribution and use in source and binary forms", "neither the name of")),
-    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted "
-                     "provided that the following conditions are met redistributions of source code must retain the "
-                     "above copyright notice",
-     ("redistribution and use in source and binary forms", "redistributions of source code must retain")),
+    ("bsd-4-clause", _BSD + _ADVERTISE + " must display the following acknowledgement this product includes software "
+                     "developed by", (*_BSD_KEYS, _ADVERTISE)),
+    ("bsd-3-clause", _BSD + "3 neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "endorse or promote products derived from this software without specific prior written permission",
+     (*_BSD_KEYS, "neither the name of", _ENDORSE), (_ADVERTISE,)),
+    ("bsd-3-clause", _BSD + "3 the name of the author may not be used to endorse or promote products derived from this "
+                     "software without specific prior written permission",
+     (*_BSD_KEYS, "may not be used to endorse or promote products"), (_ADVERTISE,)),
+    ("bsd-2-clause", _BSD + "this software is provided by the copyright holders and contributors as is", _BSD_KEYS,
+     (_ENDORSE, _ADVERTISE)),
     ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
               "general public license as published by the free software foundation either version 2 of the license",
      ("gnu general public license", "version 2 of the license")),
@@ -54,8 +65,11 @@ NOTICES = (
               "general public license as published by the free software foundation either version 3 of the license",
      ("gnu general public license", "version 3 of the license")),
     ("lgpl-2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu "
-                 "lesser general public license as published by the free software foundation",
-     ("gnu lesser general public license",)),
+                 "lesser general public license as published by the free software foundation either version 2 1 of the "
+                 "license", ("gnu lesser general public license", "version 2 1 of the license")),
+    ("lgpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+               "lesser general public license as published by the free software foundation either version 3 of the "
+               "license", ("gnu lesser general public license", "version 3 of the license")),
     ("agpl-3", "you can redistribute it and or modify it under the terms of the gnu affero general public license as "
                "published by the free software foundation", ("gnu affero general public license",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl "
@@ -78,6 +92,8 @@ NOTICES = (
 
 #: Rarest words indexed per notice; words a notice may be shifted by; least share of rare-word weight found.
 RARE, DRIFT, LEAST = 8, 12, 0.6
+#: Words after a notice in which a phrase that it must not have is looked for.
+REACH = 60
 BLOCK = 1 << 20
 #: ASCII to lower case, everything that parts words to a blank; other bytes are word bytes.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32
@@ -103,11 +119,13 @@ class Template:
     words: list[bytes]
     phrases: list[list[bytes]]
     base: bool
+    without: list[list[bytes]] = field(default_factory=list)
 
 
 def templates() -> list[Template]:
     out = [Template(label, words_of(p), [words_of(p)], True) for p, label in BASE]
-    return out + [Template(label, words_of(t), [words_of(p) for p in phrases], False) for label, t, phrases in NOTICES]
+    return out + [Template(label, words_of(t), [words_of(p) for p in phrases], False, [words_of(p) for q in without for p in q])
+                  for label, t, phrases, *without in NOTICES]
 
 
 @dataclass
@@ -142,10 +160,13 @@ def _has(words: list[bytes], phrase: list[bytes], a: int, b: int) -> bool:
 
 def scan(text: str, index: Index) -> tuple[int, set[tuple[int, int]], dict[str, float]]:
     """(number of words, base places as (template, start), share of rare-word weight by label)."""
-    keep = max(len(t.words) for t in index.templates) + 2 * DRIFT
+    keep = max(len(t.words) for t in index.templates) + 4 * DRIFT + REACH
     n, places, scores = 0, set(), {}
     held: list[bytes] = []                # last words of the block before, which a notice may begin in
-    for block in word_blocks(text):
+    blocks = word_blocks(text)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
         words = held + block
         before = n - len(held)
         n += len(block)
@@ -163,16 +184,18 @@ def scan(text: str, index: Index) -> tuple[int, set[tuple[int, int]], dict[str,
                     places.update((t, before + a) for a in {a for a, _ in hits}
                                   if a >= 0 and words[a:a + size] == template.words)
                 else:
-                    share = _aligned(words, template, sorted(hits), index, t)
+                    share = _aligned(words, template, sorted(hits), index, t, following is None)
                     if share >= LEAST:
                         scores[template.label] = max(share, scores.get(template.label, 0.0))
-        held = words[-keep:]
+        held, block = words[-keep:], following
     return n, places, scores
 
 
-def _aligned(words: list[bytes], template: Template, hits: list[tuple[int, bytes]], index: Index, t: int) -> float:
+def _aligned(words: list[bytes], template: Template, hits: list[tuple[int, bytes]], index: Index, t: int,
+             last: bool = True) -> float:
     """The largest share of the template's rare-word weight whose votes agree within DRIFT words
-    where the key phrases stand."""
+    where the key phrases stand and no phrase the notice must not have. A place whose reach the words
+    do not cover is left to the next block, unless they are the ``last``."""
     best, left, seen, weight = 0.0, 0, Counter(), 0.0
     for right, (at, w) in enumerate(hits):
         seen[w] += 1
@@ -183,9 +206,13 @@ def _aligned(words: list[bytes], template: Template, hits: list[tuple[int, bytes
             weight -= index.weight[out] * (seen[out] == 0)
             left += 1
         share = min(weight / index.total[t], 1.0)
-        if share >= LEAST and share > best and all(
-                _has(words, p, hits[left][0] - DRIFT, at + len(template.words) + DRIFT) for p in template.phrases):
-            best = share
+        a, b = hits[left][0] - DRIFT, at + len(template.words) + DRIFT
+        if share < LEAST or share <= best or not all(_has(words, p, a, b) for p in template.phrases):
+            continue
+        if template.without and (not last and b + REACH > len(words)
+                                 or any(_has(words, p, a, b + REACH) for p in template.without)):
+            continue
+        best = share
     return best
 
 

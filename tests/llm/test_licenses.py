@@ -56,3 +56,59 @@ def test_frequencies_count_every_document(spark):
 
 def test_empty_table(no_docs):
     assert license_scan(no_docs).count() == 0
+
+
+BSD = """Copyright (c) 2020, A. Author. All rights reserved.
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY."""
+ENDORSE = """Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission.
+"""
+GNU = ("This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public "
+       "License as published by the Free Software Foundation, either version {} of the License, or (at your option) any "
+       "later version.")
+CC = 'This work is licensed under a Creative Commons {} 4.0 International License.'
+STANDARD = [
+    ("bsd-2-clause", BSD + DISCLAIMER),
+    ("bsd-3-clause", BSD + "3. " + ENDORSE.format("the copyright holder") + DISCLAIMER),
+    ("bsd-3-clause", BSD.replace("1.", "*").replace("2.", "*") + ENDORSE.format("the University of A and B") + DISCLAIMER),
+    ("bsd-3-clause", BSD + "3. The name of the author may not be used to endorse or promote products derived from this "
+                     "software without specific prior written permission.\n" + DISCLAIMER),
+    ("bsd-4-clause", BSD + "3. All advertising materials mentioning features or use of this software must display the "
+                     "following acknowledgement: This product includes software developed by the University.\n4. "
+                     + ENDORSE.format("the University") + DISCLAIMER),
+    ("bsd-2-clause,bsd-3-clause", BSD + DISCLAIMER + BSD + "3. " + ENDORSE.format("the copyright holder") + DISCLAIMER),
+    ("gpl-2", GNU.format("program", "", "2")), ("gpl-3", GNU.format("program", "", "3")),
+    ("lgpl-2.1", GNU.format("library", "Lesser ", "2.1")), ("lgpl-3", GNU.format("library", "Lesser ", "3")),
+    ("lgpl-3", GNU.format("program", "Lesser ", "3")), ("agpl-3", GNU.format("program", "Affero ", "3")),
+    ("mit", TEXTS[4] + ", including without limitation the rights to use, copy, modify, merge, publish"),
+    ("mit", "Released under the MIT License. See the LICENSE file for details."),
+    ("apache-2", TEXTS[7] + " http://www.apache.org/licenses/LICENSE-2.0"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+              "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy it."),
+    ("cc-by", CC.format("Attribution")), ("cc-by-nc", CC.format("Attribution-NonCommercial")),
+    ("cc-by-sa", CC.format("Attribution-ShareAlike")),
+    ("cc0", "To the extent possible under law, A. Author has waived all copyright and related or neighboring rights to "
+            "This Work. CC0 1.0 Universal Public Domain Dedication")]
+
+
+@pytest.mark.parametrize("block", [50, 1 << 20])
+@pytest.mark.parametrize("label,text", STANDARD)
+def test_notices_on_their_standard_text(monkeypatch, block, label, text):
+    monkeypatch.setattr(M, "BLOCK", block)
+    index = Index.of({}, 10)
+    for x in (text, "some words before " * 30 + text + " and some words after" * 30):
+        _, places, scores = scan(x, index)
+        assert ",".join(sorted(set(scores) | {index.templates[t].label for t, _ in places})) == label
