@@ -39,3 +39,9 @@ def test_a_split_reads_its_own_folder(spark):
 def test_unknown_embedding_is_refused(spark):
     with pytest.raises(ValueError, match="embedding"):
         RN.curve_run(spark, "/nowhere", {"bag": "Jun_19_2021"})
+
+
+def test_epoch_order_is_not_one_task(spark):
+    from tessera.plans.q_embed import e11_epoch_order
+    plan = e11_epoch_order(spark, SF_SMALL)._jdf.queryExecution().toString()
+    assert "Coalesce 1" not in plan and "Repartition 1, false" not in plan
