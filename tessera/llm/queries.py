@@ -116,3 +116,77 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
     return chat_digests(rows.unionByName(extra))
+
+
+@_query("op11_fill_in_middle", """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || doc_id) AS h FROM documents),
+ c AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS k FROM d),
+ f AS (
+  SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 90
+              THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+ p AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import fim_digests
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_phrase_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+ x AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM w),
+ y AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM x WINDOW o AS (PARTITION BY piece ORDER BY i)),
+ g AS (
+  SELECT lang, 1 AS k, w1 AS phrase FROM y
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM y WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM y WHERE w3 IS NOT NULL),
+ f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+ sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+ c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+ cuts AS (
+  SELECT lang, phrase, a, 1 AS cut, w[1] AS lhs, array_to_string(w[2:], ' ') AS rhs FROM c
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+ parts AS (
+  SELECT x.lang, x.phrase, x.a, x.cut, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * x.a * x.a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.lhs JOIN f r ON r.lang = x.lang AND r.phrase = x.rhs),
+ best AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3) GROUP BY ALL),
+ kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer x ON x.lang = b.lang AND x.phrase = b.phrase
+  WHERE x.a IS NULL OR 100 * x.a < 50 * b.a),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, absorb=50, top=2000)
+
+
+@_query("op13_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+              min(page_id) OVER w AS owner,
+              strlen(html) < 100 OR row_number() OVER (PARTITION BY html ORDER BY page_id) = 1 AS own
+       FROM p WINDOW w AS (PARTITION BY html))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN NOT own THEN owner END AS refers_to FROM q
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_digests
+    return warc_digests(table(spark, sf_dir, "pages"))
