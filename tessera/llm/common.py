@@ -7,9 +7,11 @@ so extra or clashing columns cannot interfere. A null text is the empty text.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +54,29 @@ def map_partitions(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def share(spark: SparkSession, value):
+    """Broadcast of ``value`` as bytes that hold its class too, so workers need not import this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def held(shared):
+    """The value of a ``share``, in a worker."""
+    return pickle.loads(shared.value)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until it is none of the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def hex64(col: Column) -> Column:
     """A long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
 
-__all__ = ["ARROW_ROWS", "cut_lineage", "hex64", "id_text", "map_batches", "map_partitions",
-           "ship_by_value", "table", "text_of"]
+__all__ = ["ARROW_ROWS", "cut_lineage", "free_name", "held", "hex64", "id_text", "map_batches", "map_partitions",
+           "share", "ship_by_value", "table", "text_of"]
 
 ship_by_value(__name__)

@@ -1,11 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
 Seeds are windows of ``MIN_MATCH`` tokens that a document and a benchmark item
-share, found by a rolling Karp-Rabin hash and checked token by token. Where the
-seeds could cover enough of an item, greedy string tiling marks the longest
-common run of unmarked tokens again and again, and the share of the item's
-tokens that lie in tiles is its coverage. Tiles may lie anywhere in the
-document, so passages whose parts were reordered or taken apart are found.
+share, found by a rolling Karp-Rabin hash. Where the seeds could cover enough of an
+item, greedy string tiling marks the longest common run of unmarked tokens again and
+again, and the share of the item's tokens that lie in tiles is its coverage. Tiles may
+lie anywhere in the document, so passages whose parts were reordered or taken apart are
+found. The longest run is found by running Karp-Rabin over window lengths: hashes of all
+unmarked windows of a length on both sides, met by sorting, halving the range of lengths.
+Pairs of equal windows are never written out, so repetitive texts cost no more than
+others. Every tile is checked token by token.
 
 Documents are read once per block of items and never move. A block holds at
 most ``BLOCK_CHARS`` characters of items (or one longer item), which bounds what
@@ -15,6 +18,7 @@ is broadcast; a larger benchmark makes more blocks, not a larger broadcast.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -24,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_partitions, ship_by_value
+from ..session import scratch_path
+from .common import held, id_text, map_partitions, share, ship_by_value
 
 MIN_MATCH, COVERAGE = 5, 0.6
 BLOCK_CHARS = 16 << 20
@@ -46,80 +51,160 @@ def window_hashes(ids: np.ndarray, m: int) -> np.ndarray:
 
 @dataclass
 class Seeds:
-    """A block of benchmark items: their words numbered from 1, and the hashes of their windows."""
+    """A block of benchmark items: their words numbered from 1, and the hashes of their windows, by
+    window length. An item shorter than ``m`` has one window, itself."""
 
     words: dict[str, int]
     item_id: list
     ids: list[np.ndarray]
-    hashes: np.ndarray    # sorted
-    item: np.ndarray
-    place: np.ndarray
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]   # length: hashes (sorted), item, place
     m: int
 
     @classmethod
     def of(cls, items: list[tuple[int, str]], m: int) -> Seeds:
         words: dict[str, int] = {}
         ids = [np.array([words.setdefault(w, len(words) + 1) for w in tokens(text)], np.int64) for _, text in items]
-        hashes = [window_hashes(x, m) for x in ids]
-        item = np.repeat(np.arange(len(ids)), np.array([len(h) for h in hashes], np.int64))
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)])
-        flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        order = np.argsort(flat, kind="stable")
-        return cls(words, [i for i, _ in items], ids, flat[order], item[order], place[order], m)
-
-    def shared(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the item, place in the document) of all equal windows."""
-        h = window_hashes(ids, self.m)
-        if not len(h) or not len(self.hashes):
-            return (np.zeros(0, np.int64),) * 3
+        windows = {}
+        for size in sorted({min(m, len(x)) for x in ids if len(x)}):
+            own = [i for i, x in enumerate(ids) if min(m, len(x)) == size]
+            hashes = [window_hashes(ids[i], size) for i in own]
+            item = np.repeat(np.array(own, np.int64), [len(h) for h in hashes])
+            place = np.concatenate([np.arange(len(h)) for h in hashes])
+            flat = np.concatenate(hashes)
+            order = np.argsort(flat, kind="stable")
+            windows[size] = flat[order], item[order], place[order]
+        return cls(words, [i for i, _ in items], ids, windows, m)
+
+    def shared(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(window length, items, places in them) of the items' windows that the document holds. Each
+        is named once however often the document holds it."""
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        at = np.flatnonzero(unknown[self.m:] == unknown[:-self.m])   # windows of known words only
-        low = np.searchsorted(self.hashes, h[at])
-        n = np.searchsorted(self.hashes, h[at], side="right") - low
-        entry = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return self.item[entry], self.place[entry], np.repeat(at, n)
-
-
-def tiles(place: np.ndarray, at: np.ndarray, m: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of equal windows: (place in the item, place in the document, length), longest
-    first, at ties the earliest in the item and then in the document."""
-    found = []
-    while len(place):
-        order = np.lexsort((place, at - place))
-        place, at = place[order], at[order]
-        new = np.concatenate(([True], (np.diff(at - place) != 0) | (np.diff(place) != 1)))
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(place)))
-        best = first[np.lexsort((at[first], place[first], -size))[0]]
-        length = int(size.max()) + m - 1
-        p, d = int(place[best]), int(at[best])
-        found.append((p, d, length))
-        clear = (((place + m <= p) | (place >= p + length)) & ((at + m <= d) | (at >= d + length)))
-        place, at = place[clear], at[clear]
+        for size, (hashes, item, place) in self.windows.items():
+            h = window_hashes(ids, size)
+            if not len(h):
+                continue
+            h = np.unique(h[unknown[size:] == unknown[:-size]])      # windows of known words only
+            low = np.searchsorted(hashes, h)
+            n = np.searchsorted(hashes, h, side="right") - low
+            entry = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            yield size, item[entry], place[entry]
+
+
+class Windows:
+    """Hashes of the windows of any one length of a sequence, from its running sums."""
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _BASE, np.uint64))))
+        # ids are spread over 64 bits first
+        x = ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(x * power[:n])))
+        inverse = np.uint64(pow(_BASE, -1, 1 << 64))
+        self.back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n - 1, 0), inverse, np.uint64))))
+        self.marked = np.zeros(n + 1, np.int64)       # running count of marked places
+
+    def mark(self, places: list[tuple[int, int]]) -> None:
+        taken = np.diff(self.marked)
+        for at, length in places:
+            taken[at:at + length] = 1
+        self.marked[1:] = np.cumsum(taken)
+
+    def free(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, places) of the windows without a marked place."""
+        at = np.flatnonzero(self.marked[length:] == self.marked[:-length])
+        return (self.sums[at + length] - self.sums[at]) * self.back[at], at
+
+
+def tiling(item: np.ndarray, doc: np.ndarray, m: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (place in the item, place in the document, length), longest first, at
+    ties the earliest in the item and then in the document. Ids of 0 match nothing."""
+    a, b = Windows(item), Windows(doc)
+    b.mark([(int(i), 1) for i in np.flatnonzero(doc == 0)])
+    found, most = [], min(len(item), len(doc))
+    while most >= m:
+        low, high = m - 1, most                       # a common window of length low, none above high
+        while low < high:
+            mid = (low + high + 1) // 2
+            if len(np.intersect1d(a.free(mid)[0], b.free(mid)[0])):
+                low = mid
+            else:
+                high = mid - 1
+        if low < m:
+            break
+        laid = _lay(item, doc, a, b, low)
+        found += [(p, d, low) for p, d in laid]
+        a.mark([(p, low) for p, _ in laid])
+        b.mark([(d, low) for _, d in laid])
+        most = low if laid else low - 1
     return found
 
 
+def _lay(item: np.ndarray, doc: np.ndarray, a: Windows, b: Windows, length: int) -> list[tuple[int, int]]:
+    """Tiles of one length, the greatest there is, in order of the item and then of the document."""
+    ha, pa_ = a.free(length)
+    hb, pb = b.free(length)
+    order = np.argsort(hb, kind="stable")
+    hb, pb = hb[order], pb[order]
+    low = np.searchsorted(hb, ha)
+    high = np.searchsorted(hb, ha, side="right")
+    reached: dict[int, int] = {}                      # start of a run of equal hashes: next place to try
+    laid, item_end, taken = [], -1, []
+    for p, s, e in zip(pa_[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
+        if p < item_end:
+            continue
+        i = reached.get(s, s)
+        while i < e:
+            d = int(pb[i])
+            i += 1
+            if _meets(taken, d, length):
+                continue
+            if np.array_equal(item[p:p + length], doc[d:d + length]):
+                insort(taken, d)
+                laid.append((p, d))
+                item_end = p + length
+                break
+        reached[s] = i
+    return laid
+
+
+def _meets(taken: list[int], at: int, length: int) -> bool:
+    """Whether [at, at + length) meets one of the sorted tiles of the same length."""
+    i = bisect_left(taken, at)
+    return (i < len(taken) and taken[i] < at + length) or (i > 0 and taken[i - 1] + length > at)
+
+
 def contamination(text: str, seeds: Seeds, coverage: float) -> Iterator[tuple[int, int, int, int]]:
     """(item index, tiles, covered tokens, item tokens) of the items that the text covers."""
     get = seeds.words.get
     ids = np.array([get(w, 0) for w in tokens(text)], np.int64)
-    item, place, at = seeds.shared(ids)
-    for i in np.unique(item).tolist():
-        own = seeds.ids[i]
-        p, d = place[item == i], at[item == i]
-        same = np.ones(len(p), bool)
-        for j in range(seeds.m):                    # equal hashes are checked
-            same &= own[p + j] == ids[d + j]
-        p, d = p[same], d[same]
-        reach = np.zeros(len(own) + 1, np.int64)
-        np.add.at(reach, p, 1)
-        np.add.at(reach, p + seeds.m, -1)
-        if np.count_nonzero(np.cumsum(reach)) < coverage * len(own):
-            continue                                # even overlapping seeds cover too little
-        laid = tiles(p, d, seeds.m)
-        covered = sum(n for _, _, n in laid)
-        if covered >= coverage * len(own):
-            yield i, len(laid), covered, len(own)
+    for size, item, place in seeds.shared(ids):
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        first = np.flatnonzero(np.diff(item, prepend=-1))
+        for i, p in zip(item[first].tolist(), np.split(place, first[1:])):
+            own = seeds.ids[i]
+            reach = np.zeros(len(own) + 1, np.int64)
+            np.add.at(reach, p, 1)
+            np.add.at(reach, p + size, -1)
+            if np.count_nonzero(np.cumsum(reach)) < coverage * len(own):
+                continue                                # even overlapping seeds cover too little
+            laid = tiling(own, _near(ids, own, size), size)
+            covered = sum(n for _, _, n in laid)
+            if covered >= coverage * len(own):
+                yield i, len(laid), covered, len(own)
+
+
+def _near(ids: np.ndarray, own: np.ndarray, size: int) -> np.ndarray:
+    """The parts of the document that windows of the item cover, in order, with a 0 between."""
+    hit = np.flatnonzero(np.isin(window_hashes(ids, size), window_hashes(own, size)))
+    covered = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(covered, hit, 1)
+    np.add.at(covered, hit + size, -1)
+    inside = np.cumsum(covered[:-1]) > 0
+    # a place just before a part stands for the gap
+    gap = ~inside & np.append(inside[1:], False)
+    return np.where(inside, ids, 0)[inside | gap]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, m: int) -> Iterator:
@@ -131,7 +216,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, m: int) -> Iterato
         rows = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
                 .distinct().collect())
         block = sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r))
-        yield benchmark.sparkSession.sparkContext.broadcast(Seeds.of(block, m))
+        yield share(benchmark.sparkSession, Seeds.of(block, m))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
@@ -140,15 +225,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """One row per document and item it covers: doc_id, item_id, n_tiles, covered, item_words, coverage.
 
     Tokens are lower-cased word runs; ``coverage`` is the least share of the
-    item's tokens in tiles of at least ``min_match`` tokens. Items with fewer
-    tokens than ``min_match`` match nothing. Null texts are empty and match
-    nothing; null ids are returned as null; repeated documents give repeated
+    item's tokens in tiles of at least ``min_match`` tokens. An item with fewer
+    tokens is matched as a whole; one without tokens matches nothing. Null texts are
+    empty and match nothing; null ids are returned as null; repeated documents give repeated
     rows, repeated equal items count once. Empty tables: no rows."""
     docs = id_text(docs, id_col, text_col)
 
     def pairs(shared) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = shared.value
+            seeds = held(shared)
             for batch in batches:
                 rows = [(doc, seeds.item_id[i], t, c, n, c / n)
                         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
@@ -167,19 +252,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,
                       min_match: int = MIN_MATCH, text_col: str = "text") -> DataFrame:
-    """The documents that cover no benchmark item, with all their columns; no row moves."""
+    """The documents that cover no benchmark item, with all their columns; no row moves. Between
+    two blocks of items the documents that are left are written below the shared folder, so a
+    task holds one block."""
     at = docs.columns.index(text_col)
+    spark, first = docs.sparkSession, True
 
     def clean(shared) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = shared.value
+            seeds = held(shared)
             for batch in batches:
                 yield batch.filter(pa.array([next(contamination(t or "", seeds, coverage), None) is None
                                              for t in batch.column(at).to_pylist()], pa.bool_()))
         return run
 
     for shared in _blocks(benchmark, "item_id", "text", min_match):
-        docs = map_partitions(docs, clean(shared), docs.schema)
+        if not first:
+            path = scratch_path(spark, "decontaminated")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
+        docs, first = map_partitions(docs, clean(shared), docs.schema), False
     return docs
 
 

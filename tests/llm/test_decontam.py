@@ -4,14 +4,14 @@ import numpy as np
 import pytest
 
 from tessera.llm import decontam as M
-from tessera.llm.decontam import Seeds, contaminated, contamination, drop_contaminated, tiles, tokens, window_hashes
+from tessera.llm.decontam import Seeds, contaminated, contamination, drop_contaminated, tiling, tokens, window_hashes
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew strong potions"
 
 
 def _tiling(item, doc, m):
     """Greedy string tiling by definition: mark the longest common unmarked run until none is left."""
-    used_i, used_d, total = set(), set(), 0
+    used_i, used_d, found = set(), set(), []
     while True:
         best = (0, 0, 0)
         for p in range(len(item)):
@@ -24,24 +24,52 @@ def _tiling(item, doc, m):
                     best = (n, p, d)
         n, p, d = best
         if n < m:
-            return total
+            return found
         used_i |= set(range(p, p + n))
         used_d |= set(range(d, d + n))
-        total += n
+        found.append((p, d, n))
 
 
-def test_tiling_against_definition():
+def test_tiling_is_the_definition():
     rng = random.Random(4)
-    for _ in range(150):
-        item = [rng.choice("abc") for _ in range(rng.randint(3, 18))]
-        doc = [rng.choice("abcd") for _ in range(rng.randint(3, 40))]
-        at = rng.randrange(len(doc))
-        doc[at:at] = item[len(item) // 2:] + item[:len(item) // 2]
-        seeds = Seeds.of([(1, " ".join(item))], 3)
-        found = {i: c for i, _, c, _ in contamination(" ".join(doc), seeds, 0.01)}
-        # equal lengths may be marked in another order, so totals are compared loosely from below
-        want = _tiling(item, doc, 3)
-        assert abs(found.get(0, 0) - want) <= 2 and (found.get(0, 0) >= 3) == (want >= 3)
+    for _ in range(400):
+        letters = rng.choice(["a", "ab", "abc", "abcdef"])
+        item = [rng.choice(letters) for _ in range(rng.randint(1, 18))]
+        doc = [rng.choice(letters + "z") for _ in range(rng.randint(0, 40))]
+        if doc and rng.random() < .6:
+            at = rng.randrange(len(doc))
+            doc[at:at] = item[len(item) // 2:] + item[:len(item) // 2]
+        m = rng.choice([1, 2, 3])
+        number = {c: i + 1 for i, c in enumerate(letters)}
+        got = tiling(np.array([number[c] for c in item], np.int64), np.array([number.get(c, 0) for c in doc], np.int64), m)
+        assert got == _tiling(item, doc, m), (item, doc, m)
+
+
+def test_coverage_is_that_of_the_definition():
+    rng = random.Random(5)
+    for _ in range(200):
+        item = [rng.choice("abc") for _ in range(rng.randint(1, 18))]
+        doc = [rng.choice("abcd") for _ in range(rng.randint(0, 40))] + item[len(item) // 2:] + item[:len(item) // 2]
+        m = min(3, len(item))
+        found = {i: (t, c) for i, t, c, _ in contamination(" ".join(doc), Seeds.of([(1, " ".join(item))], 3), 0.01)}
+        want = _tiling(item, doc, m)
+        assert found.get(0, (0, 0)) == (len(want), sum(n for _, _, n in want)), (item, doc)
+
+
+def test_repetitive_texts_stay_small():
+    import resource
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    seeds = Seeds.of([(1, "word " * 2000), (2, "word other " * 400)], 5)
+    found = {i: (t, c) for i, t, c, _ in contamination("word " * 1_000_000, seeds, 0.6)}
+    assert found == {0: (1, 2000)}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10
+
+
+def test_short_items_are_matched_whole():
+    seeds = Seeds.of([(1, "Who wrote it"), (2, "yes"), (3, ""), (4, "a b c d e f")], 5)
+    hits = lambda text: sorted(i for i, *_ in contamination(text, seeds, 0.6))
+    assert hits("so who wrote it then") == [0] and hits("wrote it who") == [] and hits("Yes, who wrote") == [1]
+    assert hits("") == [] and hits("a b c d e") == [3]
 
 
 def test_hash_rolls():
@@ -83,9 +111,3 @@ def test_edges(edge_docs, edge_rows, no_docs, spark):
     assert left.columns == edge_docs.columns and left.count() == len(edge_rows) - 3
     assert contaminated(no_docs, bench).count() == 0 and contaminated(edge_docs, bench.where("false")).count() == 0
     assert drop_contaminated(edge_docs, bench.where("false")).count() == len(edge_rows)
-
-
-def test_tiles_do_not_overlap():
-    place = np.array([0, 1, 2, 0, 1])
-    at = np.array([10, 11, 12, 30, 31])
-    assert tiles(place, at, 4) == [(0, 10, 6)]
