@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Running sums over a conversation: pieces of so many turns, and levels of pieces of pieces.
+BLOCK, LEVELS = 64, 2
 
 
 def escape(text: Column) -> Column:
@@ -60,19 +62,52 @@ def parse(formatted: Column) -> Column:
     return F.transform(parts(formatted), turn)
 
 
-def loss_spans(formatted: Column, role: str = "assistant") -> Column:
-    """(start, end) code points of the texts of ``role`` in the string, end exclusive."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+def _blocks(values: Column) -> Column:
+    """The array in pieces of ``BLOCK``."""
+    n = F.ceil(F.size(values) / F.lit(BLOCK)).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), n), lambda b: F.slice(values, (b - 1) * BLOCK + 1, BLOCK))
+    return F.when(F.size(values) > 0, cut).otherwise(F.array().cast("array<array<long>>"))
 
-    def step(acc: Column, p: Column) -> Column:
-        head = F.length(F.substring_index(p, "\n", 1)) + F.lit(len(START) + 1)
-        end = acc["at"] + F.lit(len(START)) + F.length(p)
-        span = F.array(F.struct((acc["at"] + head).alias("start"), end.alias("end")))
-        hit = unescape_role(F.substring_index(p, "\n", 1)) == F.lit(role)
-        return F.struct((end + F.lit(len(END) + 1)).alias("at"),
-                        F.when(hit, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(parts(formatted), zero, step, lambda acc: acc["spans"])
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _before(values: Column, start: Column) -> Column:
+    """``start`` plus the sum of the values before each, of one piece."""
+    zero = F.struct(start.alias("at"), F.array().cast("array<long>").alias("out"))
+    return F.aggregate(values, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+                       lambda s: s["out"])
+
+
+def with_offsets(df: DataFrame, sizes_col: str, out_col: str) -> DataFrame:
+    """Adds for every element of ``sizes_col`` the sum of those before it. An array that grows inside
+    ``aggregate`` is copied at every step, so sums are taken in pieces of pieces: the work of a step
+    is bounded by ``BLOCK`` however long the array."""
+    x = df.withColumn("_p0", _blocks(F.col(sizes_col)))
+    for level in range(LEVELS):                        # sums of pieces, of pieces of pieces, ...
+        x = x.withColumn(f"_s{level}", F.transform(f"_p{level}", _sum)).withColumn(f"_p{level + 1}", _blocks(F.col(f"_s{level}")))
+    top = F.transform(f"_p{LEVELS}", lambda b: F.lit(0).cast("long"))
+    if_more = F.flatten(_blocks(_before(F.transform(f"_p{LEVELS}", _sum), F.lit(0).cast("long"))))
+    x = x.withColumn("_at", F.when(F.size(f"_p{LEVELS}") > 1, if_more).otherwise(top))
+    for level in range(LEVELS, -1, -1):
+        x = x.withColumn("_at", F.flatten(F.zip_with(f"_p{level}", "_at", _before)))
+    return x.withColumn(out_col, F.col("_at")).select(*df.columns, out_col)
+
+
+def with_loss_spans(df: DataFrame, formatted_col: str, role: str = "assistant", out_col: str = "loss_spans") -> DataFrame:
+    """Adds (start, end) code points of the texts of ``role`` in the string, end exclusive."""
+    x = df.withColumn("_parts", F.transform(parts(F.col(formatted_col)), lambda p: F.struct(
+        F.length(p).cast("long").alias("size"),
+        F.length(F.substring_index(p, "\n", 1)).cast("long").alias("head"),
+        (unescape_role(F.substring_index(p, "\n", 1)) == F.lit(role)).alias("hit"))))
+    marks = len(START) + len(END) + 1
+    x = x.withColumn("_sizes", F.transform("_parts", lambda p: p["size"] + F.lit(marks)))
+    x = with_offsets(x, "_sizes", "_offsets")
+    spans = F.transform(F.filter(F.arrays_zip(F.col("_parts").alias("p"), F.col("_offsets").alias("at")), lambda z: z["p"]["hit"]),
+                        lambda z: F.struct((z["at"] + z["p"]["head"] + F.lit(len(START) + 1)).cast("int").alias("start"),
+                                           (z["at"] + z["p"]["size"] + F.lit(len(START))).cast("int").alias("end")))
+    return x.withColumn(out_col, spans).select(*df.columns, out_col)
 
 
 def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
@@ -98,16 +133,19 @@ def format_chats(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     back = second.withColumn("turns", parse(F.col("formatted")))
     same = F.when(F.col("turns").eqNullSafe(F.col("source")), F.col("formatted")).otherwise(
         F.raise_error(F.lit("a conversation is not identical after the escape")).cast("string"))
-    return (back.withColumn("formatted", same).drop("source")
-            .withColumn("loss_spans", loss_spans(F.col("formatted"), loss_role)))
+    return with_loss_spans(back.withColumn("formatted", same).drop("source"), "formatted", loss_role)
 
 
-def chat_digests(rows: DataFrame, **columns: str) -> DataFrame:
+def chat_digests(rows: DataFrame, loss_role: str = "assistant", **columns: str) -> DataFrame:
     """One row per conversation with digests of what ``format_chats`` gives: conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars, escaped."""
-    chats = format_chats(rows, **columns)
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(
-        F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")
+    turns_sha256, loss_chars, loss_sha256, formatted_chars, escaped.
+
+    The text under the loss mask is that of the turns read back whose spans the mask holds; as many
+    spans as turns of the role must be there."""
+    chats = format_chats(rows, loss_role=loss_role, **columns)
+    masked = F.filter("turns", lambda t: t["role"] == F.lit(loss_role))
+    loss = F.when(F.size(masked) == F.size("loss_spans"), F.array_join(F.transform(masked, lambda t: t["text"]), "")).otherwise(
+        F.raise_error(F.lit("the loss mask does not fit the turns")).cast("string"))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return (chats.withColumn("loss", loss).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),

@@ -63,3 +63,23 @@ def test_digests_over_edges(edges):
     assert got[None].loss_sha256 == sha("née 🎉<|") and got[None].loss_chars == 7 and got[None].escaped
     assert got[3].loss_chars == 120000
     assert chat_digests(edges.where("false")).count() == 0
+
+
+def test_spans_cut_out_the_texts(spark):
+    rows = [(c, t, "assistant" if t % 3 else "user", f"é{t}" * (t % 5) + ("<|im_end|>" if c == 2 else "")) for c, n in
+            ((1, 1), (2, 63), (3, 64), (4, 65), (5, 4097), (6, 9000)) for t in range(n)]
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for r in got:
+        want = [text for c, _, role, text in rows if c == r.conv_id and role == "assistant"]
+        cut = [r.formatted[s.start:s.end] for s in r.loss_spans]
+        assert [x.replace("<\\|", "<|") if r.escaped else x for x in cut] == want
+
+
+def test_many_turns_take_linear_time(spark):
+    import time
+    rows = spark.range(16_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role",
+                                          "repeat('some words ', 16) AS text")
+    chat_digests(rows.where("turn < 10")).collect()
+    start = time.time()
+    r = chat_digests(rows).first()
+    assert r.n_turns == 16_000 and r.loss_chars == 8000 * 176 and time.time() - start < 10
