@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_partitions, ship_by_value
+from .common import held, id_text, map_partitions, share, ship_by_value
 
 BITS, DIM, GRAMS, WINDOW = 17, 8, (3, 4, 5), 32
 #: Most labelled rows of each class that training reads.
@@ -36,8 +36,10 @@ MAX_PER_CLASS = 2_500
 #: Longer texts are not taken into the training sample, which bounds its bytes.
 MAX_TRAINING_CHARS = 1 << 16
 MIN_DOCS, SCALE, EPOCHS, BATCH, RATE, SPARSE, SEED = 3, 100.0, 12, 128, 0.02, 1.0, 7
-#: Words a task keeps scored, and words scored at a time.
-HELD, BLOCK = 200_000, 1 << 16
+#: Words a task keeps scored, words of a block, characters whose n-grams are built at a time, and the
+#: longest word that is kept scored.
+HELD, BLOCK, CHARS, LONGEST = 200_000, 1 << 16, 1 << 18, 256
+GRAM_BASE, WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(r"\w+")
 
 
@@ -66,15 +68,15 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for j in range(max(GRAMS)):
         step = np.zeros(len(code), np.uint64)
         step[:max(len(code) - j, 0)] = code[j:]
-        h = (h + step + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h + step + np.uint64(1)) * GRAM_BASE
         if j + 1 in GRAMS:
             inside = at + j + 1 <= end
             rows.append(h[inside] >> np.uint64(64 - BITS))
             owner.append(word[inside])
     # the word itself: a position-weighted sum of its codes
-    weight = np.power(np.uint64(0xD6E8FEB86659FD93), (at - (end - size[word])).astype(np.uint64))
+    weight = np.power(WORD_BASE, (at - (end - size[word])).astype(np.uint64))
     first = np.cumsum(size) - size
-    whole = np.add.reduceat(code * weight, first) * np.uint64(0x9E3779B97F4A7C15)
+    whole = np.add.reduceat(code * weight, first) * GRAM_BASE
     rows.append(whole >> np.uint64(64 - BITS))
     owner.append(np.arange(len(words)))
     row, own = np.concatenate(rows).astype(np.int64), np.concatenate(owner)
@@ -92,9 +94,51 @@ class Model:
     prior: float
 
     def word_scores(self, words: list[str]) -> np.ndarray:
+        """Mean of the table over each word's n-grams, for about ``CHARS`` characters at a time."""
+        out, a, n = [], 0, 0
+        for b, word in enumerate(words):
+            if len(word) > CHARS or n + len(word) > CHARS:
+                out.append(self._few(words[a:b]))
+                a, n = b, 0
+            if len(word) > CHARS:
+                out.append(np.array([self._long(word)]))
+                a = b + 1
+            else:
+                n += len(word)
+        return np.concatenate([*out, self._few(words[a:])])
+
+    def _few(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
         rows, first = gram_rows(words)
         return np.add.reduceat(self.table[rows], first) / np.diff(np.append(first, len(rows)))
 
+    def _long(self, word: str) -> float:
+        """The same mean for one long word: its n-grams by where they begin, in pieces."""
+        word = f"<{word}>"
+        total, whole, count = 0.0, np.uint64(0), 1
+        weight = np.power(WORD_BASE, np.arange(CHARS, dtype=np.uint64))
+        step = np.uint64(pow(int(WORD_BASE), CHARS, 1 << 64))
+        lead = np.uint64(1)
+        for a in range(0, len(word), CHARS):
+            code = np.frombuffer(word[a:a + CHARS + max(GRAMS) - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+            own = min(CHARS, len(word) - a)
+            h = np.zeros(own, np.uint64)
+            for j in range(max(GRAMS)):
+                part = np.zeros(own, np.uint64)
+                part[:max(min(own, len(code) - j), 0)] = code[j:j + own]
+                h = (h + part + np.uint64(1)) * GRAM_BASE
+                if j + 1 in GRAMS:
+                    inside = max(min(own, len(code) - j), 0)
+                    total += float(self.table[(h[:inside] >> np.uint64(64 - BITS)).astype(np.int64)].sum())
+                    count += inside
+            with np.errstate(over="ignore"):
+                whole = whole + lead * (code[:own] * weight[:own]).sum(dtype=np.uint64)
+                lead = lead * step
+        with np.errstate(over="ignore"):
+            row = int((whole * GRAM_BASE) >> np.uint64(64 - BITS))
+        return (total + float(self.table[row])) / count
+
     def score(self, text: str, known: dict[str, float]) -> float:
         """The document's probability; the training prior without words."""
         total, n = 0.0, 0
@@ -108,6 +152,9 @@ class Model:
             get = known.__getitem__
             total += sum(sum(map(get, part)) for part in windows(words))
             n += len(words)
+            for w in missing:
+                if len(w) > LONGEST:
+                    del known[w]
         return float(1 / (1 + np.exp(-np.clip(SCALE * total / n + self.bias, -50, 50)))) if n else self.prior
 
 
@@ -215,10 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([(r["text"], r["y"]) for r in rows], share=share)
 
 
-def _scored(model: Broadcast) -> Callable[[list[str], dict[str, float]], list[float]]:
-    def run(texts: list[str], known: dict[str, float]) -> list[float]:
-        return [model.value.score(t or "", known) for t in texts]
-    return run
+def _scored(shared: Broadcast) -> Callable[[], Callable[[list[str], dict[str, float]], list[float]]]:
+    def load():
+        model = held(shared)
+        return lambda texts, known: [model.score(t or "", known) for t in texts]
+    return load
 
 
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,10 +274,10 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     Null, empty or wordless text: the toxic share of all labelled training rows as score.
     Null id: held_out null. Repeated rows stay. Empty table: no rows."""
-    score = _scored(docs.sparkSession.sparkContext.broadcast(model))
+    load = _scored(share(docs.sparkSession, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        score, known = load(), {}
         for batch in batches:
             s = score(batch.column("text").to_pylist(), known)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
@@ -241,11 +289,11 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents scored below 0.5, with all their columns; no row moves."""
-    score = _scored(docs.sparkSession.sparkContext.broadcast(model))
+    load = _scored(share(docs.sparkSession, model))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        score, known = load(), {}
         for batch in batches:
             s = score(batch.column(at).to_pylist(), known)
             yield batch.filter(pa.array([x < 0.5 for x in s], pa.bool_()))

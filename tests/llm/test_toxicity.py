@@ -86,3 +86,59 @@ def test_wordless_texts_score_the_share_of_all_rows_when_the_sample_is_capped(sp
     got = {r.doc_id: r for r in toxicity_scores(docs, model).collect()}
     assert all(got[i].score == model.prior and got[i].predicted == 0 for i in (1000, 1001, 1002))
     assert {1000, 1001, 1002} <= {r.doc_id for r in drop_toxic(docs, model).collect()}
+
+
+def test_scores_are_plain_averages_of_gram_embeddings():
+    """The scoring against its definition: mean over a document's windows' distinct words of the mean
+    over a word's n-grams."""
+    import numpy as np
+
+    from tessera.llm import toxicity as X
+    rng = np.random.default_rng(0)
+    model = X.Model(rng.normal(0, .01, 1 << X.BITS), -0.2, 0.3)
+
+    def rows(word):
+        w, m = f"<{word}>", 1 << 64
+        out = []
+        for n in X.GRAMS:
+            for i in range(len(w) - n + 1):
+                h = 0
+                for c in w[i:i + n]:
+                    h = (h + ord(c) + 1) * int(X.GRAM_BASE) % m
+                out.append(h >> (64 - X.BITS))
+        whole = sum(ord(c) * pow(int(X.WORD_BASE), i, m) for i, c in enumerate(w)) % m
+        return out + [(whole * int(X.GRAM_BASE) % m) >> (64 - X.BITS)]
+
+    text = "The quick a brün " * 30 + "日本 x" + "y" * 900
+    words = X._WORD.findall(text.lower())
+    total = sum(np.mean([model.table[r] for r in rows(w)])
+                for s in range(0, len(words), X.WINDOW) for w in set(words[s:s + X.WINDOW]))
+    want = 1 / (1 + np.exp(-(X.SCALE * total / len(words) + model.bias)))
+    assert abs(model.score(text, {}) - want) < 1e-9
+
+
+def test_long_words_are_scored_in_pieces(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tessera.llm import toxicity as X
+    model = X.Model(np.random.default_rng(1).normal(0, .01, 1 << X.BITS), 0.0, 0.3)
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdé日", k=n)) for n in (1, 5, 63, 64, 65, 66, 67, 128, 129, 1000, 3)]
+    want = model.word_scores(words)
+    monkeypatch.setattr(X, "CHARS", 64)
+    assert np.allclose(model.word_scores(words), want, rtol=1e-9)
+
+
+def test_a_text_of_one_long_word_stays_small():
+    import resource
+
+    import numpy as np
+
+    from tessera.llm import toxicity as X
+    model = X.Model(np.zeros(1 << X.BITS), 0.0, 0.3)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    known = {}
+    assert model.score("ab" * 10_000_000, known) == 0.5 and not known
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10
