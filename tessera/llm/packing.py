@@ -207,8 +207,8 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacit
             group = group.append_column(name, pa.array(col, pa.int64()))
         return group.drop_columns(["worker"])
 
-    # the digest parts the pieces of documents without an id
-    dealt = pieces.withColumn("worker", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(workers)))
+    # dealt by the row itself: repeated rows are spread like all others
+    dealt = pieces.withColumn("worker", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(workers)))
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
               "sequence_id long, offset long, padded_length long")
     return dealt.groupBy("worker").applyInArrow(fill, schema)

@@ -86,3 +86,11 @@ def test_little_padding(spark):
     held = got.groupby("sequence_id").agg(n=("length", "sum"), p=("padded_length", "first"))
     assert 1 - held.n.sum() / held.p.sum() < 0.02
     assert got.groupby("doc_id").length.sum().equals(got.groupby("doc_id").doc_tokens.first().rename("length"))
+
+
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(M, "WORKER_PIECES", 500)
+    docs = spark.range(4000).selectExpr("7L AS doc_id", "'the same few words' AS text").repartition(4)
+    got = M.harmonic_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    sizes = [r["count"] for r in got.selectExpr("sequence_id >> 32 AS worker").groupBy("worker").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.3 * 500
