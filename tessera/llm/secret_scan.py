@@ -137,7 +137,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans.
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy.
 
     ``spans`` is kind:start:end of all findings, comma-joined; base_sha256 the
     digest of the fixed formats' part. Null or empty text: no findings. Null
@@ -148,16 +148,17 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = find_secrets(text)
             kinds = [k for k, _, _ in spans]
             base = _joined([s for s in spans if s[0] != "entropy"])
-            row = (*(kinds.count(k) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), _joined(spans))
+            row = (*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(base.encode()).hexdigest(), _joined(spans),
+                   kinds.count("entropy"))
             for col, v in zip(cols, row):
                 col.append(v)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])],
-            ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
+            [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]))],
+            ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"])
 
     return map_batches(id_text(docs, id_col, text_col), scan,
-                       "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, "
-                       "base_sha256 string, spans string")
+                       "doc_id long, n_assign long, n_access long, n_hex long, "
+                       "base_sha256 string, spans string, n_entropy long")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
