@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_partitions, ship_by_value
+from .common import held, id_text, map_partitions, share, ship_by_value
 
 # FIXED VALUES: base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -243,10 +243,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a notice's rare-word weight, else 0. Null or empty text: no words, no
     labels. Null ids and repeated rows stay. Empty table: no rows."""
     docs = id_text(docs, id_col, text_col)
-    index = docs.sparkSession.sparkContext.broadcast(Index.of(*word_frequencies(docs)))
+    index = share(docs.sparkSession, Index.of(*word_frequencies(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index.value
+        known = held(index)
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         for batch in batches:
             cols: list[list] = [[] for _ in types]
