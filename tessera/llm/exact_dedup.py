@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_text
+from .common import cut_lineage, free_name, id_text
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -97,12 +97,13 @@ def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = cut_lineage(stay).alias("k")
     text = F.coalesce(F.col(f"d.{text_col}").cast("string"), F.lit(""))
     key = F.unhex(F.concat(F.sha2(text, 256), F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
+    mark = free_name(docs.columns, "__text_key")
 
     def having(some: DataFrame) -> DataFrame:
         on = (key.eqNullSafe(F.col("k._keep_key"))
               & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k._keep_id")))
         return docs.alias("d").join(some.hint("shuffle_hash"), on, "left_semi")
 
-    repeated = (having(stay.where("k._same > 1")).select("d.*", key.alias("__text_key"))
-                .dropDuplicates([id_col, "__text_key"]).drop("__text_key"))
+    repeated = (having(stay.where("k._same > 1")).select("d.*", key.alias(mark))
+                .dropDuplicates([id_col, mark]).drop(mark))
     return having(stay.where("k._same = 1")).unionByName(repeated)

@@ -1,7 +1,7 @@
 import pytest
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, fp long, `key` string, run int, "
-          "`row` int, n int, size int, component long, worker int, `_stays` int, best int")
+          "`row` int, n int, size int, component long, worker int, `_stays` int, best int, `__text_key` int")
 LONG = "lorem ipsum dolor sit amet consectetur " * 4000
 
 
@@ -17,7 +17,7 @@ def edge_rows():
 @pytest.fixture(scope="session")
 def edge_docs(spark, edge_rows):
     """The edge rows with extra columns whose names clash with internal ones, some null."""
-    return spark.createDataFrame([(i, t, None, "s", None, 0, "k", 1, 2, 3, 4, 5, 6, 7, None)
+    return spark.createDataFrame([(i, t, None, "s", None, 0, "k", 1, 2, 3, 4, 5, 6, 7, None, 8)
                                   for i, t in edge_rows], SCHEMA).repartition(3)
 
 
