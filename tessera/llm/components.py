@@ -35,12 +35,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     left out. No edges: no rows."""
     edges = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
              .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))).distinct())
-    seen = None
+    state = None
     while True:
         edges = cut_lineage(_small_star(_large_star(edges)))
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        seen, state = state, tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == seen or not state[0]:
             break
-        seen = state
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .union(edges.select("v", "v").distinct()))

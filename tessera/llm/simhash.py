@@ -27,12 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, hex64, id_text, map_batches, map_partitions, ship_by_value
+from ..functions.joins import heavy_join, heavy_keys
+from .common import cut_lineage, free_name, hex64, id_text, map_batches, map_partitions, ship_by_value
 from .components import connected_components
 
 #: Bytes of text split into words at a time; bounds memory for very long texts.
 BLOCK_BYTES = 1 << 20
 MAX_BUCKET = 20_000
+#: A component of this share of the fingerprints, a fingerprint of this share of the rows, is met by broadcast.
+SHARES = 1000
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -75,13 +78,18 @@ def simhash(text: str, k: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 4, seed: int = 42, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+                 text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's bits as a signed long. With ``digests`` the text's
+    SHA-256 follows as ``digest``."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([simhash(t, k, seed) for t in batch.column("text").to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))],
-                                          ["doc_id", "fp"])
-    return map_batches(id_text(docs, id_col, text_col), one, "doc_id long, fp long")
+        more = ["digest"] if digests else []
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), *map(batch.column, more)],
+                                          ["doc_id", "fp", *more])
+    rows = id_text(docs, id_col, text_col)
+    if not digests:
+        return map_batches(rows, one, "doc_id long, fp long")
+    return map_batches(rows.withColumn("digest", F.unhex(F.sha2("text", 256))), one, "doc_id long, fp long, digest binary")
 
 
 def covering_masks(radius: int, bits: list[int]) -> list[int]:
@@ -218,25 +226,49 @@ def near_dedup(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_
     takes part and gets its component; null only if no id is in it. Repeated
     rows are in one component. Empty table: no rows."""
     rows = cut_lineage(fingerprints(docs, k, seed, id_col, text_col))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(near_links(nodes, radius, max_bucket))
-    owner = nodes.join(parts, nodes["fp"] == parts["node"], "left").select(
-        nodes["fp"], "least", F.coalesce("component", nodes["fp"]).alias("component"))
-    first = owner.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = owner.join(first, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    owner = cut_lineage(_owners(nodes, radius, max_bucket))
+    first = owner.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))
+    # large components and fingerprints of many rows are few: they meet their rows by broadcast
+    total = nodes.agg(F.sum("n"), F.count("*")).first()
+    first = cut_lineage(first)
+    large = heavy_keys(first, "fps", SHARES, total[1]).drop("fps")
+    named = cut_lineage(heavy_join(owner.select("component", "fp", "n"), first.drop("fps"), ["component"], large))
+    common = heavy_keys(named, "n", SHARES, total[0] or 0).select("fp", "component_id")
+    return heavy_join(rows, named.select("fp", "component_id"), ["fp"], common).select(
+        "doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _owners(nodes: DataFrame, radius: int, max_bucket: int) -> DataFrame:
+    """The nodes with ``component``, the smallest fingerprint reachable."""
+    parts = connected_components(near_links(nodes, radius, max_bucket)).select(
+        F.col("node").alias("fp"), F.col("component").alias("_of"))
+    return nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("_of", "fp")).drop("_of")
 
 
 def keep_representatives(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
-    """The input rows whose document stays, with all their columns: of each component the
-    row(s) of its smallest id. Rows without an id cannot be named, so they all stay."""
-    found = near_dedup(docs, k, radius, id_col, text_col)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct().alias("k")
-    docs = docs.alias("d")
-    key = F.col(f"d.{id_col}").cast("long")
-    named = docs.join(stay.hint("shuffle_hash"), key == F.col("k._stays"), "left_semi")
-    return named.unionByName(docs.where(key.isNull()))
+                         text_col: str = "text", seed: int = 42, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """The input rows that stay, with all their columns: one row of each component, that of the
+    smallest id (rows without an id last), at equal ids of the smallest fingerprint and then digest.
+    Of rows repeated under one id and text one stays."""
+    rows = cut_lineage(fingerprints(docs, k, seed, id_col, text_col, digests=True))
+    same = rows.groupBy("doc_id", "fp", "digest").agg(F.count("*").alias("same"))
+    nodes = cut_lineage(same.groupBy("fp").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "digest", "same")).alias("first")))
+    best = _owners(nodes, radius, max_bucket).groupBy("component").agg(F.min("first").alias("best"))
+    stay = cut_lineage(best.select(F.col("best.doc_id").alias("_stay_id"), F.col("best.digest").alias("_stay_digest"),
+                                   (F.col("best.same") > 1).alias("_repeated"))).alias("k")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(f"d.{text_col}").cast("string"), F.lit("")), 256))
+    mark = free_name(docs.columns, "_digest")
+
+    def having(some: DataFrame) -> DataFrame:
+        on = (digest.eqNullSafe(F.col("k._stay_digest"))
+              & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k._stay_id")))
+        return docs.alias("d").join(some.hint("shuffle_hash"), on, "left_semi")
+
+    once = (having(stay.where("k._repeated")).select("d.*", digest.alias(mark))
+            .dropDuplicates([id_col, mark]).drop(mark))
+    return having(stay.where("NOT k._repeated")).unionByName(once)
 
 
 ship_by_value(__name__)

@@ -94,11 +94,26 @@ def test_edges(edge_docs, edge_rows):
     assert (2, 1) in want and (4, 3) in want and (5, 3) in want and (None, 1) in want and (None, 3) in want
 
 
-def test_representatives_keep_whole_rows(edge_docs, edge_rows):
+def test_representatives_keep_one_row_of_each_component(edge_docs, edge_rows, spark):
     kept = keep_representatives(edge_docs).collect()
+    groups = near_dedup(edge_docs).select("component_id").distinct().count()
     ids = [r.doc_id for r in kept]
-    assert 1 in ids and 2 not in ids and 4 not in ids and ids.count(9) == 2 and ids.count(None) == 2
+    assert len(kept) == groups and None not in ids
+    assert 1 in ids and 2 not in ids and 3 in ids and 4 not in ids and ids.count(9) == 1
     assert all(r.component == 5 for r in kept)
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "x1 x2 x3 x4 x5"), (7, "X1 x2 x3 x4 x5"), (7, "x1 x2 x3 x4 x5")]
+    for part in (rows, rows[:2], rows[2:]):
+        got = keep_representatives(spark.createDataFrame(part, "doc_id long, text string").repartition(3)).collect()
+        assert len(got) == len({(t or "").lower() for _, t in part})
+
+
+def test_hot_keys_go_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARES", 3)
+    docs = spark.range(90).selectExpr("id AS doc_id", "if(id % 3 = 0, 'one two three four five six', concat('w', id, ' x', id, ' y z', id)) AS text")
+    got = {r.doc_id: r.component_id for r in near_dedup(docs).collect()}
+    monkeypatch.setattr(M, "SHARES", 10**6)
+    assert len(got) == 90 and got == {r.doc_id: r.component_id for r in near_dedup(docs).collect()}
+    assert got[87] == 0
 
 
 def test_empty_table(no_docs):
