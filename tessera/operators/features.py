@@ -14,7 +14,9 @@ cap and the term numbers come from range-partitioned running numbers.
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import Vectors, VectorUDT
+import math
+
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -22,7 +24,10 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.ranking import ordered_number
-from ..session import cut_lineage, ship_by_value
+from ..session import cut_lineage, scratch_path
+
+#: Terms in this share of a split's documents are joined by broadcast, and at most so many.
+HEAVY_SHARE, HEAVY_TERMS = 0.05, 20_000
 
 
 def doc_terms(docs: DataFrame, text_col: str, n_max: int, id_col: str = "report_id",
@@ -103,15 +108,25 @@ def cap_vocabulary(pruned: DataFrame, k: Column | int | None) -> DataFrame:
     """E5: the k terms of highest corpus frequency per split (ties by term);
     ``k`` may be a column (per-split cap, NULL: no cap) or None for no cap.
 
-    Terms are numbered per split in that order over range partitions, so
-    neither a split nor the group of terms tied at the cut is one task."""
+    Selection by counting: a histogram of the frequencies gives each split's
+    cut, the value at which the running count reaches k. Terms above it stay;
+    only the terms tied at the cut are ordered, over range partitions."""
     if k is None:
         return pruned
     kc = k if isinstance(k, Column) else F.lit(int(k))
     x = cut_lineage(pruned.withColumn("_k", kc))
-    free, capped = x.where("_k IS NULL"), x.where("_k IS NOT NULL")
-    ranked = ordered_number(capped, ["split_id"], [F.col("ctf").desc(), F.col("term")], "_r")
-    return ranked.where(F.col("_r") <= F.col("_k")).drop("_r").unionByName(free).drop("_k")
+    w = Window.partitionBy("split_id").orderBy(F.col("ctf").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    # one row per frequency that occurs: their number grows like the root of the corpus
+    hist = (x.where("_k IS NOT NULL").groupBy("split_id", "ctf").agg(F.count(F.lit(1)).alias("_c"), F.first("_k").alias("_k"))
+            .withColumn("_to", F.sum("_c").over(w)))
+    cut = hist.where(F.col("_to") > F.col("_k")).groupBy("split_id").agg(
+        F.max("ctf").alias("_cut"), F.max_by(F.col("_k") - (F.col("_to") - F.col("_c")), F.col("ctf")).alias("_room"))
+    y = x.join(F.broadcast(cut), "split_id", "left")
+    sure = y.where(F.col("_k").isNull() | F.col("_cut").isNull() | (F.col("ctf") > F.col("_cut")))
+    tied = y.where(F.col("_k").isNotNull() & (F.col("ctf") == F.col("_cut")) & (F.col("_room") > 0))
+    tied = ordered_number(tied, ["split_id"], [F.col("term")], "_r").where(F.col("_r") <= F.col("_room")).drop("_r")
+    return sure.unionByName(tied).select(*pruned.columns)
 
 
 def vocabulary_cap(terms: DataFrame, pvs: float | None) -> int | None:
@@ -141,52 +156,87 @@ def numbered_vocabulary(vocab: DataFrame) -> DataFrame:
     return v.withColumn("idx", (F.col("_n") - 1).cast("int")).drop("_n")
 
 
+def _heavy_terms(vocab: DataFrame) -> DataFrame:
+    """The terms in at least ``HEAVY_SHARE`` of a split's documents, told by their idf; at most
+    ``HEAVY_TERMS`` of them, the most frequent first."""
+    least = 1.0 - math.log(HEAVY_SHARE)
+    return vocab.where(F.col("idf") <= least).orderBy("idf", "split_id", "term").limit(HEAVY_TERMS)
+
+
+def raw_weights(terms: DataFrame, members: DataFrame, vocab: DataFrame, id_col: str = "report_id",
+                cols=()) -> DataFrame:
+    """tf*idf of the member documents on their split's vocabulary before the norm, with the vocabulary
+    columns ``cols``; unknown terms drop out. (split_id, report_id, term, cols..., _x).
+
+    A word in most documents would be one join key: such terms are few and go through a broadcast
+    map; their rows pass the shuffled join of the others under a key of their own document."""
+    cols = ["idf", *cols]
+    j = terms.join(members.select("split_id", id_col), id_col)
+    heavy = _heavy_terms(vocab).select("split_id", "term", *[F.col(c).alias(f"_h_{c}") for c in cols])
+    light = vocab.select(F.col("split_id").alias("_s"), F.col("term").alias("_t"), *[F.col(c).alias(f"_l_{c}") for c in cols])
+    x = j.join(F.broadcast(heavy), ["split_id", "term"], "left")
+    # no term begins with a blank
+    x = x.withColumn("_key", F.when(F.col("_h_idf").isNull(), F.col("term")).otherwise(
+        F.concat(F.lit(" "), F.col(id_col).cast("string"))))
+    y = x.join(light, (F.col("split_id") == F.col("_s")) & (F.col("_key") == F.col("_t")), "left")
+    y = y.select("split_id", id_col, "term", "tf", *[F.coalesce(f"_h_{c}", f"_l_{c}").alias(c) for c in cols])
+    return y.where(F.col("idf").isNotNull()).select("split_id", id_col, "term", *cols[1:],
+                                                    (F.col("tf") * F.col("idf")).alias("_x"))
+
+
 def tfidf_weights(terms: DataFrame, members: DataFrame, vocab: DataFrame,
                   id_col: str = "report_id") -> DataFrame:
     """L2-normalised tf*idf of the member documents (training or
     unseen) on their split's vocabulary; unknown terms drop out.
     (split_id, report_id, term, tfidf)."""
-    j = terms.join(members.select("split_id", id_col), id_col) \
-             .join(vocab.select("split_id", "term", "idf"), ["split_id", "term"])
-    w = j.withColumn("_x", F.col("tf") * F.col("idf"))
+    w = raw_weights(terms, members, vocab, id_col)
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy("split_id", id_col)))
     return w.select("split_id", id_col, "term", (F.col("_x") / norm).alias("tfidf"))
 
 
 def indexed_weights(terms: DataFrame, members: DataFrame, numbered: DataFrame,
                     id_col: str = "report_id") -> DataFrame:
-    """E8 as rows: (split_id, report_id, idx, tfidf)."""
-    w = tfidf_weights(terms, members, numbered, id_col)
-    return w.join(numbered.select("split_id", "term", "idx"), ["split_id", "term"]).select(
-        "split_id", id_col, "idx", "tfidf")
+    """E8 as rows, before the norm: (split_id, report_id, idx, weight)."""
+    return raw_weights(terms, members, numbered, id_col, ["idx"]).select(
+        "split_id", id_col, "idx", F.col("_x").alias("weight"))
+
+
+def sparse_rows(weights: DataFrame, members: DataFrame, size: int, id_col: str = "report_id") -> DataFrame:
+    """(report_id, features) of one split's members, ``features`` as the struct that a sparse
+    vector is stored as. Entries are sorted by number before they are summed, so a vector is the
+    same to the last bit however the rows arrived. A member without a known term is the zero vector."""
+    rows = weights.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_e"))
+    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
+    vec = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(int(size)).alias("size"),
+                   F.transform("_e", lambda e: e["idx"]).alias("indices"),
+                   F.transform("_e", lambda e: e["weight"] / F.col("_norm")).alias("values"))
+    none = F.array().cast("array<struct<idx:int,weight:double>>")
+    return (members.select(id_col).join(rows, id_col, "left").withColumn("_e", F.coalesce("_e", none))
+            .withColumn("_norm", norm).select(id_col, vec.alias("features")))
 
 
-@F.udf(VectorUDT())
-def _sparse(size, entries):
-    return Vectors.sparse(size, [e[0] for e in entries], [e[1] for e in entries])
+def stored_vectors(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """``rows`` written once and read back with ``features`` as a vector: the stored struct is read
+    under the vector type, so no row passes a Python worker. Default path: a fresh scratch folder."""
+    path = path or scratch_path(rows.sparkSession, "vectors")
+    rows.write.mode("overwrite").parquet(path)
+    fields = [T_.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in rows.schema.fields]
+    return rows.sparkSession.read.schema(T_.StructType(fields)).parquet(path)
 
 
-def sparse_vectors(weights: DataFrame, members: DataFrame, size: int, id_col: str = "report_id") -> DataFrame:
-    """E8 at the model boundary: (report_id, features) of one split's members; a
-    member without a known term is the zero vector. One short row function per
-    report builds the vector from its sorted entries."""
-    rows = weights.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "tfidf"))).alias("_e"))
-    none = F.array().cast("array<struct<idx:int,tfidf:double>>")
-    return members.select(id_col).join(rows, id_col, "left").select(
-        id_col, _sparse(F.lit(size), F.coalesce("_e", none)).alias("features"))
+def sparse_vectors(weights: DataFrame, members: DataFrame, size: int, id_col: str = "report_id",
+                   path: str | None = None) -> DataFrame:
+    """E8 at the model boundary: (report_id, features) of one split's members."""
+    return stored_vectors(sparse_rows(weights, members, size, id_col), path)
 
 
-@F.udf(T_.ArrayType(T_.StructType([T_.StructField("idx", T_.IntegerType()), T_.StructField("w", T_.DoubleType())])))
-def vector_entries(v):
-    """The non-zero entries of a vector column."""
-    return list(zip((int(i) for i in v.indices), (float(x) for x in v.values)))
+def vector_entries(col: str) -> Column:
+    """The non-zero entries of a sparse vector column: array of (idx, w)."""
+    v = F.unwrap_udt(F.col(col))
+    return F.arrays_zip(v["indices"].alias("idx"), v["values"].alias("w"))
 
 
 def with_terms(df: DataFrame, text_col: str, n_max: int, out_col: str = "terms") -> DataFrame:
     """E1 + E2 as one array column."""
     w = df.withColumn("_w", T.vectorizer_tokens(F.col(text_col)))
     return w.withColumn(out_col, T.ngrams(F.col("_w"), n_max)).drop("_w")
-
-
-# The row function runs in Python workers: pickled by value, they need no copy of the package.
-ship_by_value(__name__)

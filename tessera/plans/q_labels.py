@@ -191,6 +191,46 @@ def s3_vectors_tsv(spark, sf_dir):
                                           F.sum(F.size(F.split("value", "\t"))).cast("long").alias("n_values"))
 
 
+def _s3_folds() -> tuple:
+    return (FX.SQL_REPORTS, "x AS (SELECT r.report_id, r.label, md5('0-' || CAST(r.report_id AS VARCHAR)) AS h FROM reports r)",
+            "cnt AS (SELECT label, count(*) AS n FROM x GROUP BY ALL)",
+            "off AS (SELECT label, sum(n) OVER (ORDER BY label) - n AS o FROM cnt)",
+            "fo AS (SELECT x.*, CAST((off.o + row_number() OVER (PARTITION BY x.label ORDER BY x.h, x.report_id) - 1) % 5 AS INT) "
+            "AS outer_fold FROM x JOIN off USING (label))")
+
+
+@register("s3_vectors_sparse", W(*_s3_folds(),
+                                 "w AS (SELECT d.doc_id AS report_id, unnest(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_]{2,}')) AS term "
+                                 "FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id)",
+                                 "tf AS (SELECT report_id, term, count(*) AS tf FROM w GROUP BY ALL)",
+                                 "nd AS (SELECT count(*) AS n_docs FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id)",
+                                 "vo AS (SELECT term, df, n_docs, row_number() OVER (ORDER BY term) - 1 AS idx FROM "
+                                 "(SELECT term, count(*) AS df FROM tf GROUP BY term), nd WHERE df >= 2 AND df <= 0.9 * n_docs)",
+                                 "wt AS (SELECT report_id, idx, tf * (ln((1.0 + n_docs) / (1.0 + df)) + 1) AS x FROM tf JOIN vo USING (term))",
+                                 "nw AS (SELECT report_id, idx, x / sqrt(sum(x * x) OVER (PARTITION BY report_id)) AS x FROM wt)") +
+          "SELECT outer_fold, CAST(idx AS INT) AS idx, count(*) AS n, round(sum(nw.x), 6) AS total FROM nw JOIN fo USING (report_id) GROUP BY ALL")
+def s3_vectors_sparse(spark, sf_dir):
+    """Vectors of the labelled reports (single words, no cap) as index:value lines, read back and added
+    up by fold and index."""
+    from ..operators import features as FE
+    from ..operators import splits as SP
+    from ..session import cut_lineage
+    from .q_features import labelled_docs
+    docs = labelled_docs(spark, sf_dir)
+    members = docs.select(F.lit(0).alias("split_id"), "report_id")
+    terms = cut_lineage(FE.doc_terms(docs, "text", 1))
+    v = cut_lineage(FE.numbered_vocabulary(FE.vocabulary(terms, members, pvs=None)))
+    vec = FE.sparse_vectors(FE.indexed_weights(terms, members, v), members, v.count())
+    rep = SP.with_realizations(FX.reports(spark, sf_dir).select("report_id", "label"), 1)
+    folds = SP.stratified_fold(rep, 5, [F.col("realization")], group_cols=["realization"], out_col="outer_fold")
+    out = scratch_path(spark, "vectors-sparse")
+    K.write_vectors_tsv(vec.join(folds.select("report_id", "label", "outer_fold"), "report_id"), out, layout="sparse")
+    entry = F.split(F.explode(F.filter(F.split("value", "\t"), lambda e: e != "")), ":")
+    back = spark.read.text(f"{out}/vectors").select("outer_fold", entry.alias("e"))
+    return back.groupBy("outer_fold", F.col("e")[0].cast("int").alias("idx")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("e")[1].cast("double")), 6).alias("total"))
+
+
 @register("s6_explanations_sink", FX.with_ctes(FX.SQL_PRED, FX.SQL_EXPLANATIONS) + """
 SELECT CASE WHEN p.y_true = 1 AND p.votes * 2 > 51 THEN 'TP' WHEN p.y_true = 0 AND p.votes * 2 > 51 THEN 'FP'
             WHEN p.y_true = 0 THEN 'TN' ELSE 'FN' END AS outcome, 'tf_idf' AS embedding,

@@ -7,6 +7,10 @@ aggregates -> outer vocabularies in one job -> refits -> predictions written per
 fold -> metrics and curves as aggregates. The vocabularies are written once,
 partitioned by split, and the fold tables by their parent, so a split's job
 reads its own folders only. Nothing of a vocabulary reaches the driver.
+
+Every finished fit is committed to the run's folder (``ledger``). A run started
+again with the same ``run_dir`` does only the fits that are not there. Fits are
+repeatable: vectors are sums in a fixed order, training rows have a fixed layout.
 """
 
 from __future__ import annotations
@@ -14,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +31,13 @@ from ..operators import features as FE
 from ..operators import forest as RF
 from ..operators import labels as L
 from ..operators import metrics as MT
+from ..operators import perturbed as PS
 from ..operators import splits as SP
 from ..operators import tuning as TU
 from ..session import cut_lineage, scratch_path
 from ..sources import readers as R
 from ..sources import sinks as K
+from .ledger import RunFolder, delete, digest_of
 
 PARAMS = ("n_gram", "pvs", "mf")
 
@@ -46,6 +51,7 @@ class RunResult:
     params_realizations: DataFrame  # M9
     metrics: DataFrame           # per realization: G2 + AUC + AUPR (multi-class: G3)
     summary: DataFrame           # G8
+    validation: DataFrame | None = None  # (realization, outer_fold, inner_fold, seq, report_id, y_true, y_pred)
 
 
 def prepare(reports: DataFrame, cfg: RunConfig, first_seed: int = 0):
@@ -66,13 +72,6 @@ def n_classes(cfg: RunConfig) -> int:
     return 2 if cfg.binary else 4
 
 
-def _stored(df: DataFrame, name: str, by: Sequence[str]) -> DataFrame:
-    """``df`` written below the shared folder, one folder per ``by`` value, and read back."""
-    path = scratch_path(df.sparkSession, name)
-    df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def cap_column(vocab_size: int, pvs_col):
     """E5: round_half_up(V * pvs); NULL (no cap) where pvs is NULL."""
     return round_half_up(F.lit(float(vocab_size)) * pvs_col, 0).cast("long")
@@ -118,92 +117,111 @@ def _held(table: DataFrame, where, fold_col: str, pure_col: str, fold: int) -> D
 
 
 def split_vectors(dterms: DataFrame, vocab: DataFrame, split_id: int, size: int, members: DataFrame) -> DataFrame:
-    """E6-E8 of one split: (report_id, features)."""
+    """E6-E8 of one split: (report_id, features as the stored struct)."""
     v = vocab.where(F.col("split_id") == split_id)
     m = members.select(F.lit(split_id).alias("split_id"), "report_id")
-    return FE.sparse_vectors(FE.indexed_weights(dterms, m, v), m, max(size, 1))
+    return FE.sparse_rows(FE.indexed_weights(dterms, m, v), m, max(size, 1))
+
+
+def fixed_layout(rows: DataFrame, key: str = "report_id") -> DataFrame:
+    """The rows in the same tasks and order however they arrived: the learner draws per task and place."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key).sortWithinPartitions(key)
 
 
-def _fit(vectors: DataFrame, ys: DataFrame, members: DataFrame, mfs, cfg: RunConfig, seed: int):
-    """Forests of one split on its training rows, applied to its held-out rows: [(mf, predictions)] and
-    the persisted vectors, which the caller releases."""
-    rows = vectors.join(members, "report_id").join(ys, "report_id").persist(StorageLevel.MEMORY_AND_DISK)
+def _fit(vectors: DataFrame, ys: DataFrame, members: DataFrame, mfs, cfg: RunConfig, seed: int, path: str):
+    """Forests of one split on its training rows, applied to its held-out rows: [(mf, predictions)]. The
+    split's vectors are stored at ``path``, which the caller drops."""
+    rows = FE.stored_vectors(vectors.join(members, "report_id").join(ys, "report_id"), path)
     models = RF.fit_many([RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins) for mf in mfs],
-                         rows.where(~F.col("held")), n_classes(cfg))
+                         fixed_layout(rows.where(~F.col("held"))), n_classes(cfg))
     held = rows.where("held")
-    return [(mf, RF.predict(m, held).select("report_id", "y", "y_pred", "score")) for mf, m in zip(mfs, models)], rows
+    return [(mf, RF.predict(m, held).select("report_id", "y", "y_pred", "score")) for mf, m in zip(mfs, models)]
 
 
-def _f1_by_mf(fits, cfg: RunConfig) -> dict:
-    """Validation F1 of every fit of one split in a single aggregate job."""
-    u = None
-    for mf, p in fits:
-        x = p.select(F.lit(float(mf)).alias("mf"), F.col("y").alias("y_true"), "y_pred")
-        u = x if u is None else u.unionByName(x)
-    score = MT.binary_metrics if cfg.binary else MT.weighted_metrics
-    return {float(r["mf"]): float(r["f1"]) for r in score(u, ["mf"]).collect()}
+_TYPES = {"n_gram": "int", "pvs": "double", "size": "int", "mf": "double"}
+VALIDATION = "realization int, outer_fold int, inner_fold int, seq int, report_id long, y_true int, y_pred int"
 
 
 def nested_cv(spark: SparkSession, folds: DataFrame, ys: DataFrame, grid: list[tuple], params: Sequence[str],
-              cfg: RunConfig, embedding: str, inner_vectors, outer_vectors) -> RunResult:
+              cfg: RunConfig, embedding: str, inner_vectors, outer_vectors, run: RunFolder) -> RunResult:
     """M5-M12 for any features. ``grid``: (feature settings..., mf) in loop order;
     ``inner_vectors(parents)`` and ``outer_vectors(best)`` give functions from a split
-    to its (report_id, features)."""
-    inner = task_rows(SP.inner_folds(folds, cfg.outer_folds, cfg.inner_folds), cfg).select(
-        "realization", "outer_fold", "report_id", "inner_fold", "inner_pure")
-    inner = _stored(inner, "inner-folds", ["realization", "outer_fold"])
-    outer = _stored(task_rows(folds, cfg).select("realization", "report_id", "test_fold", "pure"),
-                    "outer-folds", ["realization"])
+    to its (report_id, features). Fits that ``run`` holds are not done again."""
+    inner = run.once("inner-folds", lambda: task_rows(SP.inner_folds(folds, cfg.outer_folds, cfg.inner_folds), cfg).select(
+        "realization", "outer_fold", "report_id", "inner_fold", "inner_pure"), ["realization", "outer_fold"])
+    outer = run.once("outer-folds", lambda: task_rows(folds, cfg).select("realization", "report_id", "test_fold", "pure"),
+                     ["realization"])
     seqs = {combo: i for i, combo in enumerate(grid)}
     features = list(dict.fromkeys(c[:-1] for c in grid))
+    schema = ("realization int, outer_fold int, inner_fold int, seq int, "
+              + ", ".join(f"{p} {_TYPES[p]}" for p in params) + ", f1 double")
     parents = sorted((r["realization"], r["outer_fold"]) for r in inner.select("realization", "outer_fold").distinct().collect())
-    vectors_of = inner_vectors(inner, [(r, o, v, *f) for r, o in parents for v in range(cfg.inner_folds) for f in features])
+    fits = [(r, o, v, *f) for r, o in parents for v in range(cfg.inner_folds) for f in features]
+    done = run.finished(schema, ["realization", "outer_fold", "inner_fold", *params[:-1]])
+    absent = [f for f in fits if f not in done]
+    vectors_of = inner_vectors(inner, fits) if absent else None
+    score = MT.binary_metrics if cfg.binary else MT.weighted_metrics
 
-    def task(r, o, v, f):
-        def run():
+    def task(r, o, v, *f):
+        def do():
             where = (F.col("realization") == r) & (F.col("outer_fold") == o)
             members = _held(inner, where, "inner_fold", "inner_pure", v)
             mfs = [c[-1] for c in grid if c[:-1] == f]
-            fits, cached = _fit(vectors_of((r, o, v, *f), members), ys, members, mfs, cfg, seed=r)
-            f1 = _f1_by_mf(fits, cfg)
-            cached.unpersist()
-            return [(r, o, v, seqs[(*f, mf)], *f, float(mf), f1.get(float(mf), 0.0)) for mf in mfs]
-        return run
-
-    rows = [x for rs in RF.run_parallel([task(r, o, v, f) for r, o in parents for v in range(cfg.inner_folds)
-                                         for f in features], cfg.concurrent_fits) for x in rs]
-    types = {"n_gram": "int", "pvs": "double", "size": "int", "mf": "double"}
-    val_scores = spark.createDataFrame(rows, "realization int, outer_fold int, inner_fold int, seq int, "
-                                       + ", ".join(f"{p} {types[p]}" for p in params) + ", f1 double")
-    values = spark.createDataFrame([tuple(c) for c in grid], ", ".join(f"{p} {types[p]}" for p in params))
+            name = "vectors-" + run._fit_name((r, o, v, *f))
+            found = None
+            for mf, p in _fit(vectors_of((r, o, v, *f), members), ys, members, mfs, cfg, r, run.work(name)):
+                x = p.select(F.lit(r).alias("realization"), F.lit(o).alias("outer_fold"), F.lit(v).alias("inner_fold"),
+                             F.lit(seqs[(*f, mf)]).alias("seq"), "report_id", F.col("y").cast("int").alias("y_true"), "y_pred")
+                found = x if found is None else found.unionByName(x)
+            found = cut_lineage(found)
+            f1 = {x["seq"]: x["f1"] for x in score(found, ["seq"]).collect()}
+            rows = [(r, o, v, seqs[(*f, mf)], *f, float(mf), float(f1.get(seqs[(*f, mf)], 0.0))) for mf in mfs]
+            run.commit_scores((r, o, v, *f), spark.createDataFrame(rows, schema), found)
+            run.drop(name)
+        return do
+
+    RF.run_parallel([task(*f) for f in absent], cfg.concurrent_fits)
+    val_scores = run.scores(schema)
+    values = spark.createDataFrame([tuple(c) for c in grid], ", ".join(f"{p} {_TYPES[p]}" for p in params))
     best_inner = TU.best_per_inner_fold(val_scores, ["realization", "outer_fold", "inner_fold"], list(params))
     best_outer = cut_lineage(TU.best_per_outer_fold(best_inner, ["realization", "outer_fold"], "inner_fold", list(params)))
     L.require_on_grid(best_outer, values, list(params))
-    chosen = [(r["realization"], r["outer_fold"], *(r[p] for p in params)) for r in best_outer.collect()]
-    vectors_of = outer_vectors(outer, [c[:-1] for c in chosen])
-    out = scratch_path(spark, "predictions")
+    chosen = sorted(((r["realization"], r["outer_fold"], *(r[p] for p in params)) for r in best_outer.collect()),
+                    key=lambda c: c[:2])
+    absent = [c for c in chosen if not run.has_predictions(embedding, cfg.run_date, c[0], c[1])]
+    vectors_of = outer_vectors(outer, [c[:-1] for c in chosen]) if absent else None
 
     def otask(r, o, *combo):
-        def run():
+        def do():
             members = _held(outer, F.col("realization") == r, "test_fold", "pure", o)
-            ((_, p),), cached = _fit(vectors_of((r, o, *combo[:-1]), members), ys, members, [combo[-1]], cfg, seed=r)
-            K.write_run_results(p.select(
+            name = f"vectors-outer-{r}-{o}"
+            ((_, p),) = _fit(vectors_of((r, o, *combo[:-1]), members), ys, members, [combo[-1]], cfg, r, run.work(name))
+            run.commit_predictions(p.select(
                 F.lit(embedding).alias("embedding"), F.lit(cfg.run_date).alias("run_date"), F.lit(r).alias("realization"),
-                F.lit(o).alias("outer_fold"), "report_id", F.col("y").alias("y_true"), "y_pred", "score"),
-                f"{out}/outer_fold={o}")
-            cached.unpersist()
-        return run
+                F.lit(o).alias("outer_fold"), "report_id", F.col("y").alias("y_true"), "y_pred", "score"))
+            run.drop(name)
+        return do
 
-    RF.run_parallel([otask(*c) for c in chosen], cfg.concurrent_fits)
-    pooled = R.read_curves(spark, out, embedding, cfg.run_date).select(
+    RF.run_parallel([otask(*c) for c in absent], cfg.concurrent_fits)
+    pooled = R.read_curves(spark, f"{run.root}/predictions", embedding, cfg.run_date).select(
         "embedding", "realization", "outer_fold", "report_id", "y_true", "y_pred", "score")
-    return _finish(pooled, val_scores, best_outer, params, cfg)
+    run.finish()
+    return _finish(pooled, val_scores, best_outer, params, cfg, run.validation(VALIDATION))
+
+
+def _run_folder(spark: SparkSession, reports: DataFrame, cfg: RunConfig, embedding: str, run_dir: str | None) -> RunFolder:
+    digest = digest_of(reports, ["report_id", "label", "ipp", "content"]) if run_dir else ""
+    return RunFolder(spark, f"{embedding} {digest} {cfg!r}", run_dir)
 
 
 def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(),
-              embedding: str = "tf_idf", vectors_dir: str | None = None) -> RunResult:
+              embedding: str = "tf_idf", vectors_dir: str | None = None, run_dir: str | None = None) -> RunResult:
     """Repeated nested cross-validation, TF-IDF + random forest. With
-    ``vectors_dir`` the test rows' vectors of the first realization are written (S3)."""
+    ``vectors_dir`` the test rows' vectors of the first realization are written (S3). With a
+    ``run_dir`` (a shared folder) a run that was stopped goes on where it was; the folder of
+    another run is refused."""
+    run = _run_folder(spark, reports, cfg, embedding, run_dir)
     cleaned, folds, vsize = prepare(reports, cfg)
     rows = task_rows(cleaned, cfg)
     ys = cut_lineage(rows.select("report_id", "y"))
@@ -215,7 +233,7 @@ def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfi
         ids = {s: i for i, s in enumerate(splits)}
         combos = spark.createDataFrame([(*s, i) for s, i in ids.items()], ", ".join(
             f"{c} int" for c in [*parent_cols, "fold", "n_gram"]) + ", pvs double, split_id int")
-        vocab = _stored(heldout_vocabularies(dterms, universe, parent_cols, n_folds, combos, vsize, cfg), name, ["split_id"])
+        vocab = run.once(name, lambda: heldout_vocabularies(dterms, universe, parent_cols, n_folds, combos, vsize, cfg), ["split_id"])
         sizes = split_sizes(vocab)
         return lambda split, members: split_vectors(dterms, vocab, ids[split], sizes.get(ids[split], 0), members)
 
@@ -229,17 +247,20 @@ def tfidf_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfi
         if vectors_dir is not None:
             for split in (s for s in splits if s[0] == min(x[0] for x in splits)):
                 members = _held(outer, F.col("realization") == split[0], "test_fold", "pure", split[1])
-                test = of(split, members).join(members.where("held").select("report_id"), "report_id").join(ys, "report_id")
+                test = FE.stored_vectors(of(split, members).join(members.where("held").select("report_id"), "report_id")
+                                         .join(ys, "report_id"), run.work(f"vectors-written-{split[1]}"))
                 K.write_vectors_tsv(test.withColumn("outer_fold", F.lit(split[1])), f"{vectors_dir}/fold-{split[1]}",
                                     label_col="y")
         return of
 
-    return nested_cv(spark, folds, ys, grid, PARAMS, cfg, embedding, inner_vectors, outer_vectors)
+    return nested_cv(spark, folds, ys, grid, PARAMS, cfg, embedding, inner_vectors, outer_vectors, run)
 
 
-def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(), embedding: str = "d2v") -> RunResult:
+def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(), embedding: str = "d2v",
+            run_dir: str | None = None) -> RunResult:
     """M12 with document vectors: per split and size one model trained on the split's training
-    rows, applied to its held-out rows."""
+    rows, applied to its held-out rows. ``run_dir`` as in ``tfidf_run``."""
+    run = _run_folder(spark, reports, cfg, embedding, run_dir)
     cleaned, folds, _ = prepare(reports, cfg)
     rows = task_rows(cleaned, cfg)
     ys = cut_lineage(rows.select("report_id", "y"))
@@ -253,10 +274,11 @@ def d2v_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig(
             return DV.infer(model, docs.join(members, "report_id")).select("report_id", "features")
         return of
 
-    return nested_cv(spark, folds, ys, grid, ("size", "mf"), cfg, embedding, vectors, vectors)
+    return nested_cv(spark, folds, ys, grid, ("size", "mf"), cfg, embedding, vectors, vectors, run)
 
 
-def _finish(pooled: DataFrame, val_scores: DataFrame, best_outer: DataFrame, params, cfg: RunConfig) -> RunResult:
+def _finish(pooled: DataFrame, val_scores: DataFrame, best_outer: DataFrame, params, cfg: RunConfig,
+            validation: DataFrame) -> RunResult:
     k = ["embedding", "realization"]
     if cfg.binary:
         metrics = MT.binary_metrics(pooled, k).join(CV.roc_auc(pooled, k), k).join(CV.pr_auc(pooled, k), k)
@@ -266,7 +288,7 @@ def _finish(pooled: DataFrame, val_scores: DataFrame, best_outer: DataFrame, par
     p_outer = TU.most_frequent_params(best_outer, ["realization"], "outer_fold", params)
     wide = p_outer.groupBy("realization").pivot("param", list(params)).agg(F.first("value"))
     p_real = TU.most_frequent_params(wide, [], "realization", params)
-    return RunResult(pooled, val_scores, best_outer, p_outer, p_real, metrics, MT.summarize(metrics, metrics=names))
+    return RunResult(pooled, val_scores, best_outer, p_outer, p_real, metrics, MT.summarize(metrics, metrics=names), validation)
 
 
 # ------------------------------------------------------------ runs from files
@@ -282,11 +304,12 @@ def reports_from_files(spark: SparkSession, report_paths, session_paths) -> Data
 
 
 def run_from_files(spark: SparkSession, report_paths, session_paths, out_dir: str, cfg: RunConfig = RunConfig(),
-                   embedding: str = "tf_idf") -> RunResult:
+                   embedding: str = "tf_idf", resume: bool = False) -> RunResult:
     """M12 from files to files: reads the reports and sessions, runs, writes the pooled predictions
-    and the first realization's test vectors (S3) below ``out_dir``."""
+    and the first realization's test vectors (S3) below ``out_dir``. With ``resume`` the run's folder
+    is kept below ``out_dir`` too, and a run that was stopped goes on."""
     r = tfidf_run(spark, reports_from_files(spark, report_paths, session_paths), cfg, embedding,
-                  vectors_dir=f"{out_dir}/vectors")
+                  vectors_dir=f"{out_dir}/vectors", run_dir=f"{out_dir}/run" if resume else None)
     K.write_run_results(r.predictions.withColumn("run_date", F.lit(cfg.run_date)), f"{out_dir}/predictions")
     return r
 
@@ -301,9 +324,8 @@ def curve_run(spark: SparkSession, root: str, runs: dict[str, str]) -> dict[str,
     for embedding, date in runs.items():
         one = R.read_curves(spark, root, embedding, date)
         stored = one if stored is None else stored.unionByName(one)
-    k = ["embedding", "realization"]
-    roc = CV.roc_band(CV.roc_points(stored, k))
-    return {"roc_band": roc, "pr_band": CV.pr_band(CV.pr_points(stored, k)), "no_skill": CV.no_skill(stored),
+    roc = CV.roc_band_of(stored)
+    return {"roc_band": roc, "pr_band": CV.pr_band_of(stored), "no_skill": CV.no_skill(stored),
             "compare": CV.compare_embeddings(roc, values=list(runs))}
 
 
@@ -324,39 +346,39 @@ def lime_run(spark: SparkSession, reports: DataFrame, cfg: RunConfig = RunConfig
     universe = fb.select("realization", "report_id", held_fold("test_fold", "pure"))
     combos = spark.createDataFrame([(seed, f, n_gram, pvs, f) for f in range(cfg.outer_folds)],
                                    "realization int, fold int, n_gram int, pvs double, split_id int")
-    vocab = _stored(heldout_vocabularies(dterms, universe, ["realization"], cfg.outer_folds, combos, vsize, cfg),
-                    "explain-vocabularies", ["split_id"])
+    run = RunFolder(spark, "explain")
+    vocab = run.once("vocabularies", lambda: heldout_vocabularies(
+        dterms, universe, ["realization"], cfg.outer_folds, combos, vsize, cfg), ["split_id"])
     sizes = split_sizes(vocab)
 
     def task(fold):
-        def run():
-            size = sizes.get(fold, 0)
+        def do():
             members = _held(fb, F.lit(True), "test_fold", "pure", fold)
-            data = split_vectors(dterms, vocab, fold, size, members).join(members, "report_id").join(docs, "report_id")
-            model = RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins), data.where(~F.col("held")))
+            path = run.work(f"vectors-{fold}")
+            data = FE.stored_vectors(split_vectors(dterms, vocab, fold, sizes.get(fold, 0), members)
+                                     .join(members, "report_id").join(docs, "report_id"), path)
+            model = RF.fit(RF.forest(cfg.n_trees, mf, seed, cfg.max_depth, cfg.max_bins),
+                           fixed_layout(data.where(~F.col("held")).select("report_id", "y", "features")))
             pred = RF.predict(model, data.where("held")).select("report_id", "y", "y_pred", "score", "tokens")
             pred = cut_lineage(pred.withColumn("outcome", X.outcome(F.col("y"), F.col("y_pred"))))
-            # X3 -> X4: perturb, re-vectorize, score with the same forest
-            pert = X.removal_mask(X.perturb(pred, "report_id", "tokens", num_samples, seed))
-            pert = pert.withColumn("key", F.concat_ws("/", "report_id", "sample"))
-            pterms = FE.doc_terms(pert.withColumn("ptext", F.array_join("kept", " ")), "ptext", n_gram, "key")
-            v = vocab.where(F.col("split_id") == fold)
-            m = pert.select(F.lit(fold).alias("split_id"), "key")
-            pvec = FE.sparse_vectors(FE.indexed_weights(pterms, m, v, "key"), m, max(size, 1), "key")
-            scored = RF.predict(model, pvec.join(pert.select(
-                "key", "report_id", F.when(F.col("sample") == 0, F.col("_u")).alias("words"), "present"), "key")).select(
-                "report_id", "words", "present", F.col("score").alias("proba"))
-            expl = X.explain_reports(scored, num_features).join(pred.select("report_id", "outcome"), "report_id")  # X5
+            delete(spark, path)
+            # One row per report; its samples live in the worker that explains it
+            v = PS.term_words(vocab.where(F.col("split_id") == fold), dterms)
+            rows = PS.report_rows(pred.where(F.size("tokens") > 0), v).repartition(
+                max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "report_id")
+            expl = PS.explain_rows(rows, PS.forest_arrays(spark, model), num_samples, seed, num_features)
+            expl = expl.join(pred.select("report_id", "outcome"), "report_id")
             return (pred.select(F.lit(fold).alias("outer_fold"), "report_id", F.col("y").alias("y_true"),
                                 "y_pred", "score", "outcome"),
                     cut_lineage(expl.withColumn("outer_fold", F.lit(fold))))
-        return run
+        return do
 
     out = RF.run_parallel([task(f) for f in range(cfg.outer_folds)], cfg.concurrent_fits)
     preds, expls = out[0]
     for p, e in out[1:]:
         preds, expls = preds.unionByName(p), expls.unionByName(e)
     preds = cut_lineage(preds.withColumn("embedding", F.lit("tf_idf")).withColumn("realization", F.lit(0)))
+    run.finish()
     if out_dir is not None:
         K.write_explanations(expls.withColumn("embedding", F.lit("tf_idf")), out_dir)
     return {"predictions": X.numbered_by_fold(preds, ["outcome"]), "explanations": expls,

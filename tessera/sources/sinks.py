@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 
 
 def write_vectors_tsv(df: DataFrame, out_dir: str, vector_col: str = "features",
-                      label_col: str = "label", fold_col: str = "outer_fold") -> None:
-    """S3: one tab-separated line of floats per row, plus the label files;
-    one folder per test fold (``outer_fold=k``)."""
-    v = df.select(fold_col, F.concat_ws("\t", vector_to_array(F.col(vector_col)).cast("array<string>"))
-                  .alias("value"))
+                      label_col: str = "label", fold_col: str = "outer_fold", layout: str = "dense") -> None:
+    """S3: one tab-separated line per row, plus the label files; one folder per test fold
+    (``outer_fold=k``). Layout ``dense``: all numbers of the vector, which makes a line as long as
+    the vocabulary; ``sparse``: ``index:value`` of the non-zero ones."""
+    if layout == "dense":
+        fields = vector_to_array(F.col(vector_col)).cast("array<string>")
+    elif layout == "sparse":
+        v = F.unwrap_udt(F.col(vector_col))
+        fields = F.zip_with(v["indices"], v["values"], lambda i, x: F.concat(i.cast("string"), F.lit(":"), x.cast("string")))
+    else:
+        raise ValueError("layout must be 'dense' or 'sparse'")
+    v = df.select(fold_col, F.concat_ws("\t", fields).alias("value"))
     v.write.mode("overwrite").partitionBy(fold_col).text(f"{out_dir}/vectors")
     lab = df.select(fold_col, F.col(label_col).cast("string").alias("value"))
     lab.write.mode("overwrite").partitionBy(fold_col).text(f"{out_dir}/labels")
@@ -20,14 +27,19 @@ def write_vectors_tsv(df: DataFrame, out_dir: str, vector_col: str = "features",
 
 def write_run_results(df: DataFrame, root: str,
                       partition_cols=("embedding", "run_date", "realization")) -> None:
-    """Predictions / curve points partitioned so S5 prunes folders.
+    """Predictions / curve points partitioned so S5 prunes folders. The folders that ``df`` has
+    rows for are replaced, all others stay: writing a run again leaves one set of rows.
     Each task sorts its rows by the folder keys and writes its own files: no
     shuffle, and a folder value holding a third of the rows is still written
     by many tasks, not one."""
-    (df.sortWithinPartitions(*partition_cols).write.mode("append")
-       .partitionBy(*partition_cols).parquet(root))
+    _replace(df.sortWithinPartitions(*partition_cols), root, partition_cols)
+
 
+def write_explanations(df: DataFrame, root: str, partition_cols=("outcome", "embedding")) -> None:
+    """Explanations grouped in folders by outcome and embedding, replaced as in S4."""
+    _replace(df, root, partition_cols)
 
-def write_explanations(df: DataFrame, root: str) -> None:
-    """Explanations grouped in folders by outcome and embedding."""
-    df.write.mode("append").partitionBy("outcome", "embedding").parquet(root)
+
+def _replace(df: DataFrame, root: str, partition_cols) -> None:
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*partition_cols).parquet(root))
