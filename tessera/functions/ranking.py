@@ -20,10 +20,12 @@ from ..session import cut_lineage
 
 
 def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column,
-                 values: Sequence[str], bucket_desc: bool = False, suffix: str = "_cum") -> DataFrame:
+                 values: Sequence[str], bucket_desc: bool = False, suffix: str = "_cum",
+                 few_pieces: bool = False) -> DataFrame:
     """Adds ``<value><suffix>``: the sum of ``value`` over the rows of the
     group up to and including this row in ``order``. ``bucket`` must grow
-    with ``order`` (or shrink, with ``bucket_desc``)."""
+    with ``order`` (or shrink, with ``bucket_desc``). ``few_pieces``: groups and
+    buckets are bounded in number, so their offsets are broadcast."""
     g = list(group)
     x = df.withColumn("_bk", bucket)
     tot = x.groupBy(*g, "_bk").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
@@ -32,7 +34,7 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], b
     for v in values:
         tot = tot.withColumn(f"_o_{v}", F.sum(f"_t_{v}").over(wb) - F.col(f"_t_{v}")).drop(f"_t_{v}")
     wi = Window.partitionBy(*g, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = x.join(tot, g + ["_bk"])
+    out = x.join(F.broadcast(tot) if few_pieces else tot, g + ["_bk"])
     for v in values:
         out = out.withColumn(f"{v}{suffix}", F.col(f"_o_{v}") + F.sum(v).over(wi)).drop(f"_o_{v}")
     return out.drop("_bk")

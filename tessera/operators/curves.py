@@ -37,9 +37,10 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str = "score",
     per = s.groupBy(*keys).agg(
         F.percentile_approx(F.col("score").cast("double"), [i / PIECES for i in range(1, PIECES)], 1000).alias("_q"),
         F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
-    c = s.join(per, keys).withColumn("_one", F.lit(1))
+    # one row per curve (a run has embeddings x realizations of them), then PIECES per curve
+    c = s.join(F.broadcast(per), keys).withColumn("_one", F.lit(1))
     piece = F.size(F.filter("_q", lambda q: q > F.col("score").cast("double")))
-    c = running_sums(c, keys, [F.col("score").desc()], piece, ["p", "n", "_one"])
+    c = running_sums(c, keys, [F.col("score").desc()], piece, ["p", "n", "_one"], few_pieces=True)
     return c.drop("_q", "_one").withColumnsRenamed({"p_cum": "tp", "n_cum": "fp", "_one_cum": "k"})
 
 
@@ -150,13 +151,58 @@ def interpolate(points: DataFrame, keys: Sequence[str], x: str, y: str, seq: str
     return e.where(inside).select(*keys, "i", "gx", gy.alias("gy"))
 
 
+def _segments_on_grid(counts: DataFrame, keys: Sequence[str], x0, y0, x1, y1) -> DataFrame:
+    """(keys, i, gx, gy) of curves whose rows are their own segments: a score's row holds the point
+    before it (its totals less its own counts) and the point after it. Nothing has to look at a
+    neighbour, so the running totals are the only scan. The first segment begins at x = 0; points in
+    line with their neighbours make no difference to the line."""
+    last = CURVE_GRID - 1
+    s = counts.select(*keys, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
+                      ((F.col("tp") == F.col("n_pos")) & (F.col("fp") == F.col("n_neg"))).alias("_end"))
+    near = lambda v, d: F.least(F.greatest(F.floor(v * last).cast("int") + d, F.lit(0)), F.lit(last))
+    lo, hi = near(F.col("x0"), -1), F.when(F.col("_end"), F.lit(last)).otherwise(near(F.col("x1"), 2))
+    e = (s.where((F.col("x1") > F.col("x0")) | F.col("_end"))
+          .select("*", F.explode(F.sequence(lo, hi)).alias("i")).withColumn("gx", _grid_x(F.col("i"))))
+    g, rising = F.col("gx"), (F.col("gx") >= F.col("x0")) & (F.col("gx") < F.col("x1"))
+    gy = F.when(rising, F.col("y0") + (F.col("y1") - F.col("y0")) * (g - F.col("x0")) / (F.col("x1") - F.col("x0"))) \
+          .otherwise(F.col("y1"))
+    return e.where(rising | (F.col("_end") & (g >= F.col("x1")))).select(*keys, "i", "gx", gy.alias("gy"))
+
+
+def roc_band_of(df: DataFrame, keys: Sequence[str] = ("embedding",), member: str = "realization",
+                score: str = "score", y_true: str = "y_true") -> DataFrame:
+    """G9 from predictions: ``roc_band`` of their curves without building the points."""
+    ks = [*keys, member]
+    part = lambda a, b: F.try_divide(a.cast("double"), F.col(b))
+    c = score_counts(df, ks, score, y_true)
+    it = _segments_on_grid(c, ks, part(F.col("fp") - F.col("n"), "n_neg"), part(F.col("tp") - F.col("p"), "n_pos"),
+                           part(F.col("fp"), "n_neg"), part(F.col("tp"), "n_pos"))
+    return _averaged(it, keys, 0.0, 1.0)
+
+
+def pr_band_of(df: DataFrame, keys: Sequence[str] = ("embedding",), member: str = "realization",
+               score: str = "score", y_true: str = "y_true") -> DataFrame:
+    """G10 from predictions: ``pr_band`` of their curves without building the points."""
+    ks = [*keys, member]
+    c = score_counts(df, ks, score, y_true)
+    tp0, fp0 = F.col("tp") - F.col("p"), F.col("fp") - F.col("n")
+    it = _segments_on_grid(c, ks, F.try_divide(tp0.cast("double"), F.col("n_pos")),
+                           F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(F.try_divide(tp0.cast("double"), tp0 + fp0)),
+                           F.try_divide(F.col("tp").cast("double"), F.col("n_pos")),
+                           F.col("tp").cast("double") / (F.col("tp") + F.col("fp")))
+    return _averaged(it, keys, 1.0, None)
+
+
 def band(points: DataFrame, keys: Sequence[str], member: str, x: str, y: str,
          first_value: float | None, last_mean: float | None) -> DataFrame:
     """Per (keys, grid point) mean, population std and the band
     clipped to [0, 1]. ``first_value`` forces every curve's first grid value;
     ``last_mean`` forces the mean (not the std) at the last grid point."""
+    return _averaged(interpolate(points, [*keys, member], x, y), keys, first_value, last_mean)
+
+
+def _averaged(it: DataFrame, keys: Sequence[str], first_value: float | None, last_mean: float | None) -> DataFrame:
     keys = list(keys)
-    it = interpolate(points, keys + [member], x, y)
     if first_value is not None:
         it = it.withColumn("gy", F.when(F.col("i") == 0, F.lit(float(first_value))).otherwise(F.col("gy")))
     b = it.groupBy(*keys, "i").agg(F.first("gx").alias("x"), F.avg("gy").alias("mean"),

@@ -169,7 +169,7 @@ def g8_metric_summary(spark, sf_dir):
                            "CASE WHEN votes * 2 > 51 THEN 1 ELSE 0 END AS y_pred FROM pred)",
                            *SQL_ROC_PTS, *_interp_sql("roc", "fpr", "tpr", "0.0", "1.0")) + BAND_SELECT)
 def g9_roc_band(spark, sf_dir):
-    return CV.roc_band(CV.roc_points(scored(spark, sf_dir), K))
+    return CV.roc_band_of(scored(spark, sf_dir))
 
 
 @register("g10_pr_band", W(FX.SQL_PRED,
@@ -177,7 +177,7 @@ def g9_roc_band(spark, sf_dir):
                            "CASE WHEN votes * 2 > 51 THEN 1 ELSE 0 END AS y_pred FROM pred)",
                            *SQL_PR_PTS, *_interp_sql("pr", "recall", "precision", "1.0", None)) + BAND_SELECT)
 def g10_pr_band(spark, sf_dir):
-    return CV.pr_band(CV.pr_points(scored(spark, sf_dir), K))
+    return CV.pr_band_of(scored(spark, sf_dir))
 
 
 @register("g11_area_summary", _g8_sql("SELECT embedding, auc_mean, auc_std, aupr_mean, aupr_std FROM summary"))

@@ -96,3 +96,16 @@ def test_a_third_class_is_refused(spark):
     df = spark.createDataFrame([(0, 0, 0), (0, 2, 1)], "g int, y_true int, y_pred int")
     with pytest.raises(Exception, match="2 x 2"):
         MT.binary_metrics(df, ["g"]).collect()
+
+
+def test_bands_from_predictions_equal_those_of_the_points(spark):
+    rng = np.random.default_rng(6)
+    rows = [(e, r, float(a), int(rng.random() < .2 + .05 * a)) for e in "ab" for r in range(3) for a in rng.integers(0, 12, 90)]
+    rows += [("a", 3, float(i), int(i > 4)) for i in range(9)] + [("b", 3, 0.5, i % 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "embedding string, realization int, score double, y_true int")
+    k = ["embedding", "realization"]
+    for of, want in ((CV.roc_band_of(df), CV.roc_band(CV.roc_points(df, k))), (CV.pr_band_of(df), CV.pr_band(CV.pr_points(df, k)))):
+        a, b = (x.toPandas().sort_values(["embedding", "i"]) for x in (of, want))
+        assert len(a) == len(b) == 200 and np.allclose(a[["x", "mean", "std", "upper", "lower"]], b[["x", "mean", "std", "upper", "lower"]])
+    plan = CV.roc_band_of(df)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count(" Exchange ") <= 10
