@@ -118,6 +118,14 @@ def inner_folds(folds: DataFrame, k_outer: int, k_inner: int, label_col: str = "
     return cut_lineage(out) if materialize else out
 
 
+def stacked_training(roles: DataFrame) -> DataFrame:
+    """F8: every split's training rows as the base rows with the moved rows below them; ``moved`` tells
+    them apart. ``roles``: ``outer_roles`` rows."""
+    base = roles.where(F.col("test_fold") != F.col("outer_fold")).withColumn("moved", F.lit(False))
+    moved = roles.where((F.col("test_fold") == F.col("outer_fold")) & ~F.col("pure")).withColumn("moved", F.lit(True))
+    return base.unionByName(moved)
+
+
 def inner_roles(inner: DataFrame, k_inner: int) -> DataFrame:
     """Inner level: role 'val' iff inner_fold = v and inner_pure, else 'train'."""
     x = inner.withColumn("val_fold", F.explode(F.sequence(F.lit(0), F.lit(k_inner - 1))))

@@ -117,6 +117,14 @@ def f8_row_stacking(spark, sf_dir):
         c(F.col("role") == "train").alias("n_train"), c(F.col("role") == "test").alias("n_test"))
 
 
+@register("f8_stacked_rows", W(*fold_ctes()) +
+          "SELECT realization, outer_fold, report_id, label, test_fold = outer_fold AS moved FROM ro WHERE role = 'train'")
+def f8_stacked_rows(spark, sf_dir):
+    """The training rows of every split, stacked."""
+    ro = SP.outer_roles(outer(spark, sf_dir), K)
+    return SP.stacked_training(ro).select("realization", "outer_fold", "report_id", "label", "moved")
+
+
 @register("p7_gather_rows", W(*fold_ctes()) + """
 SELECT ro.realization, ro.outer_fold, ro.role, ro.report_id,
        CAST(CASE WHEN ro.label = 2 THEN 1 ELSE ro.label END AS INT) AS y, md5(r.content) AS content_md5

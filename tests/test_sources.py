@@ -67,3 +67,25 @@ def test_building_a_query_runs_no_job_but_file_schemas(spark, name):
     built = len(sc.statusTracker().getJobIdsForGroup(f"build {name}"))
     sc.setJobGroup("", "")
     assert built <= 6 * per_table
+
+
+def test_one_csv_file_is_many_tasks(spark, tmp_path):
+    import csv
+    import random
+    rng = random.Random(8)
+    signs = ["a", "é", '"', '""', "\n", "\r\n", ",", " ", "\n\n", "x,y", "long word " * 5]
+    rows = [("".join(rng.choices(signs, k=rng.randint(1, 30))) + "z", str(i) if i % 5 else None) for i in range(400)]
+    with open(tmp_path / "sessions.csv", "w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n", quoting=csv.QUOTE_MINIMAL)
+        out.writerow(["report", "ipp"])
+        out.writerows((t, "" if i is None else i) for t, i in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("700b", "5000b", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = R.read_sessions(spark, str(tmp_path / "sessions.csv"))
+            got = sorted(((r.report, r.ipp) for r in df.collect()), key=repr)
+            n = spark.read.text(str(tmp_path / "sessions.csv")).rdd.getNumPartitions()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == sorted(rows, key=repr) and (size == before or n > 5)
