@@ -8,9 +8,11 @@ whatever stands before them. The distinct chunks of a language with the number o
 occurrences are the dictionary of the parse: the only table that grows with the text.
 
 Count: every distinct chunk is read once and its phrases weigh as much as the chunk
-occurs. A chunk owns the phrases that begin before its overlap (``own`` places), which
-assigns phrases in overlaps once. Blocks of words are counted by sorting number keys;
-what is shuffled is one row per phrase and block.
+occurs. The places of a chunk's overlap belong to the next chunk, which assigns phrases
+in overlaps once. Blocks of words are counted by sorting number keys. What is shuffled is
+one row per block and phrase of up to ``max_words - 1`` words; the longest phrases
+travel as the counted last words of their first part, and are only laid out where that
+part is frequent enough to have frequent phrases at all.
 
 Score: phrases of ``min_count`` or more get the counts of their parts by a join. Parts
 that hold at least one of ``HEAVY`` shares of all words are at most ``HEAVY`` for each
@@ -24,6 +26,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +38,30 @@ from ..functions.ranking import top_k_per_group
 from .common import cut_lineage, map_partitions, ship_by_value, text_of
 
 #: Words of a chunk on average, and at most (runs without a trigger are cut there).
-PERIOD, LONGEST = 12, 1024
+PERIOD, LONGEST = 24, 1024
 #: Bytes of text parsed at a time, and words of chunks counted at a time.
 SLICE, BLOCK = 1 << 20, 1 << 21
 #: Bytes of words a task keeps numbered.
 HELD = 32 << 20
 HEAVY = 1000
+#: Next words of a phrase that a task counts before it gives them out.
+MANY = 1 << 20
 UNKNOWN = "und"
 
+#: After a chunk that is followed by another in its piece; between chunks laid end to end. No word holds
+#: the characters that end pieces, so these cannot be words.
+MORE, _NEXT, _TAB = b" .", b",", b"\t"
 # FIXED VALUES: where pieces end; a tab parts words as a blank does.
 _END, _ENDS = b".", b",;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_ENDS + b"\t", _END * len(_ENDS) + b" ")
 
 
 class Numbers(dict):
-    """Numbers of words in order of appearance, with a hash of each; 0 is the end of a piece."""
+    """Numbers of words in order of appearance, with a hash of each; the ``marks`` come first."""
 
-    def __init__(self):
+    def __init__(self, *marks: bytes):
         super().__init__()
+        self.marks = marks
         self.clear_all()
 
     def __missing__(self, word: bytes) -> int:
@@ -64,7 +73,11 @@ class Numbers(dict):
     def clear_all(self) -> None:
         self.clear()
         self.hashes, self.size = array("I"), 0
-        self[_END]
+        for mark in self.marks:
+            self[mark]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), "i8", len(words))
 
 
 def _slices(text: bytes) -> Iterator[bytes]:
@@ -95,134 +108,272 @@ def chunk_starts(ids: np.ndarray, hashes: np.ndarray, window: int, period: int)
     return np.flatnonzero(first)
 
 
-def parse(text: bytes, numbers: Numbers, window: int, period: int = PERIOD) -> Iterator[tuple[int, bytes]]:
-    """(own, chunk) of every chunk of a text whose pieces end at ``_END``, in order."""
+def parse(text: bytes, numbers: Numbers, window: int, period: int = PERIOD) -> Iterator[list[bytes]]:
+    """The chunks of a text whose pieces end at ``_END``, in order. A chunk that is followed by
+    another in its piece ends with the window they share and with ``MORE``."""
     kept: list[bytes] = []           # the chunk that goes on in the next slice
     parts = list(_slices(text))
     for i, part in enumerate(parts):
         if numbers.size > HELD:
             numbers.clear_all()
         words = kept + part.replace(_END, b" . ").split()
-        ids = np.fromiter(map(numbers.__getitem__, words), "i8", len(words))
+        ids = numbers.of(words)
         starts = chunk_starts(ids, np.frombuffer(numbers.hashes, "u4").copy(), window, period)
         ends = np.append(np.flatnonzero(ids == 0), len(ids))
-        piece_end = ends[np.searchsorted(ends, starts)].tolist()
-        starts = starts.tolist()
+        piece_end = ends[np.searchsorted(ends, starts)]
+        to = np.minimum(np.append(starts[1:], len(words)), piece_end)
         # the last chunk is open while its piece goes on in the next slice
-        is_open = bool(starts) and i + 1 < len(parts) and piece_end[-1] == len(words)
-        for s, e, nxt in zip(starts, piece_end, starts[1:] + [len(words) + 1]):
-            to = min(nxt, e)
-            if is_open and s == starts[-1]:
-                # whole cuts go out, if the words of their overlap are there
-                to = s + max(0, len(words) - s - window) // LONGEST * LONGEST
-                kept = words[to:]
-            while to - s > LONGEST:
-                yield LONGEST, b" ".join(words[s:min(s + LONGEST + window, e)])
-                s += LONGEST
-            if to > s:
-                yield to - s, b" ".join(words[s:min(to + window, e)])
-        if not is_open:
-            kept = []
+        kept = []
+        if len(starts) and i + 1 < len(parts) and piece_end[-1] == len(words):
+            s = int(starts[-1])
+            # of an open chunk whole lengths go out, if the words of their overlap are there
+            cut = s + max(0, len(words) - s - window) // LONGEST * LONGEST
+            kept, to[-1] = words[cut:], cut
+        if len(starts) and int((to - starts).max()) > LONGEST:
+            starts, to, piece_end = _cut_long(starts, to, piece_end, window)
+        more = (to < piece_end).tolist()
+        yield [b" ".join(words[s:e + window]) + MORE if m else b" ".join(words[s:e])
+               for s, e, m in zip(starts.tolist(), to.tolist(), more) if e > s]
+
+
+def _cut_long(starts: np.ndarray, to: np.ndarray, piece_end: np.ndarray, window: int):
+    """Chunks longer than ``LONGEST`` are cut there, as long as a whole overlap follows."""
+    out: list[tuple[int, int, int]] = []
+    for s, t, e in zip(starts.tolist(), to.tolist(), piece_end.tolist()):
+        while t - s > LONGEST and s + LONGEST + window <= e:
+            out.append((s, s + LONGEST, e))
+            s += LONGEST
+        out.append((s, t, e))
+    return tuple(np.array(x, "i8") for x in zip(*out))
 
 
 def dictionary(docs: DataFrame, max_words: int = 3, period: int = PERIOD, lang_col: str = "lang",
                text_col: str = "text") -> DataFrame:
-    """(lang, own, chunk, n): the distinct chunks of the parse and how often each occurs."""
+    """(chunk, n): the distinct chunks of the parse and how often each occurs. The language stands before
+    the chunk and a tab (no word holds one): a column less in every row that is shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
+        numbers = Numbers(_END)
         for batch in batches:
-            found: Counter = Counter()
-            held = 0
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for own, chunk in parse(text.translate(_TABLE).lower(), numbers, max_words - 1, period):
-                    found[lang, own, chunk] += 1
-                    held += len(chunk)
-                    if held > 8 * SLICE:
-                        yield rows(found)
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+            for lang in dict.fromkeys(langs):
+                found: Counter = Counter()
+                held = 0
+                # texts of a language are parsed end to end, as pieces of one
+                whole = _END.join(t for t, x in zip(texts, langs) if x == lang)
+                for chunks in parse(whole.translate(_TABLE).lower(), numbers, max_words - 1, period):
+                    found.update(chunks)
+                    held += SLICE
+                    if held >= 16 * SLICE:
+                        yield rows(lang, found)
                         found, held = Counter(), 0
-            if found:
-                yield rows(found)
+                if found:
+                    yield rows(lang, found)
 
-    def rows(found: Counter) -> pa.RecordBatch:
-        langs, owns, chunks = zip(*found)
+    def rows(lang: str, found: Counter) -> pa.RecordBatch:
+        head = lang.encode() + _TAB
         return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(owns, pa.int32()), pa.array(chunks, pa.binary()),
-             pa.array(list(found.values()), pa.int64())], ["lang", "own", "chunk", "n"])
+            [pa.array([head + c for c in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["chunk", "n"])
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"),
                         text_of(text_col).cast("binary").alias("text"))
-    parsed = map_partitions(texts, run, "lang string, own int, chunk binary, n long")
-    return parsed.groupBy("lang", "own", "chunk").agg(F.sum("n").alias("n"))
-
-
-def _gram_counts(words: list[bytes], own_to: np.ndarray, ends: np.ndarray, weight: np.ndarray,
-                 max_words: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, phrases, counts) of a block of chunks laid end to end. ``own_to`` and ``ends``: for
-    every place, where its chunk's own places and its words end; ``weight``: how often it occurs."""
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), "i8", len(words))
-    forms = pa.array(list(numbers), pa.binary())
-    place = np.flatnonzero(np.arange(len(ids)) < own_to)
-    key, total = ids[place], len(numbers)
-    for k in range(1, max_words + 1):
-        if k > 1:
-            # the prefix counts as its rank, so that keys of any length stay below 2**63
-            fits = place + k <= ends[place]
-            place, key = place[fits], rank[fits]
-            key = key * total + ids[place + k - 1]
-        if not len(place):
-            return
-        order = np.argsort(key, kind="stable")
-        is_head = np.diff(key[order], prepend=-1) != 0
-        rank = np.empty(len(key), "i8")
-        rank[order] = np.cumsum(is_head) - 1
-        heads = np.flatnonzero(is_head)
-        counts = np.add.reduceat(weight[place[order]], heads)
-        at = place[order[heads]]
-        cols = [forms.take(pa.array(ids[at + j])) for j in range(k)]
-        yield k, cols[0] if k == 1 else pc.binary_join_element_wise(*cols, b" "), counts
-
-
-def phrase_counts(chunks: DataFrame, max_words: int = 3) -> DataFrame:
-    """(lang, words, phrase, f) of all phrases of 1 to ``max_words`` words, and one row of 0 words
-    per language with the number of all word occurrences."""
+    return map_partitions(texts, run, "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+
+
+class Block:
+    """Chunks laid end to end: word numbers, where each place's chunk and its own places end, and how
+    often it occurs."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.numbers = Numbers(_NEXT, MORE.strip())
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.words = 0
+
+    def add(self, chunks: list[bytes], times: list[int]) -> None:
+        ids = self.numbers.of((b" , ".join(chunks) + b" ,").split())
+        sep = np.flatnonzero(ids == 0)
+        more = ids[sep - 1] == 1
+        begin, end = np.append(0, sep[:-1] + 1), sep - more
+        size = end - begin
+        keep = ids > 1
+        first = self.words + np.cumsum(size) - size
+        self.parts.append((ids[keep], np.repeat(first + size, size), np.repeat(first + size - more * self.window, size),
+                           np.repeat(np.array(times, "i8"), size)))
+        self.words += int(size.sum())
+
+    def counts(self, max_words: int) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array | None]]:
+        """(phrases, counts, tails) for phrases of 1 to ``max_words - 1`` words; the tails of the longest
+        of them are their next words, ``word`` or ``word:count``, joined by commas."""
+        ids, ends, own_to, weight = (np.concatenate(x) for x in zip(*self.parts))
+        forms = pa.array(list(self.numbers), pa.binary())
+        place = np.flatnonzero(np.arange(len(ids)) < own_to)
+        key, total, last = ids[place], len(self.numbers), None
+        for k in range(1, max_words + 1):
+            if k > 1:
+                # the prefix counts as its rank, so that keys of any length stay below 2**63
+                fits = place + k <= ends[place]
+                place, key = place[fits], rank[fits]
+                key = key * total + ids[place + k - 1]
+            order = np.argsort(key)
+            ordered = key[order]
+            heads = np.flatnonzero(np.diff(ordered, prepend=-1)) if len(key) else np.zeros(0, "i8")
+            counts = np.add.reduceat(weight[place[order]], heads) if len(heads) else heads
+            if k == max_words:
+                # distinct (prefix, last word) in order of the prefix
+                prefix = ordered[heads] // total
+                word = forms.take(pa.array(ordered[heads] % total))
+                entry = pc.if_else(pa.array(counts == 1), word, pc.binary_join_element_wise(
+                    word, pa.array(counts).cast(pa.string()).cast(pa.binary()), b":"))
+                at = np.searchsorted(prefix, np.arange(len(last[1]) + 1)).astype("i4")
+                yield *last, pc.binary_join(pa.ListArray.from_arrays(pa.array(at), entry), b",")
+                return
+            rank = np.empty(len(key), "i8")
+            rank[order] = np.cumsum(np.diff(ordered, prepend=-1) != 0) - 1
+            at = place[order[heads]]
+            cols = [forms.take(pa.array(ids[at + j])) for j in range(k)]
+            if last is not None:
+                yield *last, None
+            last = (cols[0] if k == 1 else pc.binary_join_element_wise(*cols, b" ")), counts
+
+    def occurrences(self) -> int:
+        return sum(int(t[np.arange(a, a + len(i)) < o].sum()) for (i, _, o, t), a in zip(
+            self.parts, np.cumsum([0] + [len(p[0]) for p in self.parts])))
+
+
+def phrase_counts(chunks: DataFrame, max_words: int = 3, min_count: int = 10) -> DataFrame:
+    """(lang, words, phrase, f) of all phrases of 1 to ``max_words`` words that occur ``min_count`` times
+    or more, and one row of 0 words per language with the number of all word occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        n = 0
+        held: dict[bytes, Block] = {}
         for batch in batches:
-            for lang, own, chunk, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "own", "chunk", "n"))):
-                words = chunk.split(b" ")
-                block = held.setdefault(lang, [[], [], [], []])
-                block[0] += words
-                block[1].append(own)
-                block[2].append(len(words))
-                block[3].append(times)
-                n += len(words)
-            if n >= BLOCK:
+            of: dict[bytes, tuple[list, list]] = {}
+            for chunk, n in zip(batch.column("chunk").to_pylist(), batch.column("n").to_pylist()):
+                lang, _, words = chunk.rpartition(_TAB)
+                mine = of.setdefault(lang, ([], []))
+                mine[0].append(words)
+                mine[1].append(n)
+            for lang, mine in of.items():
+                held.setdefault(lang, Block(max_words - 1)).add(*mine)
+            if sum(b.words for b in held.values()) >= BLOCK:
                 yield from flush(held)
-                held, n = {}, 0
+                held = {}
         yield from flush(held)
 
-    def flush(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        for lang, (words, owns, sizes, times) in held.items():
-            size, own, times = (np.array(x, "i8") for x in (sizes, owns, times))
-            ends = np.cumsum(size)
-            total = int((own * times).sum())
-            yield part(lang, 0, pa.array([b""], pa.binary()), np.array([total]))
-            for k, phrases, f in _gram_counts(words, np.repeat(ends - size + own, size), np.repeat(ends, size),
-                                              np.repeat(times, size), max_words):
+    def flush(held: dict[bytes, Block]) -> Iterator[pa.RecordBatch]:
+        for lang, block in held.items():
+            yield part(lang, pa.array([b""], pa.binary()), np.array([block.occurrences()]), None)
+            for phrases, f, tails in block.counts(max_words):
                 for a in range(0, len(f), 65_536):
-                    yield part(lang, k, phrases[a:a + 65_536], f[a:a + 65_536])
+                    yield part(lang, phrases[a:a + 65_536], f[a:a + 65_536], None if tails is None else tails[a:a + 65_536])
 
-    def part(lang: str, k: int, phrases: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    def part(lang: bytes, phrases: pa.Array, f: np.ndarray, tails: pa.Array | None) -> pa.RecordBatch:
+        keys = pc.binary_join_element_wise(pa.array([lang] * len(f), pa.binary()), phrases, _TAB)
         return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(f), pa.string()), pa.array(np.full(len(f), k, "i4")), phrases, pa.array(f, pa.int64())],
-            ["lang", "words", "phrase", "f"])
-
-    counted = map_partitions(chunks, run, "lang string, words int, phrase binary, f long")
-    # blocks have merged what repeats inside them, so the rows are dealt before they are added up
-    return counted.repartition("lang", "phrase").groupBy("lang", "phrase").agg(
-        F.first("words").alias("words"), F.sum("f").alias("f"))
+            [keys, pa.array(f, pa.int64()), pa.array([b""] * len(f), pa.binary()) if tails is None else tails],
+            ["phrase", "f", "tail"])
+
+    counted = map_partitions(chunks, run, "phrase binary, f long, tail binary")
+    # Blocks have merged what repeats inside them, so the rows are dealt and sorted before they are added
+    # up; sorted by a hash first, which is compared as a number and does not travel.
+    dealt = counted.repartition("phrase").sortWithinPartitions(F.xxhash64("phrase"), "phrase")
+    merged = map_partitions(dealt, lambda batches: _merged(batches, min_count), "phrase binary, last binary, f long")
+    key = F.col("phrase").cast("string")
+    text = F.substring_index(key, "\t", -1)
+    whole = F.when(F.col("last").isNull(), text).otherwise(F.concat(text, F.lit(" "), F.col("last").cast("string")))
+    lang = F.substring(key, F.lit(1), F.length(key) - F.length(text) - 1)
+    found = merged.select(lang.alias("lang"), whole.alias("phrase"), "f").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return found.select("lang", words.alias("words"), "phrase", "f").where((F.col("f") >= min_count) | (F.col("words") == 0))
+
+
+class _Group:
+    """The rows of one phrase, taken in as they come."""
+
+    def __init__(self, phrase: bytes):
+        self.phrase, self.f = phrase, 0
+        self.tails: list[bytes] = []
+        self.size, self.open = 0, False
+        self.last: Counter = Counter()
+
+    def add(self, f: int, tails: list[bytes]) -> None:
+        self.f += f
+        self.tails += tails
+        self.size += sum(map(len, tails))
+
+    def count(self) -> None:
+        for entry in b",".join(self.tails).split(b",") if self.tails else ():
+            word, _, n = entry.partition(b":")
+            self.last[word] += int(n) if n else 1
+        self.tails, self.size = [], 0
+
+
+def _merged(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by phrase to (phrase, last, f): the phrases of ``min_count`` or more, and with
+    ``last`` the next words that follow them so often. A phrase with very many next words gives some
+    of them in several rows."""
+    out: list[list] = [[], [], []]
+
+    def put(phrase, last, f):
+        for col, v in zip(out, (phrase, last, f)):
+            col.append(v)
+
+    def rows() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int64()))],
+                                          ["phrase", "last", "f"])
+        for col in out:
+            col.clear()
+        return done
+
+    def close(g: _Group) -> None:
+        if g.f >= min_count or g.phrase.endswith(_TAB):
+            put(g.phrase, None, g.f)
+            g.count()
+            for word, n in g.last.items():
+                if n >= min_count or g.open:
+                    put(g.phrase, word, n)
+
+    group: _Group | None = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        phrase, tail = (batch.column(c) for c in ("phrase", "tail"))
+        f = batch.column("f").to_numpy()
+        same = np.zeros(n, bool)
+        if n > 1:
+            same[1:] = np.asarray(pc.equal(phrase[1:], phrase[:-1]))
+        heads = np.flatnonzero(~same)
+        ends = np.append(heads[1:], n)
+        sums = np.add.reduceat(f, heads)
+        # all but the first and last group of a batch are whole; of those the rare ones are done with
+        pick = (sums >= min_count) | np.asarray(pc.ends_with(phrase.take(pa.array(heads)), _TAB))
+        pick[0] = pick[-1] = True
+        chosen = np.flatnonzero(pick)
+        inside = np.zeros(n + 1, "i8")
+        np.add.at(inside, heads[chosen], 1)
+        np.add.at(inside, ends[chosen], -1)
+        at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        tails = iter(tail.take(pa.array(at)).to_pylist())
+        first = pa.array(heads[chosen])
+        for words, size, total in zip(phrase.take(first).to_pylist(), (ends - heads)[chosen].tolist(), sums[chosen].tolist()):
+            if group is None or words != group.phrase:
+                if group is not None:
+                    close(group)
+                group = _Group(words)
+            group.add(total, [t for t in islice(tails, size) if t])
+            if group.size > SLICE:
+                group.count()
+                if len(group.last) > MANY:
+                    group.open = True
+                    for word, k in group.last.items():
+                        put(group.phrase, word, k)
+                    group.last.clear()
+        if len(out[0]) >= 65_536:
+            yield rows()
+    if group is not None:
+        close(group)
+    if out[0]:
+        yield rows()
 
 
 def _first_words(phrase: Column, k: Column) -> Column:
@@ -252,10 +403,8 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, absor
     are not read. No words: no rows. Empty table: no rows."""
     if max_words < 2:
         raise ValueError("max_words must be 2 or more")
-    counts = phrase_counts(dictionary(docs, max_words, period, lang_col, text_col), max_words)
     # every part of a candidate occurs at least as often, so rarer phrases are of no use to any
-    freq = cut_lineage(counts.where((F.col("f") >= min_count) | (F.col("words") == 0))
-                       .select("lang", "words", F.col("phrase").cast("string").alias("phrase"), "f"))
+    freq = cut_lineage(phrase_counts(dictionary(docs, max_words, period, lang_col, text_col), max_words, min_count))
     sizes = freq.where("words = 0").select("lang", F.col("f").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     heavy = freq.where((F.col("words") > 0) & (F.col("f") * HEAVY >= total))

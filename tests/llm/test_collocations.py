@@ -2,7 +2,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from tessera.llm import collocations as C
@@ -55,23 +54,31 @@ def test_parse_holds_every_phrase_once(monkeypatch):
         text = "".join(rng.choices(signs, k=rng.choice([0, 1, 5, 60, 300])))
         if rng.random() < .2:
             text = "w " * rng.randint(1, 200)
-        chunks = Counter(C.parse(text.encode().translate(C._TABLE).lower(), C.Numbers(), k - 1, rng.choice([1, 2, 4, 12])))
-        words = [w for _, c in chunks for w in c.split(b" ")]
-        size = np.array([len(c.split(b" ")) for _, c in chunks], "i8")
-        own, times = np.array([o for o, _ in chunks], "i8"), np.array(list(chunks.values()), "i8")
-        ends, got = np.cumsum(size), Counter()
-        for _, phrases, f in C._gram_counts(words, np.repeat(ends - size + own, size), np.repeat(ends, size),
-                                            np.repeat(times, size), k) if words else ():
-            got.update(dict(zip((p.decode() for p in phrases.to_pylist()), f.tolist())))
+        chunks: Counter = Counter()
+        for part in C.parse(text.encode().translate(C._TABLE).lower(), C.Numbers(C._END), k - 1, rng.choice([1, 2, 4, 12])):
+            chunks.update(part)
+        block, got = C.Block(k - 1), Counter()
+        if chunks:
+            half = len(chunks) // 2
+            for some in (list(chunks.items())[:half], list(chunks.items())[half:]):
+                if some:
+                    block.add([c for c, _ in some], [n for _, n in some])
+            for phrases, f, tails in block.counts(k):
+                got.update(dict(zip((p.decode() for p in phrases.to_pylist()), f.tolist())))
+                for p, tail in zip(phrases.to_pylist(), tails.to_pylist() if tails is not None else ()):
+                    for e in tail.decode().split(",") if tail else ():
+                        word, _, n = e.partition(":")
+                        got[f"{p.decode()} {word}"] += int(n or 1)
+            assert block.occurrences() == sum(n for p, n in got.items() if " " not in p)
         assert got == _counts(text, k), (text, k)
 
 
 def test_copies_parse_alike():
     rng = random.Random(1)
     passage = " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(400))
-    numbers = C.Numbers()
-    one = Counter(C.parse(passage.encode(), numbers, 2))
-    two = Counter(C.parse(b"another head of it " + passage.encode(), numbers, 2))
+    numbers = C.Numbers(C._END)
+    one = Counter(c for part in C.parse(passage.encode(), numbers, 2) for c in part)
+    two = Counter(c for part in C.parse(b"another head of it " + passage.encode(), numbers, 2) for c in part)
     assert sum((one & two).values()) >= len(one) - 1
 
 
@@ -86,6 +93,37 @@ def test_against_brute_force(spark, max_words, min_count, absorb, top):
     assert got == _brute(rows, max_words, min_count, absorb, top) and len(got) > 10
 
 
+def test_merging_in_small_batches(monkeypatch):
+    """Sorted rows of phrases cut into batches anywhere, with few next words held."""
+    import pyarrow as pa
+    rng = random.Random(9)
+    for _ in range(200):
+        monkeypatch.setattr(C, "SLICE", rng.choice([4, 1 << 20]))
+        monkeypatch.setattr(C, "MANY", rng.choice([1, 1 << 20]))
+        rows, want, whole = [], Counter(), Counter()
+        for _ in range(rng.randint(0, 40)):
+            phrase, f = rng.choice([b"x\t", b"x\ta", b"x\ta b", b"y\ta b", b"y\tc"]), rng.randint(1, 6)
+            tail = Counter({rng.choice("pqr"): rng.randint(1, 5) for _ in range(rng.randint(0, 3))}) if phrase.endswith(b"b") else {}
+            rows.append((phrase, f, ",".join(w if n == 1 else f"{w}:{n}" for w, n in tail.items()).encode()))
+            whole[phrase] += f
+            want.update({(phrase, w.encode()): n for w, n in tail.items()})
+        rows.sort(key=lambda r: r[0])
+        batches, at = [], 0
+        while at < len(rows):
+            to = at + rng.randint(1, 7)
+            cols = list(zip(*rows[at:to]))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.binary()))],
+                                                      ["phrase", "f", "tail"]))
+            at = to
+        got = Counter()
+        for b in C._merged(iter(batches), 10):
+            for r in b.to_pylist():
+                got[r["phrase"], r["last"]] += r["f"]
+        kept = {p: n for p, n in whole.items() if n >= 10 or p.endswith(b"\t")}
+        assert {k[0]: n for k, n in got.items() if k[1] is None} == kept
+        assert {k: n for k, n in got.items() if k[1] is not None and n >= 10} == {k: n for k, n in want.items() if n >= 10 and k[0] in kept}
+
+
 def test_edges(spark, edge_docs, edge_rows):
     assert _rows(C.collocations(edge_docs)) == _brute([(None, t) for _, t in edge_rows])
 
