@@ -225,8 +225,8 @@ def s3_vectors_sparse(spark, sf_dir):
     folds = SP.stratified_fold(rep, 5, [F.col("realization")], group_cols=["realization"], out_col="outer_fold")
     out = scratch_path(spark, "vectors-sparse")
     K.write_vectors_tsv(vec.join(folds.select("report_id", "label", "outer_fold"), "report_id"), out, layout="sparse")
-    entry = F.split(F.explode(F.filter(F.split("value", "\t"), lambda e: e != "")), ":")
-    back = spark.read.text(f"{out}/vectors").select("outer_fold", entry.alias("e"))
+    entries = F.transform(F.filter(F.split("value", "\t"), lambda e: e != ""), lambda e: F.split(e, ":"))
+    back = spark.read.text(f"{out}/vectors").select("outer_fold", F.explode(entries).alias("e"))
     return back.groupBy("outer_fold", F.col("e")[0].cast("int").alias("idx")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("e")[1].cast("double")), 6).alias("total"))
 
