@@ -84,6 +84,22 @@ def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return row[order], np.searchsorted(own[order], np.arange(len(words)))
 
 
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``gram_rows`` of many words, built for about ``CHARS`` characters at a time."""
+    rows, first, a, n, at = [], [], 0, 0, 0
+    for b in range(len(words) + 1):
+        if b == len(words) or n + len(words[b]) > CHARS and b > a:
+            if b > a:
+                r, f = gram_rows(words[a:b])
+                rows.append(r.astype(np.int32))
+                first.append(f + at)
+                at += len(r)
+            a, n = b, 0
+        if b < len(words):
+            n += len(words[b])
+    return np.concatenate([np.zeros(0, np.int32), *rows]), np.concatenate([np.zeros(0, np.int64), *first])
+
+
 @dataclass
 class Model:
     """``table``: each embedding row's share of the log odds; a word's is their mean.
@@ -181,7 +197,7 @@ def train(sample: list[tuple[str, int]], seed: int = SEED, share: float | None =
                 counts.update(part)
         word.append(np.array([number.setdefault(w, len(number)) for w in counts], np.int64))
         weight.append(np.fromiter(counts.values(), float, len(counts)) * SCALE / max(n, 1))
-    rows, first = gram_rows(list(number))
+    rows, first = grams_of(list(number))
     grams = np.diff(np.append(first, len(rows)))
     rng = np.random.default_rng(seed)
     # start: rows seen in too few documents stay zero; the others' first dimension is the squared

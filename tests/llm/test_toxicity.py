@@ -142,3 +142,17 @@ def test_a_text_of_one_long_word_stays_small():
     known = {}
     assert model.score("ab" * 10_000_000, known) == 0.5 and not known
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10
+
+
+def test_grams_built_in_pieces(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tessera.llm import toxicity as X
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdé日", k=rng.randint(1, 90))) for _ in range(200)]
+    rows, first = X.gram_rows(words)
+    monkeypatch.setattr(X, "CHARS", 64)
+    got = X.grams_of(words)
+    assert np.array_equal(got[0], rows) and np.array_equal(got[1], first) and len(X.grams_of([])[0]) == 0
