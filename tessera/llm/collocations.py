@@ -40,7 +40,7 @@ from .common import cut_lineage, map_partitions, ship_by_value, text_of
 #: Words of a chunk on average, and at most (runs without a trigger are cut there).
 PERIOD, LONGEST = 24, 1024
 #: Bytes of text parsed at a time, and words of chunks counted at a time.
-SLICE, BLOCK = 1 << 20, 1 << 21
+SLICE, BLOCK = 1 << 20, 3 << 20
 #: Bytes of words a task keeps numbered.
 HELD = 32 << 20
 HEAVY = 1000
@@ -254,9 +254,10 @@ def phrase_counts(chunks: DataFrame, max_words: int = 3, min_count: int = 10) ->
                 mine[1].append(n)
             for lang, mine in of.items():
                 held.setdefault(lang, Block(max_words - 1)).add(*mine)
-            if sum(b.words for b in held.values()) >= BLOCK:
-                yield from flush(held)
-                held = {}
+            while sum(b.words for b in held.values()) >= BLOCK:
+                # the largest block goes: small languages go on merging
+                most = max(held, key=lambda x: held[x].words)
+                yield from flush({most: held.pop(most)})
         yield from flush(held)
 
     def flush(held: dict[bytes, Block]) -> Iterator[pa.RecordBatch]:
