@@ -40,3 +40,15 @@ def test_a_term_moves_once_to_its_weight(spark):
     assert {(r.report_id, r.term) for r in w.collect()} >= {(1, "red blue"), (2, "blue green")}
     to_join = [line for line in _plan(w).splitlines() if "_key" in line and "Project" in line]
     assert to_join and not any(re.search(r"\[.*\bterm#\d+, .*AS _key", line) for line in to_join)
+
+
+def test_texts_are_cut_into_tokens_after_they_moved(spark):
+    from tessera.operators.clean import clean_reports
+    docs = spark.createDataFrame([(1, "We saw Anna. She saw Anna, anna2 and Bob"), (1, "the Anna"), (2, None), (None, "x Bob")],
+                                 "report_id long, content string")
+    cleaned = clean_reports(docs)
+    plan = _plan(cleaned)
+    assert plan.index("AS orig_tokens") < plan.index("Join")
+    assert cleaned.columns == ["report_id", "content", "orig_tokens", "tokens", "has_indication", "has_description",
+                               "clean_text", "n_orig_tokens", "n_tokens"]
+    assert cleaned.count() == 4
