@@ -91,3 +91,14 @@ def test_vectors_of_members_without_terms(spark):
     got = {r.report_id: r.features.toArray().tolist()
            for r in FE.sparse_vectors(FE.indexed_weights(terms, members, vocab), members, 2).collect()}
     assert got[2] == got[3] == [0.0, 0.0] and got[1] == pytest.approx([0.5 ** 0.5] * 2)
+
+
+def test_norm_is_summed_once_a_vector(spark):
+    """The sum of squares stands outside the lambda over the entries, also after optimisation."""
+    w = spark.createDataFrame([(1, 0, 3.0), (1, 2, 4.0)], "report_id long, idx int, weight double")
+    m = spark.createDataFrame([(1,), (2,)], "report_id long")
+    rows = FE.sparse_rows(w, m, 4)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "weight / SQRT(" not in plan and plan.count("SQRT(aggregate(") == 1
+    got = {r["report_id"]: r["features"] for r in rows.collect()}
+    assert got[1]["indices"] == [0, 2] and got[1]["values"] == [0.6, 0.8] and got[2]["values"] == []
