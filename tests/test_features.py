@@ -102,3 +102,32 @@ def test_norm_is_summed_once_a_vector(spark):
     assert "weight / SQRT(" not in plan and plan.count("SQRT(aggregate(") == 1
     got = {r["report_id"]: r["features"] for r in rows.collect()}
     assert got[1]["indices"] == [0, 2] and got[1]["values"] == [0.6, 0.8] and got[2]["values"] == []
+
+
+def test_terms_outside_the_vocabulary_stay_where_they_are(spark):
+    """No known term is lost before the join, few unknown ones pass, and split and bits matter."""
+    vocab = cut_lineage(spark.range(3000).select((F.col("id") % 2).cast("int").alias("split_id"),
+                                                 F.concat(F.lit("t"), "id").alias("term"), F.lit(1.5).alias("idf")))
+    rows = spark.range(40000).select((F.col("id") % 2).cast("int").alias("split_id"), F.col("id").alias("report_id"),
+                                     F.concat(F.lit("t"), "id").alias("term"))
+    left = FE.maybe_known(rows, vocab, 3000)
+    assert left.columns == rows.columns
+    ids = {r["report_id"] for r in left.collect()}
+    assert set(range(3000)) <= ids and len(ids) < 3000 + 37000 // 8
+    swapped = FE.maybe_known(rows.withColumn("split_id", 1 - F.col("split_id")), vocab, 3000)
+    assert swapped.count() < 40000 // 8
+    assert FE.maybe_known(rows, vocab, FE.FILTER_BITS) is rows
+    assert FE.maybe_known(rows, vocab.limit(0), 0).count() == 0
+
+
+def test_weights_move_known_terms_only(spark):
+    terms = spark.createDataFrame([(i, t, 1, 1 + i % 2) for i in range(40) for t in ("all", f"own{i}", f"pair{i // 2}")],
+                                  "report_id long, term string, n int, tf long")
+    members = terms.select(F.lit(0).alias("split_id"), "report_id").distinct()
+    vocab = cut_lineage(FE.vocabulary(terms, members, max_df=1.0))
+    found = {(r["report_id"], r["term"]): r["tfidf"] for r in FE.tfidf_weights(terms, members, vocab).collect()}
+    assert set(found) == {(i, t) for i in range(40) for t in ("all", f"pair{i // 2}")}
+    x, y = 1.0, math.log(41 / 3) + 1
+    assert all(abs(v - (x if t == "all" else y) / math.hypot(x, y)) < 1e-12 for (_, t), v in found.items())
+    plan = FE.tfidf_weights(terms, members, vocab)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
