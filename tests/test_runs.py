@@ -124,3 +124,29 @@ def test_epoch_order_is_not_one_task(spark):
     from tessera.plans.q_embed import e11_epoch_order
     plan = e11_epoch_order(spark, SF_SMALL)._jdf.queryExecution().toString()
     assert "Coalesce 1" not in plan and "Repartition 1, false" not in plan
+
+
+def test_queries_of_whole_runs_take_the_library_settings(spark, monkeypatch):
+    """The summary and the ROC band over realizations are of all 10 of them, 5/5 folds, 501 trees and the whole
+    grid, not of a part; a band of one realization would have no spread."""
+    from tessera.plans import q_embed, q_models
+    rows = [("tf_idf", r, i, int(i % 2), (i % 2) * 0.3 + ((i * 7 + r * 3) % 10) / 20) for r in range(10) for i in range(40)]
+    pred = spark.createDataFrame(rows, "embedding string, realization int, report_id long, y_true int, score double")
+    asked = []
+
+    def run(kind):
+        def of(spark, reports, cfg=None, **more):
+            asked.append((kind, cfg, more))
+            return RN.RunResult(pred, *["x"] * 5, summary=kind)
+        return of
+
+    monkeypatch.setattr(RN, "tfidf_run", run("tfidf"))
+    monkeypatch.setattr(RN, "d2v_run", run("d2v"))
+    monkeypatch.setattr(q_models, "_MEMO", {})
+    assert q_models.m12_tfidf_run_summary(spark, SF_SMALL) == "tfidf" and q_embed.m12_d2v_run_summary(spark, SF_SMALL) == "d2v"
+    band = q_models.m12_tfidf_run_roc_band(spark, SF_SMALL)
+    assert band.where("std > 0").count() > 0
+    assert asked == [("tfidf", RunConfig(), {}), ("d2v", RunConfig(), {})]          # one run for the two queries of TF-IDF
+    cfg = asked[0][1]
+    assert (cfg.realizations, cfg.outer_folds, cfg.inner_folds, cfg.n_trees, cfg.max_depth) == (10, 5, 5, 501, 30)
+    assert (cfg.ngrams, cfg.pvs, cfg.max_features, cfg.d2v_sizes, cfg.d2v_epochs) == ((3, 4, 5), (0.9, None), (0.8, 1.0), (10, 30, 50), 100)
