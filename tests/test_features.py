@@ -131,3 +131,50 @@ def test_weights_move_known_terms_only(spark):
     assert all(abs(v - (x if t == "all" else y) / math.hypot(x, y)) < 1e-12 for (_, t), v in found.items())
     plan = FE.tfidf_weights(terms, members, vocab)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_no_query_writes_its_table_of_ngrams(spark, monkeypatch):
+    """Written, the n-grams of the reports are ten times their texts; the vocabularies alone are stored, and of the
+    single forests' terms those that may be in one of the small vocabularies."""
+    from tessera.plans import q_features as QF
+    from tessera.plans import q_models as QM
+    written = []
+
+    def noted(df, cut=QF.cut_lineage):
+        written.append(out := cut(df))
+        return out
+
+    class Enough(Exception):
+        pass
+
+    def enough(*_):
+        raise Enough
+
+    for module in (QF, QM):
+        monkeypatch.setattr(module, "cut_lineage", noted)
+    monkeypatch.setattr(QM.RF, "run_parallel", enough)
+    assert QF.e5_split_vocabularies(spark, SF_SMALL).count() > 0 and QF.e8_sparse_vectors(spark, SF_SMALL).count() > 0
+    assert written and not any("tf" in df.columns for df in written)
+    written.clear()
+    try:
+        QM._forest(spark, SF_SMALL)
+    except Enough:
+        pass
+    (terms,), (vocab,) = ([df for df in written if c in df.columns] for c in ("tf", "idx"))
+    known = {r.term for r in vocab.select("term").distinct().collect()}
+    found = {r.term for r in terms.select("term").distinct().collect()}
+    assert known <= found and len(found) < 3 * len(known) + 200
+
+
+def test_a_runs_reports_are_written_as_texts(spark):
+    """The tokens come back from the text: also none, and those of a report without a text."""
+    from tessera.config import RunConfig
+    from tessera.operators.clean import clean_reports
+    from tessera.plans import runs as RN
+    rows = [(1, 0, "a", "Indication: the Left lobe, left 12_05!"), (2, 1, "a", ""), (3, 1, "b", "... !"), (4, 0, None, None), (5, 2, "c", "one")]
+    df = spark.createDataFrame(rows, "report_id long, label int, ipp string, content string")
+    got, _, v = RN.prepare(df, RunConfig(outer_folds=2))
+    want = clean_reports(df).select("report_id", "tokens", "clean_text").collect()
+    assert sorted(map(tuple, got.select("report_id", "tokens", "clean_text").collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    assert v == len({t for r in want for t in r.tokens or []})
+    assert "tokens" not in got._jdf.queryExecution().optimizedPlan().children().head().output().mkString(",")
