@@ -89,3 +89,36 @@ def test_one_csv_file_is_many_tasks(spark, tmp_path):
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         assert got == sorted(rows, key=repr) and (size == before or n > 5)
+
+
+def _vectors(spark):
+    from pyspark.ml.linalg import Vectors
+    rows = [(i % 2, i, v) for i, v in enumerate((
+        Vectors.sparse(6, [0, 3], [0.5, -2.0]), Vectors.sparse(6, [5], [1e-7]), Vectors.sparse(6, [], []),
+        Vectors.sparse(6, range(6), [1.0, 0.0, 3.0, 4.0, 5.0, 6.0]), Vectors.dense([0.0, 1.5, 0.0, 0.0, 0.0, 2.0])))]
+    return spark.createDataFrame(rows, ["outer_fold", "label", "features"])
+
+
+def test_dense_lines_hold_every_number(spark, tmp_path):
+    from tessera.sources import sinks as K
+    K.write_vectors_tsv(_vectors(spark), str(tmp_path))
+    got = {(r["outer_fold"], r["value"]) for r in spark.read.text(f"{tmp_path}/vectors").collect()}
+    assert got == {(0, "0.5\t0.0\t0.0\t-2.0\t0.0\t0.0"), (1, "0.0\t0.0\t0.0\t0.0\t0.0\t1.0E-7"), (0, "0.0\t0.0\t0.0\t0.0\t0.0\t0.0"),
+                   (1, "1.0\t0.0\t3.0\t4.0\t5.0\t6.0"), (0, "0.0\t1.5\t0.0\t0.0\t0.0\t2.0")}
+
+
+def test_an_index_twice_is_refused(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from tessera.operators import features as FE
+    from tessera.sources import sinks as K
+    doubled = spark.sql("SELECT 0 AS outer_fold, 0 AS label, named_struct('type', CAST(0 AS TINYINT), 'size', 6, "
+                        "'indices', array(2, 2), 'values', array(1.0D, 2.0D)) AS features")
+    with pytest.raises(PySparkException):
+        K.write_vectors_tsv(FE.stored_vectors(doubled, str(tmp_path / "v")), str(tmp_path / "t"))
+
+
+def test_vectors_are_sorted_not_their_long_lines(spark):
+    """Writing by folder sorts what it is given: the lines of a vocabulary's length went through that sort."""
+    from tessera.sources import sinks as K
+    plan = K.vector_lines(_vectors(spark), "features", "outer_fold", "dense")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("array_join") < plan.index("Sort [outer_fold") and "UDF" not in plan
